@@ -94,7 +94,7 @@ def insights(ds: Dataset) -> DataFrame:
     quality = F.concat(
         F.lit("Dataset quality score is "), F.col("score").cast("string"), F.lit("/100 ("), F.col("grade"), F.lit(").")
     )
-    pair_order = F.col("method_rank") * 1_000_000 + F.row_number().over(_all_in_order("method_rank", "ord_a", "ord_b"))
+    pair_order = F.col("method_rank") * 1_000_000 + F.row_number().over(in_order("method_rank", "ord_a", "ord_b"))
     parts = [
         _said(facts, 0, first, shape),
         _said(facts, 1, first, missing),
@@ -112,7 +112,7 @@ def insights(ds: Dataset) -> DataFrame:
     return out.orderBy("section_rank", "ord")
 
 
-def _all_in_order(*columns: str):
+def in_order(*columns: str):
     """Numbering over a column-level frame, small by construction."""
     from pyspark.sql import Window
 
@@ -222,7 +222,7 @@ def preprocessing(ds: Dataset, target: str | None = None) -> DataFrame:
     )
     per_pair = ds.small(associated_pairs).select(
         F.lit(1).alias("part"),
-        F.row_number().over(_all_in_order("method_rank", "ord_a", "ord_b")).alias("place"),
+        F.row_number().over(in_order("method_rank", "ord_a", "ord_b")).alias("place"),
         null_of("string").alias("column_name"),
         F.array("column_a", "column_b").alias("columns"),
         F.when(touches, "target_correlation").otherwise("multicollinearity").alias("type"),
@@ -238,7 +238,7 @@ def preprocessing(ds: Dataset, target: str | None = None) -> DataFrame:
     )
     return (
         per_column.unionByName(per_pair)
-        .withColumn("ord", F.row_number().over(_all_in_order("part", "place")))
+        .withColumn("ord", F.row_number().over(in_order("part", "place")))
         .select("ord", "column_name", "columns", "type", "priority", "action", "message", "correlation")
         .orderBy("ord")
     )
