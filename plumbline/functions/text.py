@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Patterns of the sentence and token rules.
+# Patterns of the sentence and token rules. (?U) gives \\s and \\d
+# their Unicode meaning.
 LINE_BREAKS = r"[\n\r]+"
-LEAD = r"^[\s*\->•\d\.\)]+\s*"
-SENTENCE_END = r"(?<=[.!?])\s+"
+LEAD = r"(?U)^[\s*\->•\d\.\)]+\s*"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 TOKEN = r"[a-z0-9_]+(?:'[a-z]+)?"
 FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 TRAILING_COMMA = r",\s*([\]}])"
@@ -17,7 +18,7 @@ PARAGRAPH_BREAK = r"\n\n+"
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def sentences(text: Column) -> Column:
