@@ -232,8 +232,17 @@ on("recommendations_by_priority", "events_dirty", summary.recommendations_by_pri
 on("recommended_models", "events_dirty", summary.recommended_models, "event_type")
 on("model_recommendation", "events_dirty", summary.model_recommendation, "event_type", shape=joined("models", "preprocessing", "reasoning"))
 on("report", "events_dirty", summary.report, "event_type", shape=joined("key_findings", "recommended_models", "preprocessing"))
-on("evidence", "events_dirty", eda.evidence, "event_type", shape=lambda f: f.where("section not in ('random_forest')"))
-on("evidence_specialists", "orders_mixed", eda.evidence, None, 10, False, {"pairs": 8, "cramers_v": 10})
+
+
+
+def _compact(frame: DataFrame) -> DataFrame:
+    """Evidence without the forest, whose scores SQL cannot repeat."""
+    shown = F.col("section").isin("dataset", "ml_task", "missing", "outliers", "insights")
+    return frame.where("section <> 'random_forest'").withColumn("detail", F.when(shown, F.col("detail")))
+
+
+on("evidence", "events_dirty", eda.evidence, "event_type", shape=_compact)
+on("evidence_specialists", "orders_mixed", eda.evidence, None, 10, False, {"pairs": 8, "cramers_v": 10}, shape=_compact)
 on("own_narrative", "events_dirty", eda.own_narrative, "event_type", shape=joined("key_risks", "recommendations"))
 on("eda_sections", "doc_labels", eda.section_sizes, "quality")
 

@@ -113,7 +113,12 @@ def histogram(ds: Dataset, bins: int = BINS) -> DataFrame:
     placed = [
         F.struct(
             F.lit(f.ordinal).alias("ordinal"),
-            F.least(F.width_bucket(f.as_double, F.lit(f.low), F.lit(f.high), F.lit(bins)), F.lit(bins))
+            # width_bucket puts the maximum one past the last bin; least() alone
+            # would also turn the null of a missing value into the last bin.
+            F.when(
+                f.col.isNotNull(),
+                F.least(F.width_bucket(f.as_double, F.lit(f.low), F.lit(f.high), F.lit(bins)), F.lit(bins)),
+            )
             .cast("int")
             .alias("bin"),
         )
