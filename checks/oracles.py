@@ -901,7 +901,9 @@ def _object(c: str) -> str:
     def valid(x: str) -> str:
         return f"CASE WHEN json_valid({x}) THEN json_type({x}) END = 'OBJECT'"
 
-    return f"CASE WHEN {valid(c)} THEN {c} WHEN {valid(fixed)} THEN {fixed} END"
+    # DuckDB's parser lets trailing commas pass, so their absence is asked for.
+    strict = f"NOT regexp_matches({c}, ',\\s*[\\]}}]')"
+    return f"CASE WHEN {strict} AND {valid(c)} THEN {c} WHEN {valid(fixed)} THEN {fixed} END"
 
 
 _SPAN = "substr(s, strpos(s, '{'), length(s) - strpos(reverse(s), '}') - strpos(s, '{') + 2)"

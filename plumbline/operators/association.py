@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import null_of, scan_columns, stack_columns, text_key, union_all
+from plumbline.functions.columns import scan_columns, stack_columns, text_key, union_all
+from plumbline.operators.profile import distinct_counts
 
 # Above this many columns, pairs are summed as matrix blocks inside tasks.
 WIDE_COLUMNS = 24
@@ -208,14 +209,36 @@ def cramers_v(ds: Dataset) -> DataFrame:
     """Cramer's V for each pair of categorical columns, 4 decimals.
 
     Only cells that occur are counted, so a pair never costs more than its
-    distinct combinations. V comes from sum(n_ab^2 / (n_a n_b)) - 1. A cell
-    count joined with its marginals may have a hot row; both joins keep the
-    skew handling of adaptive execution, which splits such partitions.
+    distinct combinations. V comes from sum(n_ab^2 / (n_a n_b)) - 1. Pairs with
+    an identifier column are not counted at all: with every value unique the sum
+    is the number of the partner's values, which makes V exactly 1.
     """
     schema = f"{_PAIR}, n bigint, value double"
-    pairs = list(combinations(ds.of_type("categorical"), 2))
+    fields = ds.of_type("categorical")
+    pairs = list(combinations(fields, 2))
     if not pairs:
         return ds.spark.createDataFrame([], schema)
+    distinct = {row["ordinal"]: row["unique_count"] for row in ds.small(distinct_counts, None).collect()}
+    unique = {f.ordinal for f in fields if not f.missing and distinct[f.ordinal] == f.n}
+    known = [(a, b) for a, b in pairs if a.ordinal in unique or b.ordinal in unique]
+    counted = [pair for pair in pairs if pair not in known]
+    sure = []
+    for a, b in known:
+        partner = b if a.ordinal in unique else a
+        if distinct[partner.ordinal] > 1:
+            sure.append((a.ordinal, b.ordinal, a.name, b.name, partner.n, 1.0))
+    frame = ds.spark.createDataFrame(sure, schema)
+    if counted:
+        frame = frame.unionByName(_counted_v(ds, counted))
+    return frame.orderBy("ord_a", "ord_b")
+
+
+def _counted_v(ds: Dataset, pairs: list[tuple[Field, Field]]) -> DataFrame:
+    """V from the cells that occur.
+
+    A cell count joined with its marginals may have a hot value; both joins are
+    plain inner joins, so adaptive execution splits such partitions.
+    """
 
     def key(f: Field) -> Column:
         return text_key(f.col, f.longest)
@@ -243,13 +266,14 @@ def cramers_v(ds: Dataset) -> DataFrame:
         .agg(F.sum(F.col("cnt") * F.col("cnt") / (F.col("n_a") * F.col("n_b"))).alias("s"))
     )
     rows = by_a.groupBy("ord_a", "ord_b").agg(F.count(F.lit(1)).alias("r"), F.sum("n_a").alias("n"))
-    cols = by_b.groupBy("ord_a", "ord_b").agg(F.count(F.lit(1)).alias("c"))
+    # Asking both sides for the total keeps their inputs identical, so Spark
+    # reuses the one shuffle of the cells for every branch.
+    cols = by_b.groupBy("ord_a", "ord_b").agg(F.count(F.lit(1)).alias("c"), F.sum("n_b").alias("n"))
     size = F.least("r", "c") - 1
     names = ds.spark.createDataFrame([(a.ordinal, b.ordinal, a.name, b.name) for a, b in pairs], _PAIR)
     return (
         names.join(spread, ["ord_a", "ord_b"])
-        .join(rows, ["ord_a", "ord_b"])
-        .join(cols, ["ord_a", "ord_b"])
+        .join(rows.join(cols, ["ord_a", "ord_b", "n"]), ["ord_a", "ord_b"])
         .where(size > 0)
         .select(
             "ord_a",
@@ -259,7 +283,6 @@ def cramers_v(ds: Dataset) -> DataFrame:
             F.col("n").cast("bigint").alias("n"),
             F.round(F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / size), 4).alias("value"),
         )
-        .orderBy("ord_a", "ord_b")
     )
 
 

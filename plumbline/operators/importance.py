@@ -8,7 +8,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import null_of, stack_columns
+from plumbline.functions.columns import null_of, stack_columns, text_key
 from plumbline.functions.ordering import exact_quantiles, range_parts
 from plumbline.operators.profile import distinct_counts
 from plumbline.sources.shared import use_checkpoints
@@ -17,9 +17,10 @@ MISSING_CLASS = "__missing__"
 MIN_ROWS = 5
 BINS = 10
 SEED = 42
-MAX_DEPTH = 12
-# Dictionaries up to this many values are numbered per column and broadcast.
-BROADCAST_VALUES = 200_000
+MAX_DEPTH = 10
+# Label dictionaries up to this many characters are numbered per column and
+# broadcast; larger ones are range-partitioned and shuffled.
+BROADCAST_CHARS = 16_000_000
 TARGET = "__target"
 
 
@@ -30,14 +31,18 @@ def _label(field: Field) -> Column:
     return field.col.cast("string")
 
 
-def label_codes(ds: Dataset, fields: list[Field], broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+def _is_small(ds: Dataset, field: Field, limit: int) -> bool:
+    """Is the column's label dictionary known to stay within `limit` characters?"""
+    return _distinct(ds)[field.ordinal] * max(field.longest or 0, 24) <= limit
+
+
+def label_codes(ds: Dataset, fields: list[Field], limit: int = BROADCAST_CHARS) -> DataFrame:
     """ordinal, label, code: each column's labels numbered in sorted order."""
-    sizes = _distinct(ds)
     cells = stack_columns(
         ds.df, [F.struct(F.lit(f.ordinal).alias("ordinal"), _label(f).alias("label")) for f in fields]
     )
     labels = cells.where("label IS NOT NULL").groupBy("ordinal", "label").agg(F.count(F.lit(1)).alias("count"))
-    return _numbered(ds, labels, max(sizes[f.ordinal] for f in fields) <= broadcast_values)
+    return _numbered(ds, labels, all(_is_small(ds, f, limit) for f in fields))
 
 
 def _numbered(ds: Dataset, labels: DataFrame, small: bool) -> DataFrame:
@@ -65,34 +70,30 @@ def _numbered(ds: Dataset, labels: DataFrame, small: bool) -> DataFrame:
 
 
 def _distinct(ds: Dataset) -> dict[int, int]:
-    return {row["ordinal"]: row["unique_count"] for row in ds.small(distinct_counts).collect()}
+    return {row["ordinal"]: row["unique_count"] for row in ds.small(distinct_counts, None).collect()}
+
+
+def _key(field: Field) -> Column:
+    """The label as a join key of bounded width."""
+    return text_key(_label(field), field.longest)
 
 
 def _with_codes(ds: Dataset, frame: DataFrame, fields: list[Field]) -> DataFrame:
-    """`frame` plus one `code<ordinal>` column per label column, null as -1."""
-    if not fields:
-        return frame
-    sizes = _distinct(ds)
-    small = [f for f in fields if sizes[f.ordinal] <= BROADCAST_VALUES]
-    large = [f for f in fields if f not in small]
+    """`frame` with each `key<ordinal>` turned into `code<ordinal>`, null as -1."""
+    small = [f for f in fields if _is_small(ds, f, BROADCAST_CHARS)]
     codes = label_codes(ds, small) if small else None
-    for f in small:
-        mine = codes.where(F.col("ordinal") == f.ordinal).select(
-            F.col("label").alias("__label"), F.col("code").alias(f"code{f.ordinal}")
-        )
-        frame = frame.join(F.broadcast(mine), _label(f) == F.col("__label"), "left").drop("__label")
-    for f in large:
-        # Null labels match nothing; spreading them keeps the join balanced.
-        mine = label_codes(ds, [f]).select(F.col("label").alias("__label"), F.col("code").alias(f"code{f.ordinal}"))
-        spread = F.concat(F.lit("\0"), (F.rand(SEED) * 65536).cast("int").cast("string"))
-        frame = (
-            frame.withColumn("__key", F.coalesce(_label(f), spread))
-            .join(mine, F.col("__key") == F.col("__label"), "left")
-            .drop("__label", "__key")
-        )
-    return frame.withColumns(
-        {f"code{f.ordinal}": F.coalesce(F.col(f"code{f.ordinal}"), F.lit(-1)).cast("double") for f in fields}
-    )
+    for f in fields:
+        key, code = f"key{f.ordinal}", f"code{f.ordinal}"
+        mine = codes.where(F.col("ordinal") == f.ordinal) if f in small else label_codes(ds, [f])
+        mine = mine.select(text_key(F.col("label"), f.longest).alias(key), F.col("code").alias(code))
+        if f in small:
+            frame = frame.join(F.broadcast(mine), key, "left")
+        else:
+            # Null labels match nothing; spreading them keeps the join balanced.
+            spread = F.concat(F.lit("\0"), (F.rand(SEED) * 65536).cast("int").cast("string"))
+            frame = frame.withColumn(key, F.coalesce(key, spread)).join(mine, key, "left")
+        frame = frame.drop(key).withColumn(code, F.coalesce(code, F.lit(-1)).cast("double"))
+    return frame
 
 
 # -- E2, E3: encoded features and target -------------------------------------
@@ -155,7 +156,7 @@ def encoded(ds: Dataset, target: str, task: str | None = None) -> DataFrame:
         if task == "classification":
             wanted = wanted.cast("bigint")
     frame = ds.df.select(
-        *[f.col for f in labels],
+        *[_key(f).alias(f"key{f.ordinal}") for f in labels],
         *[_filled(f, medians[f.name]).alias(f"x{f.ordinal}") for f in measures],
         wanted.alias(TARGET),
     ).where(F.col(TARGET).isNotNull())
@@ -164,12 +165,11 @@ def encoded(ds: Dataset, target: str, task: str | None = None) -> DataFrame:
 
 
 def target_classes(
-    ds: Dataset, target: str, task: str | None = None, broadcast_values: int = BROADCAST_VALUES
+    ds: Dataset, target: str, task: str | None = None, limit: int = BROADCAST_CHARS
 ) -> DataFrame:
     """label, count, code of the prepared classification target."""
-    distinct = _distinct(ds)[ds.field(target).ordinal]
     labels = encoded_target(ds, target, task).groupBy(F.lit(0).alias("ordinal"), "label").count()
-    return _numbered(ds, labels, distinct <= broadcast_values).select("label", "count", "code")
+    return _numbered(ds, labels, _is_small(ds, ds.field(target), limit)).select("label", "count", "code")
 
 
 def encoded_target(ds: Dataset, target: str, task: str | None = None) -> DataFrame:
@@ -320,7 +320,8 @@ def forest_importance(ds: Dataset, target: str, task: str | None = None, max_dep
     if task == "classification":
         classes = target_classes(ds, target, task).select(F.col("label").alias(TARGET), "code")
         count = _distinct(ds)[ds.field(target).ordinal] + (1 if ds.field(target).missing else 0)
-        frame = frame.join(F.broadcast(classes) if count <= BROADCAST_VALUES else classes, TARGET)
+        small = _is_small(ds, ds.field(target), BROADCAST_CHARS)
+        frame = frame.join(F.broadcast(classes) if small else classes, TARGET)
         nominal = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": max(count, 2)}}
         label = F.col("code").cast("double").alias("label", metadata=nominal)
         forest = RandomForestClassifier(numTrees=trees, seed=SEED, maxDepth=max_depth, featureSubsetStrategy="sqrt")

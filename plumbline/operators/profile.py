@@ -111,11 +111,13 @@ def _none(ds: Dataset, schema: str) -> DataFrame:
 
 
 def distinct_counts(ds: Dataset, approximate: float | None = None) -> DataFrame:
-    """ordinal, unique_count, top_cnt: exact, or within `approximate` error.
+    """ordinal, unique_count, top_cnt, top_text: exact, or within `approximate`.
 
-    `top_cnt` (the most frequent value's count) is null in approximate mode.
+    `top_cnt` is the count of the most frequent value and `top_text` the smallest
+    text value that has it. Both are null in approximate mode, which needs no
+    shuffle of the values.
     """
-    schema = "ordinal int, unique_count bigint, top_cnt bigint"
+    schema = "ordinal int, unique_count bigint, top_cnt bigint, top_text string"
     if not ds.schema_fields:
         return _none(ds, schema)
     if approximate is not None:
@@ -126,22 +128,27 @@ def distinct_counts(ds: Dataset, approximate: float | None = None) -> DataFrame:
                     F.lit(f.ordinal).alias("ordinal"),
                     F.approx_count_distinct(f.col, approximate).alias("unique_count"),
                     null_of("bigint").alias("top_cnt"),
+                    null_of("string").alias("top_text"),
                 )
                 for f in ds.fields
             ],
         )
+    names = ds.spark.createDataFrame([(f.ordinal,) for f in ds.fields], "ordinal int")
     # All-null columns have nothing to count and need no place in the shuffle.
     filled = [f for f in ds.fields if f.n]
-    names = ds.spark.createDataFrame([(f.ordinal,) for f in ds.fields], "ordinal int")
     if not filled:
-        return names.select("ordinal", F.lit(0).cast("bigint").alias("unique_count"), null_of("bigint").alias("top_cnt"))
-    counted = (
-        value_counts(ds, filled)
-        .groupBy("ordinal")
-        .agg(F.count(F.lit(1)).alias("unique_count"), F.max("cnt").alias("top_cnt"))
-    )
-    return names.join(F.broadcast(counted), "ordinal", "left").select(
-        "ordinal", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "top_cnt"
+        return names.select(
+            "ordinal", F.lit(0).cast("bigint").alias("unique_count"), null_of("bigint").alias("top_cnt"), null_of("string").alias("top_text")
+        )
+    counts = value_counts(ds, filled)
+    sizes = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"), F.max("cnt").alias("top_cnt"))
+    # The counts are read twice from the same shuffle; only ties reach the minimum.
+    ties = counts.join(F.broadcast(sizes), "ordinal").where((F.col("cnt") == F.col("top_cnt")) & F.col("value_text").isNotNull())
+    first = ties.groupBy("ordinal").agg(F.min("value_text").alias("top_text"))
+    return (
+        names.join(F.broadcast(sizes), "ordinal", "left")
+        .join(F.broadcast(first), "ordinal", "left")
+        .select("ordinal", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "top_cnt", "top_text")
     )
 
 
@@ -156,30 +163,22 @@ def mode_frequency(ds: Dataset) -> DataFrame:
     parts = []
     if short:
         names = ds.spark.createDataFrame([(f.ordinal, f.name) for f in short], "ordinal int, column_name string")
-        best = (
-            value_counts(ds, short)
-            .groupBy("ordinal")
-            .agg(F.min(F.struct((-F.col("cnt")).alias("rank"), "value_text")).alias("best"))
-        )
         parts.append(
-            names.join(F.broadcast(best), "ordinal").select(
-                "ordinal",
-                "column_name",
-                F.col("best.value_text").alias("most_frequent"),
-                (-F.col("best.rank")).alias("frequency"),
+            names.join(ds.small(distinct_counts, None), "ordinal").select(
+                "ordinal", "column_name", F.col("top_text").alias("most_frequent"), F.col("top_cnt").alias("frequency")
             )
         )
-    parts += [_long_text_mode(ds, f) for f in fields if f not in short]
+    if len(short) < len(fields):
+        top = {row["ordinal"]: row["top_cnt"] for row in ds.small(distinct_counts, None).collect()}
+        parts += [_long_text_mode(ds, f, top[f.ordinal]) for f in fields if f not in short]
     return union_all(parts) if parts else _none(ds, schema)
 
 
-def _long_text_mode(ds: Dataset, field: Field) -> DataFrame:
+def _long_text_mode(ds: Dataset, field: Field, top: int) -> DataFrame:
     """The mode of a long text column; only digests are counted and joined."""
-    counts = value_counts(ds, [field])
-    top = counts.agg(F.max("cnt")).first()[0]
     texts = ds.df.select(field.col.alias("value"))
     if top > 1:
-        winners = counts.where(F.col("cnt") == top).select(F.col("value_text").alias("key"))
+        winners = value_counts(ds, [field]).where(F.col("cnt") == top).select(F.col("value_text").alias("key"))
         texts = texts.withColumn("key", text_key(F.col("value"))).join(winners, "key", "left_semi")
     return texts.agg(F.min("value").alias("most_frequent")).select(
         F.lit(field.ordinal).alias("ordinal"),
@@ -190,7 +189,11 @@ def _long_text_mode(ds: Dataset, field: Field) -> DataFrame:
 
 
 def column_profile(ds: Dataset, approximate: float | None = None) -> DataFrame:
-    """One row per column: type, missing, distinct, constant, mode."""
+    """One row per column: type, missing, distinct, constant, mode.
+
+    `approximate` trades the exact distinct counts and modes for a profile that
+    shuffles nothing but one row per task.
+    """
     if not ds.schema_fields:
         return _none(
             ds,
@@ -200,10 +203,15 @@ def column_profile(ds: Dataset, approximate: float | None = None) -> DataFrame:
             "most_frequent string, frequency bigint",
         )
     missing = F.col("n_rows") - F.col("n")
+    distinct = ds.small(distinct_counts, approximate).drop("top_text")
+    if approximate is None:
+        modes = mode_frequency(ds).drop("column_name")
+    else:
+        modes = _none(ds, "ordinal int, most_frequent string, frequency bigint")
     return (
         ds.small(Dataset.summary)
-        .join(F.broadcast(distinct_counts(ds, approximate)), "ordinal")
-        .join(F.broadcast(mode_frequency(ds).drop("column_name")), "ordinal", "left")
+        .join(distinct, "ordinal")
+        .join(F.broadcast(modes), "ordinal", "left")
         .select(
             "ordinal",
             "column_name",
@@ -217,7 +225,7 @@ def column_profile(ds: Dataset, approximate: float | None = None) -> DataFrame:
             (F.col("unique_count") <= 1).alias("is_constant"),
             "top_cnt",
             "most_frequent",
-            F.when(F.col("column_type") == "categorical", F.coalesce("frequency", F.lit(0))).alias("frequency"),
+            F.when(F.col("column_type") == "categorical", F.col("frequency")).alias("frequency"),
         )
     )
 

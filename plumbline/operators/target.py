@@ -126,7 +126,7 @@ def task_of_columns(ds: Dataset) -> DataFrame:
     known = present > 0
     return (
         ds.small(Dataset.summary)
-        .join(ds.small(distinct_counts), "ordinal")
+        .join(ds.small(distinct_counts, None), "ordinal")
         .withColumn("c", choice)
         .orderBy("ordinal")
         .select(
