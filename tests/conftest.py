@@ -13,9 +13,11 @@ from plumbline.dataset import Dataset  # noqa: E402
 def spark():
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.default.parallelism", "2")
         .config("spark.sql.session.timeZone", "UTC")
+        # Tiny frames: compiling each plan would take longer than running it.
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
@@ -25,7 +27,7 @@ def spark():
     return session
 
 
-@pytest.fixture
+@pytest.fixture(scope="session")
 def make(spark):
     """A Dataset from rows and a DDL schema."""
 

@@ -116,7 +116,7 @@ def test_short_column_has_no_entry(make):
     assert outliers.outlier_summary(make([(20,), (30,), (40,)], "Age int")).count() == 0
 
 
-@pytest.fixture
+@pytest.fixture(scope="module")
 def planted(make):
     return make([(float(v),) for v in [*range(1, 101), 1000, -1000]], "x double")
 
