@@ -1117,3 +1117,29 @@ ORACLES["comparison_report"] = CHECKS + (
     )
     + " FROM ck GROUP BY 1, 2"
 )
+
+# -- the whole analysis ------------------------------------------------------
+
+_SECTIONS = {
+    "profile": "facts",
+    "numeric_statistics": "stats",
+    "cramers_v": "cramer",
+    "point_biserial": "biserial",
+    "associated_pairs": "assoc",
+    "outliers": "fences",
+    "missingness": "facts",
+    "insights": "insights",
+    "feature_summary": "facts",
+    "preprocessing": "advice",
+}
+_ONE_ROW = ("missingness_summary", "quality_score", "ml_task", "ml_recommendation", "report", "importance_status", "target_analysis")
+ORACLES["eda_sections"] = scored("doc_labels", INSIGHTS, features("quality"), advice("quality")) + " UNION ALL ".join(
+    [f"SELECT {q(name)} AS section, count(*) AS rows FROM {cte}" for name, cte in _SECTIONS.items()]
+    + [f"SELECT {q(name)}, 1 FROM tf" for name in _ONE_ROW]
+    + [
+        f"SELECT 'warnings', count(*) FROM ({_warnings('doc_labels')})",
+        "SELECT 'pearson', (SELECT count(*) * count(*) FROM stats) FROM tf",
+        "SELECT 'class_distribution', count(DISTINCT quality) FROM t",
+        "SELECT 'feature_importance', 2 * (columns - 1) FROM tf",
+    ]
+)

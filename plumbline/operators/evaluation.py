@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import null_of, union_all
+from plumbline.functions.columns import beside, null_of, union_all
 from plumbline.functions.text import sentences, strip, tokens
 from plumbline.operators.association import associated_pairs
 from plumbline.operators.missingness import missing_columns, missing_summary, ordered_list
@@ -121,7 +121,7 @@ def rubric_triggers(ds: Dataset, target: str | None = None, strict: bool = False
     rows = [
         (
             "high_missingness",
-            names(missing.where("missing_count > 0")).crossJoin(ds.small(missing_summary)),
+            names(missing.where("missing_count > 0")).transform(beside, ds.small(missing_summary)),
             F.col("overall_missing_percentage") > MISSING_LIMIT,
         ),
         ("high_correlation", pair_names, some),
@@ -129,7 +129,7 @@ def rubric_triggers(ds: Dataset, target: str | None = None, strict: bool = False
         ("categorical_features", names(classes), some),
         (
             "class_imbalance",
-            task.crossJoin(warned).withColumn("extra_targets", goal),
+            task.transform(beside, warned).withColumn("extra_targets", goal),
             F.coalesce(F.col("task").contains("classif") & F.col("warned"), F.lit(False)),
         ),
         (
@@ -223,6 +223,16 @@ def _all_sentences() -> Column:
     return F.concat(advice, sentences(F.coalesce("narrative", F.lit(""))))
 
 
+def with_rules(frame: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each row of `frame` once per rule; the rules travel as one literal.
+
+    Rules are a written table of a few rows.
+    """
+    packed = rules.agg(F.to_json(F.collect_list(F.struct("*"))).alias("rules")).first()["rules"]
+    schema = rules.select(F.array(F.struct("*")).alias("r")).schema["r"].dataType
+    return frame.select("*", F.inline(F.from_json(F.lit(packed), schema)))
+
+
 def response_sentences(responses: DataFrame) -> DataFrame:
     """run_id, pipeline, sentence_no, sentence, words."""
     return responses.select(
@@ -234,7 +244,7 @@ def rubric_checks(responses: DataFrame, conditions: DataFrame, window: int = NEG
     """run_id, pipeline, condition_id, description, keywords, recommendation_matched.
 
     Each response is cut into sentences once and meets the handful of conditions
-    by broadcast; the check runs inside the row, so nothing is shuffled. An
+    in place; the check runs inside the row, so nothing is shuffled. An
     entry without actions or targets falls back to its keywords. With a
     `dataset_hash` on both sides a response meets only the conditions of its own
     dataset.
@@ -245,8 +255,7 @@ def rubric_checks(responses: DataFrame, conditions: DataFrame, window: int = NEG
         *keys,
         F.transform(_all_sentences(), lambda s: F.struct(s.alias("text"), tokens(s).alias("words"))).alias("said"),
     )
-    rules = F.broadcast(conditions)
-    pairs = cut.join(rules, "dataset_hash") if keyed else cut.crossJoin(rules)
+    pairs = cut.join(F.broadcast(conditions), "dataset_hash") if keyed else with_rules(cut, conditions)
     empty = (F.size("actions") == 0) | (F.size("targets") == 0)
     together = F.lower(F.array_join(F.transform("said", lambda s: s["text"]), " "))
     worded = F.exists("keywords", lambda k: together.contains(F.lower(k)))

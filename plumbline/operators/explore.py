@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import LONG_TEXT, col_, null_of, text_key
+from plumbline.functions.columns import LONG_TEXT, text_key
 from plumbline.operators.missingness import missing_columns
 from plumbline.operators.outliers import outliers_iqr
 from plumbline.operators.profile import column_profile

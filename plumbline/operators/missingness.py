@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import chunks, fixed, null_of, percent, stack_columns, union_all
+from plumbline.functions.columns import chunks, fixed, percent, stack_columns, union_all
 from plumbline.functions.ordering import range_parts
 
 THRESHOLD = 0.2
@@ -155,7 +155,7 @@ def missing_columns(ds: Dataset, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def ordered_list(value, when=None) -> "F.Column":
+def ordered_list(value: Column, when: Column | None = None) -> Column:
     """Values as an array in column order."""
     pair = F.struct("ordinal", value.alias("v"))
     kept = pair if when is None else F.when(when, pair)
@@ -164,10 +164,10 @@ def ordered_list(value, when=None) -> "F.Column":
 
 def missing_summary(ds: Dataset, threshold: float = THRESHOLD) -> DataFrame:
     """One row for the table: totals and the columns of each indicator."""
-    columns = ds.small(missing_columns, threshold)
+    columns = ds.small(missing_columns, *([] if threshold == THRESHOLD else [threshold]))
     cells = ds.n_rows * len(ds.fields)
 
-    def named(indicator: str):
+    def named(indicator: str) -> Column:
         return ordered_list(F.col("column_name"), F.col("indicator") == indicator)
 
     total = F.coalesce(F.sum("missing_count"), F.lit(0))

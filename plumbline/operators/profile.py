@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.dataset import Dataset, Field
 from plumbline.functions.columns import (
     LONG_TEXT,
-    col_,
     null_of,
     percent,
-    pin,
     scan_columns,
     stack_columns,
     text_key,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import fixed, null_of, percent
+from plumbline.functions.columns import beside, fixed
 from plumbline.operators.association import associated_pairs
 from plumbline.operators.missingness import missing_summary, ordered_list
 from plumbline.operators.outliers import outliers_iqr
@@ -76,9 +76,9 @@ def table_facts(ds: Dataset) -> DataFrame:
     return (
         ds.small(duplicate_rows)
         .select("rows", F.lit(len(ds.fields)).alias("columns"), "duplicate_rows")
-        .crossJoin(columns)
-        .crossJoin(outliers)
-        .crossJoin(pairs)
+        .transform(beside, columns)
+        .transform(beside, outliers)
+        .transform(beside, pairs)
     )
 
 
@@ -237,8 +237,8 @@ def strength_list(ds: Dataset) -> DataFrame:
     extra = (
         ds.small(quality_score)
         .select("strengths")
-        .crossJoin(ds.small(missing_summary).select("complete_columns"))
-        .crossJoin(ds.small(table_facts).select("duplicate_rows", "outlier_columns"))
+        .transform(beside, ds.small(missing_summary).select("complete_columns"))
+        .transform(beside, ds.small(table_facts).select("duplicate_rows", "outlier_columns"))
     )
     complete = F.concat(
         F.col("complete_columns"), F.lit(" column(s) have complete data with no missing values.")
@@ -266,8 +266,8 @@ def ml_readiness(ds: Dataset, target: str | None = None) -> DataFrame:
     base = (
         ds.small(quality_score)
         .select("score")
-        .crossJoin(ds.small(missing_summary).select("overall_missing_percentage"))
-        .crossJoin(ds.small(table_facts))
+        .transform(beside, ds.small(missing_summary).select("overall_missing_percentage"))
+        .transform(beside, ds.small(table_facts))
     )
     features = F.greatest(F.col("columns"), F.lit(1))
     diversity = F.when(features > 5, 80).otherwise(features * 16) + F.when(F.col("pairs") == 0, 20).otherwise(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.columns import beside
 from plumbline.functions.text import (
     bracketed_object,
     bullet_lines,
@@ -218,15 +219,12 @@ def complete(normalised: DataFrame, fallback: DataFrame) -> DataFrame:
     `fallback` has one row per dataset with the four fields; both sides join on
     `dataset_hash` when they have it. Parts that are present are kept.
     """
+    keyed = "dataset_hash" in normalised.columns and "dataset_hash" in fallback.columns
     spare = fallback.select(
-        *[c for c in fallback.columns if c == "dataset_hash"],
+        *(["dataset_hash"] if keyed else []),
         *[F.col(c).alias(f"__{c}") for c in ("narrative", "key_risks", "recommendations", "confidence")],
     )
-    joined = (
-        normalised.join(F.broadcast(spare), "dataset_hash", "left")
-        if "dataset_hash" in normalised.columns and "dataset_hash" in fallback.columns
-        else normalised.crossJoin(F.broadcast(spare))
-    )
+    joined = normalised.join(F.broadcast(spare), "dataset_hash", "left") if keyed else beside(normalised, spare)
     has_text = F.coalesce(strip(F.col("narrative")) != "", F.lit(False))
     has_advice = F.coalesce(F.size("recommendations") > 0, F.lit(False))
     has_risks = F.coalesce(F.size("key_risks") > 0, F.lit(False))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import fixed, null_of
+from plumbline.functions.columns import beside, fixed, null_of
 from plumbline.operators.association import associated_pairs, pearson_pairs
 from plumbline.operators.missingness import ordered_list
 from plumbline.operators.numeric import numeric_stats
@@ -112,10 +112,8 @@ def insights(ds: Dataset) -> DataFrame:
     return out.orderBy("section_rank", "ord")
 
 
-def in_order(*columns: str):
+def in_order(*columns: str) -> WindowSpec:
     """Numbering over a column-level frame, small by construction."""
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(0)).orderBy(*columns)
 
 
@@ -250,7 +248,7 @@ def preprocessing_status(ds: Dataset, target: str | None = None) -> DataFrame:
     text = F.when(F.col("missing_cells") == 0, F.lit("No missing values require imputation.")).otherwise(
         F.concat(F.col("missing_cells"), F.lit(" missing value(s) require investigation and appropriate imputation."))
     )
-    return count.crossJoin(ds.small(table_facts)).select(
+    return count.transform(beside, ds.small(table_facts)).select(
         F.lit("available").alias("status"), "recommendation_count", text.alias("dataset_status")
     )
 
@@ -312,11 +310,11 @@ def model_recommendation(ds: Dataset, target: str | None = None) -> DataFrame:
     facts = (
         ds.small(detect_task, target)
         .select("target", "task", "task_type")
-        .crossJoin(kinds)
-        .crossJoin(outlying)
-        .crossJoin(models)
-        .crossJoin(ds.small(table_facts).select("rows"))
-        .crossJoin(ds.small(quality_score).select("score", "grade"))
+        .transform(beside, kinds)
+        .transform(beside, outlying)
+        .transform(beside, models)
+        .transform(beside, ds.small(table_facts).select("rows"))
+        .transform(beside, ds.small(quality_score).select("score", "grade"))
     )
     has_outliers = F.size("outlying") > 0
     steps = F.array_compact(
@@ -374,9 +372,9 @@ def report(ds: Dataset, target: str | None = None) -> DataFrame:
     return (
         ds.small(table_facts)
         .select("rows", "columns", "duplicate_rows")
-        .crossJoin(ds.small(quality_score).select("score", "grade", "status"))
-        .crossJoin(ds.small(detect_task, target).select("target", "task", "task_type", "confidence"))
-        .crossJoin(findings)
-        .crossJoin(ds.small(model_recommendation, target).select(F.col("models").alias("recommended_models")))
-        .crossJoin(advice)
+        .transform(beside, ds.small(quality_score).select("score", "grade", "status"))
+        .transform(beside, ds.small(detect_task, target).select("target", "task", "task_type", "confidence"))
+        .transform(beside, findings)
+        .transform(beside, ds.small(model_recommendation, target).select(F.col("models").alias("recommended_models")))
+        .transform(beside, advice)
     )

@@ -45,9 +45,12 @@ def class_distribution(ds: Dataset, target: str) -> DataFrame:
     if field is None or field.column_type not in ("categorical", "binary"):
         return ds.spark.createDataFrame([], _CLASS_SCHEMA)
     counts = ds.df.where(field.col.isNotNull()).groupBy(field.col.cast("string").alias("label")).count()
-    classes = F.broadcast(counts.agg(F.count(F.lit(1)).alias("num_classes")))
-    return counts.crossJoin(classes).select(
-        "label", "count", percent(F.col("count"), F.lit(field.n)).alias("percentage"), "num_classes"
+    classes = ds.remember(("classes", target), counts.count)
+    return counts.select(
+        "label",
+        "count",
+        percent(F.col("count"), F.lit(field.n)).alias("percentage"),
+        F.lit(classes).cast("bigint").alias("num_classes"),
     )
 
 
@@ -65,9 +68,8 @@ def target_analysis(ds: Dataset, target: str | None) -> DataFrame:
         base = ds.small(raw_stats).where(F.col("column_name") == target)
         empty = [F.round(m, 4).alias(m) for m in measures]
     elif kind in ("categorical", "binary"):
-        base = class_distribution(ds, target).agg(
-            F.max("num_classes").alias("classes"), F.max("count").alias("largest")
-        )
+        counts = ds.df.where(field.col.isNotNull()).groupBy(field.col).count()
+        base = counts.agg(F.count(F.lit(1)).alias("classes"), F.max("count").alias("largest"))
         num_classes = F.col("classes")
         majority = F.try_divide(F.col("largest"), F.lit(field.n))
     else:

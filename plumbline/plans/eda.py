@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import fixed, union_all
+from plumbline.functions.columns import beside, fixed, union_all
 from plumbline.operators import association, importance, missingness, numeric, outliers, profile, quality, summary, target as targets
 
 TOP_EVIDENCE = 5
@@ -93,7 +93,7 @@ def evidence(
     overview = (
         ds.small(quality.table_facts)
         .select("rows", "columns", "duplicate_rows")
-        .crossJoin(ds.small(quality.quality_score).select("score", "grade"))
+        .transform(beside, ds.small(quality.quality_score).select("score", "grade"))
     )
     pairs = numbered(ds.small(association.associated_pairs), "method_rank", "ord_a", "ord_b")
     cramer = numbered(ds.small(association.cramers_v), "ord_a", "ord_b")
@@ -144,10 +144,10 @@ def own_narrative(ds: Dataset, target: str | None = None) -> DataFrame:
     facts = (
         ds.small(quality.table_facts)
         .select("rows", "columns", "pairs")
-        .crossJoin(ds.small(quality.quality_score).select("score", "grade"))
-        .crossJoin(ds.small(targets.detect_task, target).select("target", "task"))
-        .crossJoin(missing)
-        .crossJoin(outlying)
+        .transform(beside, ds.small(quality.quality_score).select("score", "grade"))
+        .transform(beside, ds.small(targets.detect_task, target).select("target", "task"))
+        .transform(beside, missing)
+        .transform(beside, outlying)
     )
     risks = F.concat("missing_risks", "outlier_risks")
     all_risks = F.when(F.size(risks) == 0, F.array(F.lit(NO_RISKS))).otherwise(risks)
@@ -192,7 +192,7 @@ def report_document(ds: Dataset, target: str | None = None) -> DataFrame:
 
     return (
         ds.small(summary.report, target)
-        .crossJoin(rows(ds.small(summary.feature_summary, target), "features"))
-        .crossJoin(rows(ds.small(association.associated_pairs), "associated_pairs"))
-        .crossJoin(rows(ds.small(missingness.missing_columns).drop("note", "warning"), "missingness"))
+        .transform(beside, rows(ds.small(summary.feature_summary, target), "features"))
+        .transform(beside, rows(ds.small(association.associated_pairs), "associated_pairs"))
+        .transform(beside, rows(ds.small(missingness.missing_columns).drop("note", "warning"), "missingness"))
     )

@@ -23,22 +23,25 @@ UNREADABLE = "Unable to read CSV."
 _CORRUPT = "__corrupt"
 
 
-def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """Every column as text, with the missing tokens nulled."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     return raw.select(
         *[F.when(~col_(c).isin(*MISSING_TOKENS), col_(c)).alias(c) for c in raw.columns]
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
     """A CSV with a header; types are inferred from the data unless given.
 
     One aggregation over the text columns decides the types: a column is whole
     numbers, decimals or booleans when all of its values are, else text. Dates
-    stay text. Pass `schema` to skip that scan on large inputs.
+    stay text. Pass `schema` to skip that scan on large inputs. `multi_line`
+    accepts line breaks inside quotes, at the price of one task per file.
     """
-    raw = _raw_csv(spark, path)
+    raw = _raw_csv(spark, path, multi_line)
     if schema is None:
         kinds = _inferred(raw)
     else:

@@ -6,6 +6,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.columns import beside
+
 SCHEMA_VERSION = "1.0"
 
 
@@ -34,7 +36,7 @@ def result_record(
     if agent is None:
         record = record.withColumn("agent", F.lit(None).cast("string"))
     else:
-        record = record.crossJoin(F.broadcast(agent.limit(1).select(F.to_json(F.struct("*")).alias("agent"))))
+        record = beside(record, agent.select(F.to_json(F.struct("*")).alias("agent")))
     return record.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.lit(stamp).alias("timestamp"),

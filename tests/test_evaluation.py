@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import keyed, table
+from conftest import keyed
 from pyspark.sql import functions as F
 
 from plumbline.operators import evaluation as ev
@@ -84,7 +84,7 @@ def test_grammar_against_brute_force(spark):
     texts = [" ".join(bits[(i * k + j) % len(bits)] for j in range(4 + i % 3)) for i in range(11) for k in (1, 2, 3, 5)]
     frame = spark.createDataFrame([(t,) for t in texts], "s string").withColumn("w", tokens(F.col("s")))
     hit = ev.grammar_match(F.col("s"), F.col("w"), F.col("actions"), F.col("targets"))
-    rows = frame.crossJoin(ev.rubric(spark)).select("s", "actions", "targets", hit.alias("hit")).collect()
+    rows = ev.with_rules(frame, ev.rubric(spark)).select("s", "actions", "targets", hit.alias("hit")).collect()
     assert [r["hit"] for r in rows] == [by_hand(r["s"], r["actions"], r["targets"]) for r in rows]
     assert {r["hit"] for r in rows} == {True, False}
 
