@@ -26,15 +26,86 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """Tables that one operator writes to the shared folder on its way.
+
+    Later steps reread them instead of running their lineage again, also after
+    an executor is lost. Tables that nothing reads any more are deleted, so
+    that an operator's disk does not add up.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, f"{self.name}-{name}")
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*[name for name in self.paths if name not in names])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back.
+    """`df` written once to the shared folder and read back."""
+    return Scratch(df.sparkSession, "stage").stage(df, name)
 
-    Later steps reread it instead of running its lineage again, also after an
-    executor is lost.
+
+# A filter of keys has this many bits, however many keys there are: 64 groups
+# of 32,768 bits, 256 KB in all. Fuller, it lets more rows through to the
+# join behind it, which decides.
+_FILTER_BITS = 1 << 21
+
+
+def _slot(key: Column) -> Column:
+    """A key's bit in the filter, from 1, as the bitmap functions count."""
+    return F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS)) + 1
+
+
+def marked_by(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """`df` with a boolean column: false only where `key` is not in `keys` (one column).
+
+    The filter of the keys is broadcast; its size does not depend on the data.
+    """
+    slot = _slot(F.col(keys.columns[0]))
+    bits = keys.groupBy(F.bitmap_bucket_number(slot).alias(f"{flag}_group")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(f"{flag}_bits")
+    )
+    names = [col_(name) for name in df.columns]
+    slot = _slot(key)
+    placed = df.select(*names, F.bitmap_bucket_number(slot).alias(f"{flag}_group"), F.bitmap_bit_position(slot).alias(f"{flag}_at"))
+    position = F.col(f"{flag}_at")
+    byte = F.conv(F.hex(F.substring(f"{flag}_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    is_set = F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(bits), f"{flag}_group", "left").select(*names, is_set.alias(flag))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has in any case."""
+    taken = {column.lower() for column in df.columns}
+    while any(column.startswith(name) for column in taken):
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id is not in `gone` (one column, doc_id).
+
+    Rows that the key filter clears go straight through; only the others, and
+    so only about as many texts as go, are shuffled to be looked up.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    flag = free_name(docs, "maybe_gone")
+    names = [col_(name) for name in docs.columns]
+    flagged = marked_by(docs, col_(id_col).cast("long"), gone, flag)
+    doubtful = flagged.where(F.col(flag))
+    kept = doubtful.join(gone, doubtful[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
+    return flagged.where(~F.col(flag)).select(*names).union(kept.select(*names))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import col_
-from plumbline.llm.common import bytes_column, read_table, slices, stage, text_bytes, word_hashes
+from plumbline.llm.common import Scratch, bytes_column, read_table, slices, stage, text_bytes, without_ids, word_hashes
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -391,9 +391,10 @@ def contamination(
     documents each for themselves; a null item id counts as ''. Other columns
     are ignored.
     """
-    listed = stage(phrases(benchmark, item_col, item_text_col, window), "phrases")
-    index = stage(index_shards(docs, id_col, text_col), "fm-index")
-    blocks = stage(_blocks(listed, BLOCK, window), "phrase-blocks")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    listed = scratch.stage(phrases(benchmark, item_col, item_text_col, window), "phrases")
+    index = scratch.stage(index_shards(docs, id_col, text_col), "index")
+    blocks = scratch.stage(_blocks(listed, BLOCK, window), "blocks")
     numbered = blocks.withColumn("pass", F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks.count() // BLOCKS_PER_PASS)))))
     passes = sorted(row[0] for row in numbered.select("pass").distinct().collect()) or [0]
     hits = None
@@ -407,7 +408,9 @@ def contamination(
         beside = index.withColumn("every", F.lit(0)).join(F.broadcast(one), "every").drop("every", "block")
         part = beside.mapInArrow(_search(window), _HITS)
         hits = part if hits is None else hits.union(part)
-    hits = stage(hits, "hits")
+    hits = scratch.stage(hits, "hits")
+    many = blocks.count() > 1
+    scratch.drop("index", "blocks")
     row = ["shard", "ordinal"]
     if hits.where("size(spans) > 0").isEmpty():
         marks = hits.select(*row).limit(0).withColumn("items", F.lit(None).cast("array<string>"))
@@ -421,7 +424,7 @@ def contamination(
     # A shard has a row per block; together they are the document's hits.
     words = (
         hits.groupBy(*row, "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        if blocks.count() > 1
+        if many
         else hits.select(*row, "doc_id", "n_words", "spans")
     )
     inside = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))
@@ -445,7 +448,7 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that no test phrase hits, with their columns."""
     hit = contamination(docs, benchmark, id_col, text_col).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["doc_id"]), "left_anti")
+    return without_ids(docs, id_col, stage(hit, "contaminated"))
 
 
 def op4_benchmark_decontamination(spark, sf_dir):

@@ -8,39 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col_
-from plumbline.llm.common import ascii_lower, read_table, stage
-
-# The filter of hashes that occur twice has this many bits, however many rows
-# there are: 64 groups of 32,768 bits, 256 KB. Fuller, it lets more single
-# texts through to the join, which drops them.
-_FILTER_BITS = 1 << 21
-_GROUP_BITS = 32768
-
+from plumbline.llm.common import Scratch, ascii_lower, marked_by, read_table, stage, without_ids
 
 def normalised(text: Column) -> Column:
     """What is compared: A-Z lower-cased, null as empty."""
     return ascii_lower(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _slot(digest: Column) -> Column:
-    """A hash's bit in the filter, from 1, as the bitmap functions count."""
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(_FILTER_BITS)) + 1
-
-
-def _repeated_bits(repeated: DataFrame) -> DataFrame:
-    """One bitmap per group of bits: at most 64 rows of 4 KB."""
-    slot = _slot(F.col("digest"))
-    return repeated.groupBy(F.bitmap_bucket_number(slot).alias("bits_of")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
-    )
-
-
-def _is_set(bits: Column, slot: Column) -> Column:
-    position = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -52,21 +26,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives no rows.
     """
     pick = {"smallest": F.min, "largest": F.max}[keep]
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
     texts = docs.select(col_(id_col).alias("doc_id"), normalised(col_(text_col)).alias("body"))
     hashed = texts.select("doc_id", "body", F.md5("body").alias("digest"))
-    keys = stage(hashed.select("doc_id", "digest", F.sha2("body", 256).alias("text_sha256")), "exact-keys")
+    keys = scratch.stage(hashed.select("doc_id", "digest", F.sha2("body", 256).alias("text_sha256")), "keys")
     groups = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), pick("doc_id").alias("first_id"))
-    repeated = stage(groups.where("n > 1").select("digest", "first_id"), "exact-repeated")
+    repeated = scratch.stage(groups.where("n > 1").select("digest", "first_id"), "repeated")
 
     # Bytes are compared inside the groups: every member beside one of them.
-    slot = _slot(F.col("digest"))
-    maybe = (
-        hashed.withColumn("bits_of", F.bitmap_bucket_number(slot))
-        .join(F.broadcast(_repeated_bits(repeated)), "bits_of")
-        .where(_is_set(F.col("bits"), slot))
-        .select("doc_id", "digest", "body")
-    )
-    members = stage(maybe.join(repeated, "digest"), "exact-members")
+    maybe = marked_by(hashed, F.col("digest"), repeated.select("digest"), "maybe").where("maybe")
+    members = scratch.stage(maybe.drop("maybe").join(repeated, "digest"), "members")
     model = (
         members.where(F.col("doc_id").eqNullSafe(F.col("first_id")))
         .groupBy("digest")
@@ -81,7 +50,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     # A text that shares the hash but not the bytes of its group's model is a
     # group of its own, named by its SHA-256.
-    odd = stage(odd, "exact-collisions")
+    odd = scratch.stage(odd, "collisions")
+    scratch.drop("members", "repeated")
     if odd.isEmpty():
         sure = keys.withColumn("part", F.lit(""))
     else:
@@ -102,7 +72,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of `docs` that stay, with their columns."""
     gone = exact_duplicates(docs, id_col, text_col, keep).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
+    return without_ids(docs, id_col, stage(gone, "exact-gone"))
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import col_
-from plumbline.llm.common import bytes_column, mixed, read_table, slices, stage, text_bytes, word_hashes
+from plumbline.llm.common import (
+    Scratch, bytes_column, marked_by, mixed, read_table, slices, stage, text_bytes, without_ids, word_hashes,
+)
 from plumbline.llm.components import components
 
 SHINGLE = 5
@@ -149,38 +151,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary, bands array<long>")
 
 
-def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, ...]:
-    """Sizes of n sets on either side, and of the intersections."""
-    h, owner = np.concatenate((x[0], y[0])), np.concatenate((x[1], y[1]))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    twice = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-    shared = np.bincount(owner[1:][twice], minlength=n)
-    return np.bincount(x[1], minlength=n), np.bincount(y[1], minlength=n), shared
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [bytes_column(batch, name) for name in ("text_a", "text_b")]
-            both = sides[0][1] + sides[1][1]
-            keep = np.zeros(batch.num_rows, bool)
-            for start, stop in slices(both):
-                sets = [shingle_sets(data[at[start] : at[stop]], at[start : stop + 1]) for data, at in sides]
-                n_a, n_b, shared = _overlaps(*sets, stop - start)
-                keep[start:stop] = (100 * shared >= percent * (n_a + n_b - shared)) & (shared > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap enough. `texts`: (id, body), one row per id."""
-    left = texts.select(F.col("id").alias("a"), F.col("body").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("body").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long")
-
-
 def _matrix(rows: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(rows.to_numpy()), np.uint16).reshape(len(rows), REGISTERS)
 
@@ -201,71 +171,162 @@ def _likely(percent: int):
     return run
 
 
-def _star_pairs(bands: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Each member of a bucket with the bucket's smallest member, once per pair."""
-    leaders = bands.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = bands.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    side = lambda end: nodes.select(
-        F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("registers").alias(f"registers_{end}")
-    )
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_likely(percent), "a long, b long")
+def _beside(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with the columns of `facts`, by id, for either side."""
+    for end in ("a", "b"):
+        names = [F.col(name).alias(f"{name}_{end}") for name in facts.columns if name != "id"]
+        pairs = pairs.join(facts.select(F.col("id").alias(end), *names), end)
+    return pairs
 
 
-def _cell_pairs(percent: int):
-    """All hopeful pairs of different components in one cell of a bucket.
+_STAR = "a long, b long, n_a long, n_b long, linked boolean, minus binary, plus binary"
 
-    A cell holds one or two parts of a bucket. A pair that shares several
-    bands is given by the first of them only.
+
+def _compare(percent: int):
+    """(a, b, bodies of both) -> whether they are linked, and b's set as changes to a's.
+
+    `minus` are the places, in a's sorted set, of what b lacks; `plus` are the
+    hashes that b has beyond it.
     """
+    schema = pa.schema(
+        [
+            ("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
+            ("linked", pa.bool_()), ("minus", pa.binary()), ("plus", pa.binary()),
+        ]
+    )
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        row, column = int(frame["row"].iloc[0]), int(frame["column"].iloc[0])
-        band = int(frame["band"].iloc[0])
-        first = frame[frame["part"] == row]
-        second = frame if row == column else frame[frame["part"] == column]
-        x, y = _matrix(first["registers"]), _matrix(second["registers"])
-        ids_x, ids_y = first["id"].to_numpy(), second["id"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [bytes_column(batch, name) for name in ("body_a", "body_b")]
+            for start, stop in slices(sides[0][1] + sides[1][1]):
+                n = stop - start
+                (h_a, o_a), (h_b, o_b) = [shingle_sets(data[at[start] : at[stop]], at[start : stop + 1]) for data, at in sides]
+                n_a, n_b = np.bincount(o_a, minlength=n), np.bincount(o_b, minlength=n)
+                in_b, in_a = _members(h_a, o_a, h_b, o_b), _members(h_b, o_b, h_a, o_a)
+                shared = np.bincount(o_a[in_b], minlength=n)
+                linked = (100 * shared >= percent * (n_a + n_b - shared)) & (shared > 0)
+                place = (np.arange(len(o_a)) - np.concatenate(([0], np.cumsum(n_a)[:-1]))[o_a]).astype("<i4")
+                minus, plus = place[~in_b], h_b[~in_a].astype("<u8")
+                cut_minus = np.concatenate(([0], np.cumsum(n_a - shared)))
+                cut_plus = np.concatenate(([0], np.cumsum(n_b - shared)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("a").slice(start, n), batch.column("b").slice(start, n),
+                        pa.array(n_a.astype(np.int64)), pa.array(n_b.astype(np.int64)), pa.array(linked),
+                        pa.array([minus[x:y].tobytes() for x, y in zip(cut_minus[:-1], cut_minus[1:])], pa.binary()),
+                        pa.array([plus[x:y].tobytes() for x, y in zip(cut_plus[:-1], cut_plus[1:])], pa.binary()),
+                    ],
+                    schema=schema,
+                )
+
+    return run
+
+
+def _members(h: np.ndarray, owner: np.ndarray, other: np.ndarray, other_owner: np.ndarray) -> np.ndarray:
+    """Which (owner, hash) are among the others; both sorted by owner and hash."""
+    both, owners = np.concatenate((h, other)), np.concatenate((owner, other_owner))
+    order = np.lexsort((both, owners))
+    twice = (both[order][1:] == both[order][:-1]) & (owners[order][1:] == owners[order][:-1])
+    found = np.zeros(len(both), bool)
+    found[order[1:][twice]] = True
+    found[order[:-1][twice]] = True
+    return found[: len(h)]
+
+
+def _links_of(percent: int):
+    """Links between two parts of a star's members, from their changes to the centre.
+
+    |x and y| = n - |x lacks or y lacks| + |x adds and y adds|, counted for all
+    pairs at once by matrix products over places and over shared additions.
+    One call holds several small stars, or one pair of parts of a large one.
+    """
+
+    def counted(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        """|x_i and y_j| for all i, j, over values that occur on both sides."""
+        flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+        out = np.zeros((len(x), len(y)), np.float32)
+        shared = np.intersect1d(flat_x, flat_y)
+        if not len(shared):
+            return out
+        row_x, row_y = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
+        width = max(1, (1 << 22) // (len(x) + len(y)))
+        at_x, at_y = np.searchsorted(shared, flat_x), np.searchsorted(shared, flat_y)
+        is_x = shared[np.minimum(at_x, len(shared) - 1)] == flat_x
+        is_y = shared[np.minimum(at_y, len(shared) - 1)] == flat_y
+        for low in range(0, len(shared), width):
+            left, right = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
+            pick = is_x & (at_x >= low) & (at_x < low + width)
+            left[row_x[pick], at_x[pick] - low] = 1
+            pick = is_y & (at_y >= low) & (at_y < low + width)
+            right[row_y[pick], at_y[pick] - low] = 1
+            out += left @ right.T
+        return out
+
+    def between(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame | None:
         comp_x, comp_y = first["comp"].to_numpy(), second["comp"].to_numpy()
-        n_x, n_y = first["n"].to_numpy(), second["n"].to_numpy()
-        found = []
-        for i in range(len(first)):
-            pick = np.flatnonzero((comp_y != comp_x[i]) & ((ids_y > ids_x[i]) if row == column else True))
-            if not len(pick):
-                continue
-            mine = np.broadcast_to(x[i], (len(pick), REGISTERS))
-            ok = hopeful(mine, y[pick], np.full(len(pick), n_x[i]), n_y[pick], percent)
-            pick = pick[ok]
-            if len(pick):
-                same = (x[i].reshape(BANDS, ROWS) == y[pick].reshape(-1, BANDS, ROWS)).all(2)
-                same &= (x[i].reshape(BANDS, ROWS) != EMPTY).any(1)
-                pick = pick[same.argmax(1) == band]
-                found.append(pd.DataFrame({"a": np.minimum(ids_x[i], ids_y[pick]), "b": np.maximum(ids_x[i], ids_y[pick])}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        apart = comp_x[:, None] != comp_y[None, :]
+        n_x, n_y = first["n_b"].to_numpy()[:, None], second["n_b"].to_numpy()[None, :]
+        apart &= 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
+        if not apart.any():
+            return None
+        rows, columns = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+        minus_x = [np.frombuffer(v, "<i4") for v in first["minus"].iloc[rows]]
+        minus_y = [np.frombuffer(v, "<i4") for v in second["minus"].iloc[columns]]
+        plus_x = [np.frombuffer(v, "<u8") for v in first["plus"].iloc[rows]]
+        plus_y = [np.frombuffer(v, "<u8") for v in second["plus"].iloc[columns]]
+        lacks_x, lacks_y = np.array([len(v) for v in minus_x])[:, None], np.array([len(v) for v in minus_y])[None, :]
+        lacking = lacks_x + lacks_y - counted(minus_x, minus_y)
+        shared = first["n_a"].iloc[0] - lacking + counted(plus_x, plus_y)
+        union = n_x[rows] + n_y[:, columns] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (shared > 0) & apart[np.ix_(rows, columns)])
+        x, y = first["b"].to_numpy()[rows[i]], second["b"].to_numpy()[columns[j]]
+        # One link joins two components; the others between them say nothing new.
+        links = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "p": comp_x[rows[i]], "q": comp_y[columns[j]]})
+        low, high = links[["p", "q"]].min(axis=1), links[["p", "q"]].max(axis=1)
+        return links.loc[~pd.DataFrame({"p": low, "q": high}).duplicated(), ["a", "b"]]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        for (_, row, column), cell in frame.groupby(["a", "row", "column"], sort=False):
+            first = cell[cell["part"] == row]
+            links = between(first, first if row == column else cell[cell["part"] == column])
+            if links is not None:
+                found.append(links)
+        return pd.concat(found).astype("int64")
 
     return run
 
 
-def _remaining_pairs(bands: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Candidates between components that still share a bucket.
+def _with_component(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """`pairs` (a, b) with the component of b so far."""
+    known = found.select(F.col("id").alias("b"), F.col("component_id").alias("known"))
+    return pairs.join(known, "b", "left").withColumn("comp", F.coalesce("known", "b")).drop("known")
+
+
+def _open_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The stars whose members, but for the centre, are in several components."""
+    placed = _with_component(pairs, found)
+    mixed_up = placed.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return pairs.join(mixed_up.select("a"), "a")
 
-    Buckets are cut into parts of about CELL members; each pair of parts is a
-    cell of its own, so that no task holds a bucket whole.
+
+def _more_links(stars: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one star that are in different components so far.
+
+    Any two documents that share a bucket are members of its smallest member's
+    star, so nothing that banding proposes is left out. Large stars are cut
+    into parts of about CELL members, and each pair of parts is a cell.
     """
-    placed = bands.join(found, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    mixed_up = (
-        placed.groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-        .where("low <> high")
-        .select("key", F.ceil(F.col("size") / CELL).cast("int").alias("parts"))
+    placed = _with_component(stars.drop("linked"), found)
+    sizes = placed.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.select("a", F.ceil(F.col("size") / CELL).cast("int").alias("parts"))
+    rows = placed.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns(
+        {"row": F.least("part", "other"), "column": F.greatest("part", "other")}
     )
-    open_rows = placed.join(mixed_up, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = open_rows.withColumn("other", partner).select(
-        "key", "band", "id", "comp", "part",
-        F.least("part", "other").alias("row"), F.greatest("part", "other").alias("column"),
-    )
-    full = cells.join(nodes, "id")
-    return full.groupBy("key", "row", "column").applyInPandas(_cell_pairs(percent), "a long, b long")
+    # Small stars share a group, a large one's cells have one each.
+    group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("a"), F.lit(4096))).otherwise(F.xxhash64("a", "row", "column"))
+    return cells.withColumn("cell", group).groupBy("cell").applyInPandas(_links_of(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -279,53 +340,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first by set stands for it. A null id is linked with nothing, has a null
     component and is kept. Other columns are ignored; no rows give no rows.
     """
-    table = stage(signatures(docs, id_col, text_col), "signatures")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    table = scratch.stage(signatures(docs, id_col, text_col), "signatures")
+    ids = scratch.stage(table.select("doc_id", "n_shingles", "set_key"), "ids")
     usable = table.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = stage(classes, "set-classes")
-    chosen = (
-        usable.join(classes.select("set_key", "id"), "set_key")
-        .where("doc_id = id")
-        .select("id", F.col("n_shingles").alias("n"), "registers", "bands", "set_key")
-        .dropDuplicates(["id", "set_key"])
-    )
-    nodes_all = stage(chosen, "set-representatives")
-    # An id that stands for two sets (repeated id, different texts) is one node
-    # per set only through its smaller set key.
-    nodes = nodes_all.dropDuplicates(["id"])
-    bands = nodes.select("id", F.posexplode("bands").alias("band", "key")).where("key <> 0")
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    bands = stage(bands.join(crowded, "key"), "bands")
-    nodes = stage(nodes.join(bands.select("id").distinct(), "id").select("id", "n", "registers"), "candidate-nodes")
+    classes = scratch.stage(classes, "classes")
+    chosen = usable.join(classes.select("set_key", "id"), "set_key").where("doc_id = id").dropDuplicates(["id"])
+    bands = scratch.stage(chosen.select("id", F.explode("bands").alias("key")).where("key <> 0"), "bands")
+    leaders = bands.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    pairs = bands.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = scratch.stage(pairs, "pairs")
+    ends = scratch.stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
+    sketches = scratch.stage(chosen.join(ends, "id").select("id", F.col("n_shingles").alias("n"), "registers"), "sketches")
+    scratch.drop("signatures", "bands")
 
+    hoped = _beside(pairs, sketches).mapInPandas(_likely(percent), "a long, b long")
+    hoped = scratch.stage(hoped, "hoped")
     bodies = docs.select(col_(id_col).cast("long").alias("id"), text_bytes(col_(text_col)).alias("body"))
-    star = stage(_star_pairs(bands, nodes, percent), "star-pairs")
-    links = stage(confirmed(star, _texts_of(bodies, star), percent), "star-links")
-    found = components(links)
-    rest = stage(_remaining_pairs(bands, nodes, found, percent), "remaining-pairs")
-    # Pairs that the star has shown to be no link need no second look.
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stage(confirmed(rest, _texts_of(bodies, rest), percent), "remaining-links")
+    maybe = marked_by(bodies, F.col("id"), ends, "maybe").where("maybe").drop("maybe")
+    texts = scratch.stage(maybe.join(ends, "id").dropDuplicates(["id"]), "texts")
+    compared = _beside(hoped, texts).mapInArrow(_compare(percent), _STAR)
+    links = scratch.stage(compared.where("linked").select("a", "b"), "links")
+    found = scratch.stage(components(links), "first-components")
+    stars = _beside(_open_pairs(pairs, found), texts).mapInArrow(_compare(percent), _STAR)
+    stars = scratch.stage(stars, "stars")
+    scratch.drop("texts", "ends", "pairs", "sketches", "hoped", "links")
+    more = scratch.stage(_more_links(stars, found, percent), "more-links")
+    scratch.drop("stars")
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
+        found = scratch.stage(found, "components")
+    scratch.keep_only("ids", "classes", "first-components", "components")
     found = found.withColumnRenamed("component_id", "root")
     groups = classes.join(found, "id", "left").where("copies > 1 OR root IS NOT NULL")
     groups = groups.select("set_key", F.coalesce("root", "id").alias("root"))
-    out = table.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
+    out = ids.join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _texts_of(bodies: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each id that occurs in `pairs`."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return bodies.join(ids, "id").dropDuplicates(["id"])
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that stay, one document of each group, with their columns."""
     gone = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
+    return without_ids(docs, id_col, stage(gone, "near-gone"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
