@@ -39,7 +39,7 @@ class Scratch:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.name}-{name}")
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import re
+from array import array
+from collections.abc import Callable
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-# Words kept per Python worker, and the longest word that is kept.
-CACHED_WORDS = 400_000
+# Words and word parts kept per Python worker, in two generations of half as
+# many each, and the longest word that is kept.
+CACHED_WORDS = 500_000
+CACHED_PARTS = 300_000
 CACHED_LENGTH = 64
 
+# Words whose lower-casing and splitting need no Unicode tables: printable
+# ASCII and the letters of Latin-1. Their parts are the fixed pattern of the
+# vocabulary's own pre-tokenizer, which no other word is cut by here.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -21,34 +30,61 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian 32-bit bytes."""
+class _Kept(dict):
+    """Key -> ids as little-endian 32-bit bytes; forgets what was not used lately."""
 
-    def __init__(self, tokenizer):
-        super().__init__({"": b""})
-        self.tokenizer = tokenizer
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most // 2, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        raw = np.array(ids, "<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
+    def __missing__(self, key: str) -> bytes:
+        raw = self.older.get(key)
+        if raw is None:
+            raw = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
-                self[""] = b""
-            self[word] = raw
+            self[key] = raw
         return raw
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as.
+
+    Printable ones stand for themselves; the others follow from 256 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes whole texts. No token of this vocabulary spans white space, so a
     text's ids are those of its words in a row, and words come from the cache.
+    A plain word's ids are those of its parts; any other word goes through the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.words = _Words(Tokenizer.from_file(path))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.characters = _byte_characters()
+        self.parts = _Kept(self._part, CACHED_PARTS)
+        self.words = _Kept(self._word, CACHED_WORDS)
+
+    def _part(self, part: str) -> bytes:
+        written = part.encode().decode("latin-1").translate(self.characters)
+        return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
+        return array("I", ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         for space in "\n\t\r":
