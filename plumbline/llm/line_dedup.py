@@ -18,7 +18,10 @@ MIN_WORDS = 5
 
 def _trimmed(line: Column) -> Column:
     """A line's words with one space between them."""
-    return F.trim(F.regexp_replace(line, r"[ \t\r\x0B\f]+", " "))
+    odd = line.contains("  ")
+    for space in "\t\r\x0b\f":
+        odd = odd | line.contains(space)
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
 
 
 def _hash(*parts: Column) -> Column:
@@ -102,15 +105,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by equal ones.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    every = occurrences(docs, id_col, text_col).withColumn("k", _hash(F.col("line")))
+    lines = occurrences(docs, id_col, text_col).withColumn("k", _hash(F.col("line")))
     n = _n_words(F.col("line")).cast("int")
+    # The half keys are kept, not the lines: a line is read again only once it
+    # has a possible partner.
+    halves = F.when(F.col("n") >= MIN_WORDS, _half_keys())
+    every = lines.withColumn("n", n).withColumn("halves", halves).drop("line")
+    every = scratch.stage(every, "occurrences")
     place = F.struct("doc", "line_no").alias("place")
-    # The half keys travel, not the lines: a line is read again once it has a
-    # possible partner.
-    lines = every.select("k", place, n.alias("n"), "line").withColumn(
-        "halves", F.when(F.col("n") >= MIN_WORDS, _half_keys())
-    )
-    distinct = lines.drop("line").groupBy("k").agg(F.min(F.struct("place", "n", "halves")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    distinct = every.groupBy("k").agg(F.min(F.struct(place, "n", "halves")).alias("f"), F.count(F.lit(1)).alias("copies"))
     distinct = scratch.stage(distinct.select("k", "f.place", "f.n", "f.halves", "copies"), "distinct")
 
     halves = distinct.where("halves IS NOT NULL").select("k", F.explode("halves").alias("half"))
@@ -118,7 +121,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partnered = scratch.stage(halves.join(shared, "half").select("k").distinct(), "partnered")
     placed = scratch.stage(distinct.join(partnered, "k", "left_semi").select("k", "place", "n"), "placed")
     spots = placed.select("place.doc", "place.line_no", "k", "n", "place")
-    maybe = marked_by(every, F.col("k"), partnered, "maybe").where("maybe").drop("maybe")
+    maybe = marked_by(lines, F.col("k"), partnered, "maybe").where("maybe").drop("maybe")
     texts = maybe.select("doc", "line_no", "k", "line").join(spots, ["doc", "line_no", "k"])
     texts = scratch.stage(texts.select("k", "place", "n", "line").dropDuplicates(["k"]), "texts")
 
