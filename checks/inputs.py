@@ -98,7 +98,22 @@ SELECT run_id, pipeline, role, turn, size, shape, advice, risk, text AS said,
 FROM bodied
 """
 
+# Half of x has no partner and lies far away from the half that has one.
+FAR_APART = """
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN l_quantity + 1e9 ELSE l_quantity END AS x,
+       CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 1 THEN l_extendedprice END AS y
+FROM lineitem
+"""
+
+INFINITE = """
+SELECT CASE WHEN l_orderkey = 1 THEN CAST('Infinity' AS DOUBLE) ELSE l_quantity END AS x,
+       l_extendedprice AS y, l_quantity AS z
+FROM lineitem
+"""
+
 VIEWS = {
+    "far_apart": FAR_APART,
+    "infinite": INFINITE,
     "events_dirty": EVENTS_DIRTY,
     "orders_mixed": ORDERS_MIXED,
     "doc_labels": DOC_LABELS,

@@ -421,6 +421,19 @@ def _matrix(table: str) -> str:
 ORACLES["pearson_matrix"] = _matrix("lineitem")
 ORACLES["pearson_matrix_gaps"] = _matrix("events_dirty")
 ORACLES["pearson_wide"] = ctes("lineitem", pearson("lineitem")) + "SELECT column_a, column_b, n, round(r, 4) AS value FROM pearson"
+# Shared rows far from each column's mean; r is the one of the shared rows.
+_FAR = (
+    "SELECT 'x' AS column_a, 'y' AS column_b, count(*) AS n, round(corr(x, y), 4) AS value FROM (SELECT l_quantity + 1e9 AS x, "
+    "CASE WHEN l_linenumber = 1 THEN l_extendedprice END AS y FROM lineitem WHERE l_orderkey % 3 = 0) WHERE y IS NOT NULL"
+)
+ORACLES["pearson_gaps_far"] = _FAR
+ORACLES["pearson_gaps_far_wide"] = _FAR
+_INFINITE = (
+    "SELECT * FROM (VALUES ('x', 'y', NULL::DOUBLE), ('x', 'z', NULL::DOUBLE)) UNION ALL "
+    "SELECT 'y', 'z', round(corr(l_extendedprice, l_quantity), 4) FROM lineitem"
+)
+ORACLES["pearson_infinite"] = f"SELECT col0 AS column_a, col1 AS column_b, col2 AS value FROM ({_INFINITE}) AS v(col0, col1, col2)"
+ORACLES["pearson_infinite_wide"] = ORACLES["pearson_infinite"]
 _NUMERIC_MIXED = ("o_orderkey", "o_custkey", "o_totalprice", "const_num", "price_twice")
 ORACLES["correlation_view"] = (
     "WITH m AS (" + _matrix("orders_mixed") + ") SELECT column_a, "
@@ -798,10 +811,11 @@ def _binned(x: str) -> str:
 
 
 def mutual(table: str, target: str, y: str, regression: bool = False) -> str:
-    names = [(i, c) for i, (c, _, _) in enumerate(COLUMNS[table]) if c != target]
+    names = [(i, c, family) for i, (c, _, family) in enumerate(COLUMNS[table]) if c != target]
     goal = _binned("y") if regression else "y"
     parts = [
-        f"SELECT {i}::INT AS ordinal, {q(c)} AS feature, {_binned(f'x{i}')} AS x, {goal} AS y FROM e" for i, c in names
+        f"SELECT {i}::INT AS ordinal, {q(c)} AS feature, {f'x{i}::DOUBLE' if family == 'text' else _binned(f'x{i}')} AS x, {goal} AS y FROM e"
+        for i, c, family in names
     ]
     return (
         f"WITH {src(table)}, {encoded(table, target, y)}, b AS (" + " UNION ALL ".join(parts) + "), "
@@ -816,6 +830,7 @@ def mutual(table: str, target: str, y: str, regression: bool = False) -> str:
 ORACLES["mutual_information"] = mutual("doc_gaps", "leftover", "leftover")
 ORACLES["mutual_information_regression"] = mutual("doc_gaps", "n_chars", "coalesce(n_chars::DOUBLE, (SELECT median(n_chars) FROM t))", True)
 ORACLES["mutual_information_labels"] = mutual("doc_labels", "quality", "quality")
+ORACLES["mutual_information_many_labels"] = mutual("doc_labels", "toxic", "toxic")
 ORACLES["importance_status"] = (
     f"WITH {src('doc_labels')} SELECT CASE WHEN count(*) < 5 THEN 'insufficient_data' ELSE 'available' END AS status, 'classification' AS task_type, "
     "'quality' AS target, 5::INT AS feature_count, NULL::VARCHAR AS error FROM t"
@@ -1143,3 +1158,9 @@ ORACLES["eda_sections"] = scored("doc_labels", INSIGHTS, features("quality"), ad
         "SELECT 'feature_importance', 2 * (columns - 1) FROM tf",
     ]
 )
+
+# The forest's own scores cannot be said in SQL; that they do not depend on how
+# the table is split, and never flag more rows than there are, can.
+ORACLES["isolation_forest_splits"] = (
+    "SELECT unnest(['value', 'user_id']) AS column_name, 1::BIGINT AS distinct_answers, TRUE AS in_range"
+)

@@ -155,6 +155,14 @@ on("histogram_dirty", "events_dirty", numeric.histogram)
 
 on("pearson_matrix", "lineitem", association.pearson_matrix)
 on("pearson_matrix_gaps", "events_dirty", association.pearson_matrix)
+def _rounded_pairs(*names: str):
+    return lambda f: f.select(*names, F.round("r", 4).alias("value"))
+
+
+on("pearson_gaps_far", "far_apart", association.pearson_pairs, shape=_rounded_pairs("column_a", "column_b", "n"))
+on("pearson_gaps_far_wide", "far_apart", association.pearson_pairs, 1, shape=_rounded_pairs("column_a", "column_b", "n"))
+on("pearson_infinite", "infinite", association.pearson_pairs, shape=_rounded_pairs("column_a", "column_b"))
+on("pearson_infinite_wide", "infinite", association.pearson_pairs, 1, shape=_rounded_pairs("column_a", "column_b"))
 on("pearson_wide", "lineitem", lambda ds: association.pearson_pairs(ds, 2), shape=lambda f: f.select("column_a", "column_b", "n", F.round("r", 4).alias("value")))
 on("correlation_view", "orders_mixed", association.correlation_view)
 on("correlation_bands", "orders_mixed", association.correlation_bands)
@@ -173,6 +181,18 @@ on("outliers_iqr_lineitem", "lineitem", outliers.outliers_iqr)
 on("outliers_zscore", "events_dirty", outliers.outliers_zscore)
 on("outliers_zscore_tight", "orders", outliers.outliers_zscore, 1.5)
 on("isolation_forest", "events_dirty", outliers.isolation_forest)
+
+
+@query("isolation_forest_splits")
+def _isolation_forest_splits(spark, sf_dir):
+    """The forest's answers over the table as it is and dealt anew."""
+    table = load(spark, sf_dir, "events_dirty").select("value", "user_id")
+    answers = [outliers.isolation_forest(Dataset(frame)) for frame in (table, table.repartition(3), table.repartition(7))]
+    every = answers[0].unionByName(answers[1]).unionByName(answers[2])
+    n = table.count()
+    return every.groupBy("column_name").agg(
+        F.countDistinct("if_count").alias("distinct_answers"), F.max(F.col("if_count").between(0, n)).alias("in_range")
+    )
 on("outlier_summary", "events", outliers.outlier_summary)
 
 
@@ -262,6 +282,7 @@ def _encoded(spark, sf_dir):
 on("target_classes", "events_dirty", importance.target_classes, "event_type")
 on("mutual_information", "doc_gaps", importance.mutual_information, "leftover", "classification")
 on("mutual_information_regression", "doc_gaps", importance.mutual_information, "n_chars", "regression")
+on("mutual_information_many_labels", "doc_labels", importance.mutual_information, "toxic")
 on("mutual_information_labels", "doc_labels", importance.mutual_information, "quality")
 on("forest_importance", "doc_labels", importance.forest_importance, "quality")
 on("forest_importance_regression", "doc_labels", importance.forest_importance, "n_chars")

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations, product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,13 +14,16 @@ from plumbline.dataset import Dataset, Field
 from plumbline.functions.columns import scan_columns, stack_columns, text_key, union_all
 from plumbline.operators.profile import distinct_counts
 
-# Above this many columns, pairs are summed as matrix blocks inside tasks.
+# Above this many columns, pairs are summed in NumPy inside tasks; the rule is
+# the same on either side.
 WIDE_COLUMNS = 24
 PAIRS_PER_SCAN = 32
 THRESHOLD = 0.8
 
 _PAIR = "ord_a int, ord_b int, column_a string, column_b string"
-_SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
+_MOMENTS = ("n", "mx", "my", "cxy", "cxx", "cyy")
+# Pairs of a wide table whose task results are merged in one group.
+MERGED_PAIRS = 256
 
 
 def _centre(field: Field) -> float:
@@ -36,101 +40,131 @@ def _names(a: Field, b: Field) -> list[Column]:
 
 
 def _pair_struct(a: Field, b: Field) -> Column:
-    """Sums of globally centred values over the rows where both are present.
+    """Counts and r of one pair over the rows where both are present.
 
-    Without missing values the sums of one column are the same expression in
-    every pair, and Spark evaluates them once.
+    Without missing values r comes from sums centred on the columns' means,
+    which are the same expressions in every pair, so Spark evaluates them once.
+    With gaps the shared rows may lie far from those means; there Spark's
+    merging moments are taken, which centre on the shared rows themselves.
     """
     x, y = a.as_double, b.as_double
-    gaps = bool(a.missing or b.missing)
-    dx, dy = x - F.lit(_centre(a)), y - F.lit(_centre(b))
-    n, flat = F.count(F.lit(1)), F.lit(a.low == a.high or b.low == b.high)
-    if gaps:
+    if a.missing or b.missing:
         both = x.isNotNull() & y.isNotNull()
-        dx, dy = F.when(both, dx), F.when(both, dy)
-        n = F.count(dx)
-        flat = (F.min(dx) == F.max(dx)) | (F.min(dy) == F.max(dy))
-    return F.struct(
-        *_names(a, b),
-        n.cast("double").alias("n"),
-        F.sum(dx).alias("sx"),
-        F.sum(dy).alias("sy"),
-        F.sum(dx * dy).alias("sxy"),
-        F.sum(dx * dx).alias("sxx"),
-        F.sum(dy * dy).alias("syy"),
-        F.coalesce(flat, F.lit(True)).alias("flat"),
-    )
+        x, y = F.when(both, x), F.when(both, y)
+        n, ones = F.count(x).cast("double"), F.sum(x)
+        flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    else:
+        n, ones = F.count(F.lit(1)).cast("double"), F.sum(x)
+        flat = F.lit(a.low == a.high or b.low == b.high)
+        dx, dy = x - F.lit(_centre(a)), y - F.lit(_centre(b))
+        sx, sy = F.sum(dx), F.sum(dy)
+        spread = F.sqrt(n * F.sum(dx * dx) - sx * sx) * F.sqrt(n * F.sum(dy * dy) - sy * sy)
+        r = F.try_divide(n * F.sum(dx * dy) - sx * sy, spread)
+    return F.struct(*_names(a, b), n.alias("n"), ones.alias("ones"), r.alias("r"), F.coalesce(flat, F.lit(True)).alias("flat"))
+
+
+def _merged(p: list[np.ndarray], q: list[np.ndarray]) -> list[np.ndarray]:
+    """The moments of two sets of rows together, each pair centred on its own rows.
+
+    Each is [n, mean x, mean y, cxy, cxx, cyy, low x, high x, low y, high y].
+    """
+    n = p[0] + q[0]
+    with np.errstate(all="ignore"):
+        share, weight = np.where(n > 0, q[0] / n, 0.0), np.where(n > 0, p[0] * q[0] / n, 0.0)
+        dx, dy = np.where(p[0] > 0, q[1] - p[1], q[1]), np.where(p[0] > 0, q[2] - p[2], q[2])
+        dx, dy = np.where(q[0] > 0, dx, 0.0), np.where(q[0] > 0, dy, 0.0)
+        out = [n, np.where(p[0] > 0, p[1], 0.0) + dx * share, np.where(p[0] > 0, p[2], 0.0) + dy * share]
+        for at, product_ in ((3, dx * dy), (4, dx * dx), (5, dy * dy)):
+            out.append(p[at] + q[at] + np.where(weight > 0, product_ * weight, 0.0))
+    return out + [f(u, v) for f, u, v in zip((np.minimum, np.maximum) * 2, p[6:], q[6:])]
+
+
+def _batch_moments(x: np.ndarray, pairs_of: list[tuple[int, np.ndarray, np.ndarray]], size: int) -> list[np.ndarray]:
+    """The moments of all pairs over one batch, a first column at a time."""
+    there = ~np.isnan(x)
+    out = [np.zeros(size) for _ in range(6)] + [np.full(size, v) for v in (np.inf, -np.inf, np.inf, -np.inf)]
+    with np.errstate(all="ignore"):
+        for column, others, slots in pairs_of:
+            rows = there[:, column]
+            a, b, w = x[rows, column][:, None], x[rows][:, others], there[rows][:, others]
+            n = w.sum(0).astype(float)
+            first, second = np.where(w, a, 0.0), np.where(w, b, 0.0)
+            mx, my = np.where(n > 0, first.sum(0) / n, 0.0), np.where(n > 0, second.sum(0) / n, 0.0)
+            dx, dy = np.where(w, a - mx, 0.0), np.where(w, b - my, 0.0)
+            found = [n, mx, my, (dx * dy).sum(0), (dx * dx).sum(0), (dy * dy).sum(0)]
+            if len(a):
+                found += [np.where(w, a, np.inf).min(0), np.where(w, a, -np.inf).max(0)]
+                found += [np.where(w, b, np.inf).min(0), np.where(w, b, -np.inf).max(0)]
+            for target, value in zip(out, found):
+                target[slots] = value
+    return out
 
 
 def _block_sums(df: DataFrame, fields: list[Field], pairs: list[tuple[Field, Field]]) -> DataFrame:
-    """The same sums for wide tables: one matrix product per Arrow batch.
+    """The same for wide tables: moments per Arrow batch, merged by pair.
 
-    Each task emits its running totals once, so the shuffle carries one row per
+    Each task emits its merged moments once, so the shuffle carries one row per
     pair and task.
     """
     used = sorted({f for pair in pairs for f in pair}, key=lambda f: f.ordinal)
     slot = {f.ordinal: i for i, f in enumerate(used)}
-    left = [slot[a.ordinal] for a, _ in pairs]
-    right = [slot[b.ordinal] for _, b in pairs]
-    width = len(used)
+    by_first: dict[int, list[int]] = {}
+    for i, (a, _) in enumerate(pairs):
+        by_first.setdefault(slot[a.ordinal], []).append(i)
+    right = np.array([slot[b.ordinal] for _, b in pairs])
+    pairs_of = [(column, right[slots], np.array(slots)) for column, slots in by_first.items()]
+    size, names = len(pairs), [*_MOMENTS, "low_x", "high_x", "low_y", "high_y"]
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        w_w = np.zeros((width, width))
-        x_w, x_x, q_w = w_w.copy(), w_w.copy(), w_w.copy()
+        total = None
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-            w = np.isfinite(x).astype(float)
-            x = np.where(w > 0, x, 0.0)
-            w_w += w.T @ w
-            x_w += x.T @ w
-            x_x += x.T @ x
-            q_w += (x * x).T @ w
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(len(left)), pa.int32()),
-                pa.array(w_w[left, right]),
-                pa.array(x_w[left, right]),
-                pa.array(x_w[right, left]),
-                pa.array(x_x[left, right]),
-                pa.array(q_w[left, right]),
-                pa.array(q_w[right, left]),
-            ],
-            names=["pair", *_SUMS],
-        )
-
-    centred = df.select(
-        *[(f.as_double - F.lit(_centre(f))).alias(f"x{i}") for i, f in enumerate(used)]
-    )
-    schema = "pair int, " + ", ".join(f"{s} double" for s in _SUMS)
-    summed = centred.mapInArrow(totals, schema).groupBy("pair").agg(*[F.sum(s).alias(s) for s in _SUMS])
-    names = df.sparkSession.createDataFrame(
-        [
-            (i, a.ordinal, b.ordinal, a.name, b.name, a.low == a.high or b.low == b.high)
-            for i, (a, b) in enumerate(pairs)
-        ],
-        f"pair int, {_PAIR}, flat boolean",
-    )
-    # A column that is constant on the shared rows leaves only rounding residue.
-    spread_x = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    spread_y = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    residue = (spread_x <= 1e-12 * F.col("n") * F.col("sxx")) | (spread_y <= 1e-12 * F.col("n") * F.col("syy"))
-    return names.join(summed, "pair").select(
-        "ord_a", "ord_b", "column_a", "column_b", *_SUMS, (F.col("flat") | residue).alias("flat")
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+                found = _batch_moments(x, pairs_of, size)
+                total = found if total is None else _merged(total, found)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), *map(pa.array, total)], names=["pair", *names])
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        pair = frame["pair"].unique()
+        total = None
+        for _, part in frame.groupby(frame.groupby("pair").cumcount()):
+            row = part.set_index("pair").reindex(pair)
+            row["n"] = row["n"].fillna(0)
+            found = [row[name].to_numpy() for name in names]
+            total = found if total is None else _merged(total, found)
+        return pd.DataFrame({"pair": pair} | dict(zip(names, total)))
+
+    schema = "pair int, " + ", ".join(f"{s} double" for s in names)
+    values = df.select(*[f.as_double.alias(f"x{i}") for i, f in enumerate(used)])
+    group = F.floor(F.col("pair") / MERGED_PAIRS).alias("block")
+    summed = values.mapInArrow(totals, schema).groupBy(group).applyInPandas(merged, schema)
+    known = df.sparkSession.createDataFrame(
+        [(i, a.ordinal, b.ordinal, a.name, b.name) for i, (a, b) in enumerate(pairs)], f"pair int, {_PAIR}"
     )
+    r = F.try_divide(F.col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
+    flat = (F.col("n") == 0) | (F.col("low_x") == F.col("high_x")) | (F.col("low_y") == F.col("high_y"))
+    return known.join(summed, "pair", "left").select(
+        "ord_a", "ord_b", "column_a", "column_b", F.coalesce("n", F.lit(0.0)).alias("n"),
+        (F.col("n") * F.col("mx")).alias("ones"), r.alias("r"), F.coalesce(flat, F.lit(True)).alias("flat"),
+    )
 
 
 def pair_sums(ds: Dataset, pairs: list[tuple[Field, Field]], wide: int = WIDE_COLUMNS) -> DataFrame:
-    """One row per pair with its centred sums and the resulting Pearson r."""
+    """One row per pair: rows, sum of the first column, and Pearson r.
+
+    r is null where a column is constant on the shared rows or not finite.
+    """
     used = {f.ordinal for pair in pairs for f in pair}
     if len(used) > wide:
         sums = _block_sums(ds.df, ds.fields, pairs)
     else:
         sums = scan_columns(ds.df, [_pair_struct(a, b) for a, b in pairs], PAIRS_PER_SCAN)
-    n, sx, sy, sxy, sxx, syy = [F.col(s) for s in _SUMS]
-    spread = F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * syy - sy * sy, F.lit(0.0)))
-    r = F.when(~F.col("flat"), F.try_divide(n * sxy - sx * sy, spread))
-    bounded = F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
-    return sums.withColumn("r", F.when(r.isNotNull(), bounded))
+    bounded = F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))
+    finite = ~F.col("flat") & F.col("r").isNotNull() & ~F.isnan("r")
+    return sums.withColumn("r", F.when(finite, bounded))
 
 
 def pearson_pairs(ds: Dataset, wide: int = WIDE_COLUMNS) -> DataFrame:
@@ -298,7 +332,7 @@ def point_biserial(ds: Dataset, wide: int = WIDE_COLUMNS) -> DataFrame:
     pairs = list(product(ds.of_type("binary"), ds.of_type("numeric")))
     if not pairs:
         return ds.spark.createDataFrame([], schema)
-    ones = F.col("sx")
+    ones = F.col("ones")
     return (
         pair_sums(ds, pairs, wide)
         .where((F.col("n") >= 4) & (ones > 0) & (ones < F.col("n")) & F.col("r").isNotNull())

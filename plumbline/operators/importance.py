@@ -232,9 +232,11 @@ _IMPORTANCE = "method string, feature string, score double, normalized_score dou
 # -- E6: mutual information --------------------------------------------------
 
 
-def _binned(ds: Dataset, frame: DataFrame, columns: list[str], n: int, sizes: dict[str, int]) -> dict[str, Column]:
-    """Bin of each column: its value when few are distinct, else its decile."""
-    many = [c for c in columns if sizes[c] > BINS]
+def _binned(
+    ds: Dataset, frame: DataFrame, columns: list[str], n: int, sizes: dict[str, int], labels: set[str]
+) -> dict[str, Column]:
+    """Bin of each column: its value when few are distinct or for a label, else its decile."""
+    many = [c for c in columns if sizes[c] > BINS and c not in labels]
     probs = tuple(i / BINS for i in range(1, BINS))
     edges = exact_quantiles(frame, {c: (F.col(c).cast("double"), n) for c in many}, probs) if many else {}
     out = {}
@@ -249,9 +251,8 @@ def _binned(ds: Dataset, frame: DataFrame, columns: list[str], n: int, sizes: di
 def mutual_information(ds: Dataset, target: str, task: str | None = None) -> DataFrame:
     """Plug-in mutual information (nats) between each feature and the target.
 
-    Features with many values are cut into exact deciles, and so is a numeric
-    target, which bounds the contingency table of every feature whatever the
-    data size.
+    Measures with many values are cut into exact deciles, and so is a numeric
+    target; labels stay labels. Only cells that occur are counted.
     """
     task = task or task_of_target(ds, target)
     if not _ready(ds, target, task):
@@ -265,7 +266,9 @@ def mutual_information(ds: Dataset, target: str, task: str | None = None) -> Dat
     if task == "regression":
         sizes[TARGET] = distinct[field.ordinal] + (1 if field.missing else 0)
         columns = columns + [TARGET]
-    bins = _binned(ds, frame, columns, ds.n_rows, sizes)
+    # Codes of labels have no order worth cutting: each label is a bin.
+    labels = {c for o, _, c in features if ds.fields[o].family not in ("number", "time")}
+    bins = _binned(ds, frame, columns, ds.n_rows, sizes, labels)
     y = bins[TARGET].cast("string") if task == "regression" else F.col(TARGET).cast("string")
     cells = (
         stack_columns(
@@ -279,7 +282,6 @@ def mutual_information(ds: Dataset, target: str, task: str | None = None) -> Dat
     by_y = cells.groupBy("ordinal", "y").agg(F.sum("c").alias("cy"))
     total = cells.groupBy("ordinal").agg(F.sum("c").alias("n"))
     term = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))
-    # Every table is at most BINS+1 by the number of classes per feature.
     scores = (
         cells.join(by_x, ["ordinal", "x"])
         .join(by_y, ["ordinal", "y"])

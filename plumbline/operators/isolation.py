@@ -2,7 +2,7 @@
 
 On a single column an isolation tree is a set of cut points with a depth per
 gap, so the mean depth over the trees is a step function of the value. Trees
-grow from a bounded random sample; the step function is small and is shipped to
+grow from a bounded sample chosen by content; the step function is small and is shipped to
 the tasks, which score every row of the table with a binary search.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import stack_columns
+from plumbline.functions.columns import col_, stack_columns
 
 TREES = 100
 TREE_ROWS = 256
@@ -95,22 +95,27 @@ _MODEL = "ordinal int, breaks array<double>, outlier array<boolean>"
 def fit_forests(ds: Dataset, fields: list[Field]) -> dict[int, StepFunction]:
     """A step function per column, fitted on the cluster, one task per column.
 
-    The sample is thinned by a seeded coin before the window keeps its bounded
-    top, so each column's group holds at most SAMPLE_ROWS values.
+    Rows are thinned by a hash of their content, so the choice does not depend
+    on how the table is split, before the window keeps its bounded top: each
+    column's group holds at most SAMPLE_ROWS values. Infinite values are scored
+    but never sampled.
     """
     if not fields:
         return {}
+    coin = F.xxhash64(F.lit(SEED), *[col_(name) for name in ds.df.columns])
+    coin = F.shiftrightunsigned(coin, 11).cast("double") / F.lit(float(1 << 53))
+    values = ds.df.select(coin.alias("u"), *[f.as_double.alias(f"v{f.ordinal}") for f in fields])
     drawn = stack_columns(
-        ds.df.withColumn("__u", F.rand(SEED)),
+        values,
         [
             F.struct(
                 F.lit(f.ordinal).alias("ordinal"),
-                F.when(F.col("__u") < F.lit(min(1.0, 3.0 * SAMPLE_ROWS / f.n)), f.as_double).alias("v"),
-                F.col("__u").alias("u"),
+                F.when(F.col("u") < F.lit(min(1.0, 3.0 * SAMPLE_ROWS / max(f.n, 1))), F.col(f"v{f.ordinal}")).alias("v"),
+                F.col("u").alias("u"),
             )
             for f in fields
         ],
-    ).where("v IS NOT NULL")
+    ).where("v IS NOT NULL AND abs(v) < double('Infinity')")
     first = Window.partitionBy("ordinal").orderBy("u", "v")
     sample = drawn.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE_ROWS)
 
@@ -120,7 +125,15 @@ def fit_forests(ds: Dataset, fields: list[Field]) -> dict[int, StepFunction]:
         return pd.DataFrame({"ordinal": [ordinal], "breaks": [model.breaks], "outlier": [model.outlier]})
 
     rows = sample.select("ordinal", "v").groupBy("ordinal").applyInPandas(fit, _MODEL).collect()
-    return {r["ordinal"]: StepFunction(np.array(r["breaks"]), np.array(r["outlier"])) for r in rows}
+    found = {r["ordinal"]: StepFunction(np.array(r["breaks"]), np.array(r["outlier"])) for r in rows}
+    for f in fields:
+        if f.ordinal not in found:
+            # Every row's coin missed: a table of few, often repeated rows.
+            v = F.col(f"v{f.ordinal}")
+            top = values.where(v.isNotNull() & (F.abs(v) < float("inf"))).select(v.alias("v"), "u").orderBy("u", "v").limit(SAMPLE_ROWS)
+            sample = np.sort(np.array([r["v"] for r in top.collect()], float))
+            found[f.ordinal] = _fit_column(sample, f.ordinal) if len(sample) else StepFunction(np.array([]), np.array([False]))
+    return found
 
 
 def count_flags(

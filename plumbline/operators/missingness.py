@@ -45,8 +45,11 @@ def _rank_sums(ds: Dataset, numbers: list[Field], flagged: list[Field]) -> DataF
     """
     indicator = [F.col(f"m{f.ordinal}") for f in flagged]
     cells = stack_columns(
-        ds.df.select("*", *[f.col.isNull().cast("int").alias(f"m{f.ordinal}") for f in flagged]),
-        [F.struct(F.lit(x.ordinal).alias("x"), x.as_double.alias("v"), *indicator) for x in numbers],
+        ds.df.select(
+            *[x.as_double.alias(f"v{x.ordinal}") for x in numbers],
+            *[f.col.isNull().cast("int").alias(f"m{f.ordinal}") for f in flagged],
+        ),
+        [F.struct(F.lit(x.ordinal).alias("x"), F.col(f"v{x.ordinal}").alias("v"), *indicator) for x in numbers],
     ).where("v IS NOT NULL")
     counts = cells.groupBy("x", "v").agg(
         F.count(F.lit(1)).alias("cnt"), *[F.sum(m).alias(f"m{f.ordinal}") for m, f in zip(indicator, flagged)]
