@@ -206,6 +206,9 @@ def _believable(value: str, kind: int) -> bool:
     """What a found span must have to be reported."""
     digits = _DIGITS.sub("", value)
     if kind == 0:
+        # White space only around an at-sign or a dot, however those are written.
+        if re.search(r"\s", re.sub(r"\s*(?:@|[\[(]at[\])]|[\[(]dot[\])]|\.)\s*", "", value)):
+            return False
         return len(value) >= 6 and ("@" in value or "[at]" in value or "(at)" in value) and ("." in value or "dot" in value)
     if kind == 1:
         parts = [p for p in re.split(r"[^0-9]+", value) if p]
