@@ -2,6 +2,7 @@
 
 import hashlib
 
+from llm_fixtures import docs, prose  # noqa: F401
 from plumbline.llm import line_dedup, near_dedup
 from plumbline.llm.components import components
 from plumbline.llm.exact_dedup import drop_exact_duplicates, exact_duplicates

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from llm_fixtures import docs, prose  # noqa: F401
 from plumbline.llm import decontaminate, html_extract, packing, pii, quality, training_order, warc
 from plumbline.llm.tagger import Tagger
 from plumbline.llm.tokens import default_vocabulary, encoder
