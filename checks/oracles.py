@@ -295,6 +295,10 @@ SELECT * FROM (VALUES ('orders.csv', 'all', (SELECT count(*) FROM orders) > 0, N
  ('empty.csv', 'size', false, 'Uploaded CSV is empty.'),
  ('', 'name', false, 'No file provided.')) v(file, failed_check, ok, message)
 """
+ORACLES["source_checks_malformed"] = (
+    "SELECT 'parse' AS failed_check, false AS ok, printf('Unable to read CSV. %d rows have more fields than the header.', count(*)) AS message "
+    "FROM orders WHERE o_orderkey % 1000 = 7"
+)
 _CELLS = ", ".join(
     f"coalesce({'strftime(' + c + ', ' + q('%Y-%m-%d %H:%M:%S.%f') + ')' if fam == 'time' else f'CAST({c} AS VARCHAR)'}, chr(92) || 'N')"
     for c, _, fam in COLUMNS["orders"]

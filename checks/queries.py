@@ -104,6 +104,18 @@ def _source_checks(spark, sf_dir):
     return found.select(name.alias("file"), F.col("check").alias("failed_check"), "ok", "message")
 
 
+@query("source_checks_malformed")
+def _source_checks_malformed(spark, sf_dir):
+    """Every thousandth line has fields beyond the header."""
+    path = shared.scratch_path(spark, "uploads") + ".csv"
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 1000 == 7, F.lit("7,8")))
+    lines = load(spark, sf_dir, "orders").select(line.alias("a,b"))
+    # Written with another separator and without quotes, so that lines stay as they are.
+    lines.write.csv(path, header=True, sep="\t", quote="", escapeQuotes=False)
+    found = readers.validate_sources(spark, [path])
+    return found.select(F.col("check").alias("failed_check"), "ok", "message")
+
+
 @query("table_fingerprint")
 def _fingerprint(spark, sf_dir):
     return readers.table_fingerprint(load(spark, sf_dir, "orders"))

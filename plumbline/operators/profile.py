@@ -24,6 +24,8 @@ DATE_LAYOUTS = (
     "yyyy/MM/dd",
     "MM/dd/yyyy",
     "MM/dd/yyyy HH:mm:ss",
+    "dd/MM/yyyy",
+    "dd/MM/yyyy HH:mm:ss",
     "dd-MM-yyyy",
 )
 DATE_SHARE = 0.8
@@ -261,10 +263,13 @@ def date_like_columns(ds: Dataset) -> DataFrame:
 
 
 def _parsed(value: Column) -> Column:
+    """The value as a time; fractions of a second and zones are cut off first."""
     trimmed = F.trim(value)
-    tries = [F.try_to_timestamp(trimmed, F.lit(layout)) for layout in DATE_LAYOUTS]
+    bare = F.regexp_replace(trimmed, r"(:\d{2})[.,]\d{1,9}", "$1")
+    bare = F.regexp_replace(bare, r"(:\d{2}) ?(Z|UTC|[+-]\d{2}:?\d{2}|[+-]\d{2})$", "$1")
+    tries = [F.try_to_timestamp(bare, F.lit(layout)) for layout in DATE_LAYOUTS]
     # Parsing is tried only on texts that could be a date at all.
-    return F.when(trimmed.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([T ][0-9:]+)?$"), F.coalesce(*tries))
+    return F.when(bare.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([T ][0-9:]+)?$"), F.coalesce(*tries))
 
 
 def profile_warnings(ds: Dataset) -> DataFrame:

@@ -20,14 +20,49 @@ EMPTY_FILE = "Uploaded CSV is empty."
 NO_ROWS = "Dataset contains no rows."
 UNREADABLE = "Unable to read CSV."
 
-_CORRUPT = "__corrupt"
+def _surplus_name(names: list[str]) -> str:
+    """A column name that the header does not have, in any case."""
+    name, taken = "surplus", {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _with_surplus(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, str]:
+    """Every column as text, and one more that holds a row's first field too many.
+
+    Without that column the reader would cut such a row to the header's width.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
+    names = spark.read.csv(path, inferSchema=False, **options).columns
+    surplus = _surplus_name(names)
+    fields = [T.StructField(name, T.StringType()) for name in [*names, surplus]]
+    return spark.read.csv(path, schema=T.StructType(fields), **options), surplus
+
+
+def _too_many(n: int) -> str:
+    return f"{UNREADABLE} {n} rows have more fields than the header."
+
+
+def malformed_rows(spark: SparkSession, path: str, multi_line: bool = False) -> int:
+    """How many rows of a CSV have more fields than its header; all are read."""
+    raw, surplus = _with_surplus(spark, path, multi_line)
+    return raw.agg(F.count(col_(surplus)).alias("n")).first()["n"]
 
 
 def _raw_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """Every column as text, with the missing tokens nulled."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+    """Every column as text, with the missing tokens nulled.
+
+    A row with more fields than the header is an error, as soon as it is read.
+    """
+    raw, surplus = _with_surplus(spark, path, multi_line)
+    bad = F.raise_error(F.lit(f"{UNREADABLE} A row has more fields than the header.")).cast("string")
     return raw.select(
-        *[F.when(~col_(c).isin(*MISSING_TOKENS), col_(c)).alias(c) for c in raw.columns]
+        *[
+            F.when(col_(surplus).isNotNull(), bad).when(~col_(c).isin(*MISSING_TOKENS), col_(c)).alias(c)
+            for c in raw.columns
+            if c != surplus
+        ]
     )
 
 
@@ -39,7 +74,9 @@ def read_csv(
     One aggregation over the text columns decides the types: a column is whole
     numbers, decimals or booleans when all of its values are, else text. Dates
     stay text. Pass `schema` to skip that scan on large inputs. `multi_line`
-    accepts line breaks inside quotes, at the price of one task per file.
+    accepts line breaks inside quotes, at the price of one task per file. Rows
+    with fewer fields than the header are filled with nulls; a row with more
+    ends the read with an error, never with a shorter row.
     """
     raw = _raw_csv(spark, path, multi_line)
     if schema is None:
@@ -90,8 +127,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def validate_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row per path: path, check, ok, message; the first failing check wins.
 
-    Sizes come from the file listing; only a path that passes is opened, and
-    only for its first row.
+    Sizes come from the file listing; a path that passes is read whole, and all
+    rows with more fields than the header are counted.
     """
     rows = [(path, *_verdict(spark, path)) for path in paths]
     return spark.createDataFrame(rows, "path string, check string, ok boolean, message string")
@@ -106,11 +143,14 @@ def _verdict(spark: SparkSession, path: str) -> tuple[str, bool, str | None]:
         size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
         if not size:
             return "size", False, EMPTY_FILE
-        rows = spark.read.option("mode", "FAILFAST").csv(path, header=True)
-        if not rows.columns:
+        rows, surplus = _with_surplus(spark, path, False)
+        if len(rows.columns) == 1:
             return "size", False, EMPTY_FILE
-        if rows.isEmpty():
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.count(col_(surplus)).alias("bad")).first()
+        if not found["n"]:
             return "rows", False, NO_ROWS
+        if found["bad"]:
+            return "parse", False, _too_many(found["bad"])
     except Exception as error:  # the reason varies by file system and reader
         return "parse", False, f"{UNREADABLE} {type(error).__name__}"
     return "all", True, None

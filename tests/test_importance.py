@@ -76,3 +76,11 @@ def test_mutual_information_against_brute_force(make):
     xs, ys = [r[0] for r in rows], [r[1] for r in rows]
     want = sum(c / n * np.log(c * n / (xs.count(x) * ys.count(y))) for (x, y), c in joint.items())
     assert score == pytest.approx(want, abs=1e-6)
+
+
+def test_a_label_that_fixes_the_target_has_its_entropy(make):
+    import math
+
+    ds = make([(f"label{i % 40:02d}", float(i * 37 % 101), (i % 40) % 2) for i in range(400)], "tag string, noise double, y int")
+    scores = {r["feature"]: r["score"] for r in importance.mutual_information(ds, "y", "classification").collect()}
+    assert scores["tag"] == pytest.approx(math.log(2), abs=1e-6) and scores["noise"] < scores["tag"]

@@ -129,3 +129,9 @@ def test_large_integers_stay_distinct(make):
     base = 2**53
     ds = make([(base,), (base + 1,), (base + 2,)], "k bigint")
     assert profile.distinct_counts(ds).first()["unique_count"] == 3
+
+
+def test_common_stamps_are_dates(make):
+    stamps = ["2024-01-05T10:00:00Z", "2024-01-05 10:00:00.123", "25/01/2024", "2024-01-05T10:00:00+02:00"]
+    ds = make([(s,) for s in stamps], "t string")
+    assert profile.date_like_columns(ds).first()["date_share"] == 1.0

@@ -47,6 +47,17 @@ def test_missing_files_fail_their_check(spark, tmp_path):
     assert [(r["check"], r["ok"]) for r in rows] == [("name", False), ("parse", False)]
 
 
+def test_rows_with_too_many_fields_are_refused(spark, tmp_path):
+    path = write(tmp_path, "wide.csv", "a,b\n1,2\n3\n5,6,7,8\n9,10,11\n")
+    row = readers.validate_sources(spark, [path]).first()
+    assert (row["check"], row["ok"]) == ("parse", False) and "2 rows" in row["message"]
+    assert readers.malformed_rows(spark, path) == 2
+    with pytest.raises(Exception, match="more fields"):
+        readers.read_csv(spark, path).collect()
+    short = readers.read_csv(spark, write(tmp_path, "short.csv", "a,surplus\n1,2\n3\n"))
+    assert [tuple(r) for r in short.collect()] == [(1, 2), (3, None)]
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark):
     rows = [(1, "a", 0.5), (2, None, 1.5), (2, None, 1.5)]
     of = lambda data: readers.table_fingerprint(spark.createDataFrame(data, "k int, s string, x double")).first()

@@ -153,3 +153,22 @@ def test_missing_values_are_not_outliers(make):
     ds = make([(float(v),) for v in range(20)] + [(None,), (500.0,)], "x double")
     row = outliers.outliers_iqr(ds).first()
     assert (row["n"], row["iqr_count"], row["iqr_pct"]) == (21, 1, 4.76)
+
+
+def _far(n, offset):
+    return [(float(i % 7) + (offset if i % 3 == 0 else 0.0), float(i % 7) if i % 3 == 0 else None, float(-i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("wide", [24, 1])
+def test_pairs_far_from_the_column_mean(make, wide):
+    ds = make(_far(300, 1e12), "x double, y double, z double")
+    r = {(p["column_a"], p["column_b"]): p["r"] for p in association.pearson_pairs(ds, wide).collect()}
+    assert r["x", "y"] == pytest.approx(1.0, abs=1e-6)
+
+
+@pytest.mark.parametrize("wide", [24, 1])
+def test_infinite_values_have_no_pair(make, wide):
+    rows = [(float(i), float(i * 2 % 5), i % 2) for i in range(20)] + [(float("inf"), 3.0, 1)]
+    ds = make(rows, "x double, y double, b int")
+    assert all(p["r"] is None for p in association.pearson_pairs(ds, wide).collect())
+    assert not [p for p in association.point_biserial(ds, wide).collect() if p["numeric_column"] == "x"]
