@@ -11,8 +11,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 # Words and word parts kept per Python worker, in two generations of half as
 # many each, and the longest word that is kept.
-CACHED_WORDS = 500_000
-CACHED_PARTS = 300_000
+CACHED_WORDS = 1_000_000
+CACHED_PARTS = 600_000
 CACHED_LENGTH = 64
 
 # Words whose lower-casing and splitting need no Unicode tables: printable
@@ -77,10 +77,13 @@ class Encoder:
         self.words = _Kept(self._word, CACHED_WORDS)
 
     def _part(self, part: str) -> bytes:
-        written = part.encode().decode("latin-1").translate(self.characters)
+        # Printable ASCII is written as itself.
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(self.characters)
         return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self.parts[word.lower()]  # letters alone are one part
         if _PLAIN.fullmatch(word) and "<|" not in word:
             return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
