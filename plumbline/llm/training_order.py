@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.columns import col_
-from plumbline.llm.common import Scratch, mixed, read_table
+from plumbline.llm.common import Scratch, bytes_column, mixed, read_table
 from plumbline.llm.files import Appender, place_of, read_ranges
 from plumbline.llm.tokens import END, default_vocabulary, encoder
 from plumbline.sources.shared import scratch_path
@@ -48,64 +48,90 @@ def permuted(index: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_SEQUENCES = "doc_id long, piece int, n_tokens int, part int, at long, ids binary"
+_ENCODED = "doc_id long, part int, at long, n int, ids binary"
 
 
-def _cut(vocabulary: str, length: int):
+def _encoded(vocabulary: str, length: int):
+    """Documents with their ids; their sequences have the numbers at, at + 1 ... of a part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = END.to_bytes(4, "little")
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("body")):
-                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u4").astype("<u2")
-                for piece in range(0, len(ids), length):
-                    some = ids[piece : piece + length]
-                    rows.append((doc_id, piece // length, len(some), part, at, some.tobytes()))
-                    at += 1
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            names = [field.split()[0] for field in _SEQUENCES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            ids = [np.frombuffer(encode(text.as_py() or "") + end, "<u4").astype("<u2").tobytes() for text in batch.column("body")]
+            n = -(-np.fromiter(map(len, ids), np.int64, len(ids)) // (2 * length))
+            first = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(first), pa.array(n.astype(np.int32)), pa.array(ids, pa.binary())],
+                [field.split()[0] for field in _ENCODED.split(", ")],
+            )
 
     return run
 
 
-def _slots(size: int, key: int, per_shard: int):
+_PLACED = "slot long, doc_id long, piece int, ids binary"
+_ROWS = 8192
+
+
+def _placed(size: int, key: int, length: int):
+    """Documents cut into sequences, each with its slot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = permuted(np.asarray(batch.column("number")), size, key)
-            kept = [batch.column(name) for name in ("doc_id", "piece", "n_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), *kept],
-                ["shard", "slot", "doc_id", "piece", "n_tokens", "ids"],
+            if not batch.num_rows:
+                continue
+            data, at = bytes_column(batch, "ids")
+            n = -(-np.diff(at) // (2 * length))
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            slot = permuted(np.asarray(batch.column("number"))[doc] + piece, size, key)
+            # The ids stay where they are: a sequence is a range of them.
+            cuts = np.append(at[doc] + piece * 2 * length, at[-1]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(slot), batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), ids],
+                [field.split()[0] for field in _PLACED.split(", ")],
             )
+            for start in range(0, len(doc), _ROWS):
+                yield rows.slice(start, _ROWS)
 
     return run
 
 
-_WRITTEN = "slot long, doc_id long, piece int, n_tokens int, shard int, byte_offset long, ids_crc32 long"
+_WRITTEN = "slot long, doc_id long, piece int, n_tokens int, ids_crc32 long"
 
 
 def _write(folder: str, length: int, per_shard: int):
+    """Sequences in the order of their slots -> shard files; one row per sequence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, open_shard, stride = None, None, 2 * length
-        pad = np.full(length, PAD, "<u2").tobytes()
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("shard", "slot", "doc_id", "piece", "n_tokens")]
-            rows = []
-            for shard, slot, doc_id, piece, n, ids in zip(*columns, batch.column("ids")):
+            if not batch.num_rows:
+                continue
+            slot = np.asarray(batch.column("slot"))
+            data, at = bytes_column(batch, "ids")
+            sizes = np.diff(at)
+            records = np.full((len(slot), length), PAD, "<u2").view(np.uint8)
+            records[np.arange(stride) < sizes[:, None]] = data[at[0] : at[-1]]
+            shards = slot // per_shard
+            starts = np.flatnonzero(np.diff(shards, prepend=-1))
+            for start, stop in zip(starts, [*starts[1:], len(slot)]):
+                shard = int(shards[start])
                 if shard != open_shard:
                     if out is not None:
                         out.close(f"shard-{open_shard:06d}.bin")
                     out, open_shard = Appender(folder, f"attempt-{shard:06d}"), shard
-                raw = ids.as_py()
-                place = out.write(raw + pad[len(raw) :])
-                if place != (slot - shard * per_shard) * stride:
-                    raise ValueError(f"slot {slot} is missing or out of order in shard {shard}")
-                rows.append((slot, doc_id, piece, n, shard, place, zlib.crc32(raw)))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            names = [field.split()[0] for field in _WRITTEN.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                place = out.write(records[start:stop].tobytes())
+                if (slot[start:stop] != shard * per_shard + place // stride + np.arange(stop - start)).any():
+                    raise ValueError(f"slots from {slot[start]} are missing or out of order in shard {shard}")
+            view = memoryview(data)
+            crc = [zlib.crc32(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("slot"), batch.column("doc_id"), batch.column("piece"), pa.array((sizes // 2).astype(np.int32)), pa.array(crc, pa.int64())],
+                [field.split()[0] for field in _WRITTEN.split(", ")],
+            )
         if out is not None:
             out.close(f"shard-{open_shard:06d}.bin")
 
@@ -126,25 +152,27 @@ def materialise(
     """
     scratch = Scratch(docs.sparkSession, "training-order")
     source = docs.select(col_(id_col).cast("long").alias("doc_id"), col_(text_col).cast("string").alias("body"))
-    cut = source.mapInArrow(_cut(vocabulary or default_vocabulary(), length), _SEQUENCES)
-    sequences = scratch.stage(cut, "sequences")
-    # A row per task of the cut: where its numbers start.
-    counts = sequences.groupBy("part").agg((F.max("at") + 1).alias("n")).orderBy("part").collect()
+    encoded = source.mapInArrow(_encoded(vocabulary or default_vocabulary(), length), _ENCODED)
+    encoded = scratch.stage(encoded, "encoded", level=6)
+    # A row per task of the encoding: where its numbers start.
+    counts = encoded.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n")).orderBy("part").collect()
     size = sum(row["n"] for row in counts)
     starts, total = [], 0
     for row in counts:
         starts.append((row["part"], total))
         total += row["n"]
     offsets = docs.sparkSession.createDataFrame(starts, "part int, base long")
-    numbered = sequences.join(F.broadcast(offsets), "part").withColumn("number", F.col("base") + F.col("at"))
-    slotted = numbered.select("number", "doc_id", "piece", "n_tokens", "ids").mapInArrow(
-        _slots(size, key, per_shard), "shard int, slot long, doc_id long, piece int, n_tokens int, ids binary"
-    )
-    shards = max(1, -(-size // per_shard))
-    ranged = slotted.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+    numbered = encoded.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("at")).alias("number"), "ids")
+    placed = numbered.mapInArrow(_placed(size, key, length), _PLACED)
+    # A partition per shard, and so per range of slots: no sampling for bounds.
+    shard = F.floor(F.col("slot") / per_shard).cast("int")
+    ranged = placed.repartitionById(max(1, -(-size // per_shard)), shard).sortWithinPartitions("slot")
     written = scratch.stage(ranged.mapInArrow(_write(folder, length, per_shard), _WRITTEN), "written")
-    scratch.drop("sequences")
-    return written
+    scratch.drop("encoded")
+    return written.select(
+        "slot", "doc_id", "piece", "n_tokens", shard.alias("shard"),
+        (F.pmod("slot", F.lit(per_shard)) * 2 * length).cast("long").alias("byte_offset"), "ids_crc32",
+    )
 
 
 def read_slots(folder: str, start: int, stop: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
