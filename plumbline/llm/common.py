@@ -37,9 +37,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
 
-    def stage(self, df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, dense: bool = False) -> DataFrame:
+        """`df` written and read back; `dense` takes more CPU and less disk."""
         path = scratch_path(self.spark, f"{self.name}-{name}")
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+        writer = df.write.option("compression", "zstd")
+        if dense:
+            writer = writer.option("parquet.compression.codec.zstd.level", 7).option("parquet.page.size", 4 << 20)
+        writer.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -153,7 +153,7 @@ def materialise(
     scratch = Scratch(docs.sparkSession, "training-order")
     source = docs.select(col_(id_col).cast("long").alias("doc_id"), col_(text_col).cast("string").alias("body"))
     encoded = source.mapInArrow(_encoded(vocabulary or default_vocabulary(), length), _ENCODED)
-    encoded = scratch.stage(encoded, "encoded", level=6)
+    encoded = scratch.stage(encoded, "encoded", dense=True)
     # A row per task of the encoding: where its numbers start.
     counts = encoded.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n")).orderBy("part").collect()
     size = sum(row["n"] for row in counts)
