@@ -23,8 +23,8 @@ from plumbline.llm.common import Scratch, bytes_column, read_table, slices, stag
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SAMPLE_STEP = 16
-# Phrases are sent to the shards in blocks of this many, and so many blocks
-# in one pass: at most 32 MB of hashes at a time, however many phrases there are.
+# Phrases are searched in blocks of this many, and about so many blocks are sent
+# to the shards in one pass: 32 MB of hashes at a time, however many phrases there are.
 BLOCK = 4096
 BLOCKS_PER_PASS = 96
 # Occurrences located at a time.
@@ -277,43 +277,29 @@ def phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int = WI
     return source.mapInArrow(run, "phrase binary, item string").distinct()
 
 
-def _blocks(listed: DataFrame, block: int, window: int) -> DataFrame:
-    """The distinct phrases in numbered blocks: (pass, block, hashes, lengths).
-
-    Numbers are per hash bucket, so no task sees more than its bucket.
-    """
+def _passes(listed: DataFrame, per_pass: int) -> DataFrame:
+    """The distinct phrases in lists of about `per_pass`, dealt by their hash: (pass, phrases)."""
     table = listed.select("phrase").distinct()
+    number = F.pmod(F.xxhash64("phrase"), F.lit(max(1, -(-table.count() // per_pass))))
+    return table.groupBy(number.alias("pass")).agg(F.collect_list("phrase").alias("phrases"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, made, kept = TaskContext.get().partitionId(), 0, []
-
-        def packed():
-            rows = np.zeros((len(kept), window), "<u8")
-            for i, raw in enumerate(kept):
-                words = np.frombuffer(raw, "<u8")
-                rows[i, window - len(words) :] = words
-            lengths = np.array([len(raw) // 8 for raw in kept], "<i8")
-            name = f"{part}-{made}"
-            return pd.DataFrame({"block": [name], "hashes": [rows.tobytes()], "lengths": [lengths.tobytes()]})
-
-        for frame in batches:
-            for raw in frame["phrase"]:
-                kept.append(bytes(raw))
-                if len(kept) == block:
-                    yield packed()
-                    made += 1
-                    kept = []
-        if kept:
-            yield packed()
 
-    return table.mapInPandas(run, "block string, hashes binary, lengths binary")
+def _matrix(raw: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases as rows of word hashes, right-aligned, and their lengths."""
+    rows = np.zeros((len(raw), window), np.uint64)
+    for i, phrase in enumerate(raw):
+        rows[i, window - len(phrase) // 8 :] = np.frombuffer(phrase, "<u8")
+    return rows, np.array([len(phrase) // 8 for phrase in raw], np.int64)
 
 
 _HITS = "shard string, ordinal int, doc_id long, n_words long, spans array<struct<start:int,stop:int>>, found array<binary>"
 
 
-def _search(window: int):
-    """Rows (index, one block) -> every document of the shard with its hits."""
+def _search(window: int, every: bool):
+    """Rows (index, one pass's phrases) -> the documents of the shard with hits.
+
+    With `every`, those without hits have a row too.
+    """
     arrow = pa.schema(
         [
             ("shard", pa.string()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
@@ -322,46 +308,44 @@ def _search(window: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, index = None, None
         for batch in batches:
-            for row in batch.to_pylist():
+            for number in range(batch.num_rows):
+                row = batch.slice(number, 1).to_pylist()[0]
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) + np.arange(len(lengths))
-                if loaded != row["shard"]:
-                    alphabet = np.frombuffer(row["alphabet"], np.uint64)
-                    bits = np.frombuffer(row["bits"], np.uint64).reshape(-1, row["n"] // 64 + 1)
-                    marked = np.frombuffer(row["marked"], np.uint64)
-                    index = Index(alphabet, starts, bits, marked, np.frombuffer(row["samples"], np.int32), row["n"])
-                    loaded = row["shard"]
-                hashes = np.frombuffer(row["hashes"], np.uint64).reshape(-1, window)
-                sizes = np.frombuffer(row["phrase_lengths"], np.int64)
-                which, low, high = index.search(hashes, sizes)
+                alphabet = np.frombuffer(row["alphabet"], np.uint64)
+                bits = np.frombuffer(row["bits"], np.uint64).reshape(-1, row["n"] // 64 + 1)
+                marked = np.frombuffer(row["marked"], np.uint64)
+                index = Index(alphabet, starts, bits, marked, np.frombuffer(row["samples"], np.int32), row["n"])
                 cover = np.zeros(index.n + 1, np.int32)
-                pairs = [np.zeros((0, 2), np.int64)]
-                for a, b in _groups(high - low):
-                    count = high[a:b] - low[a:b]
-                    rows = np.repeat(low[a:b] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                    phrase = np.repeat(which[a:b], count)
-                    place = index.locate(rows)
-                    np.add.at(cover, place, 1)
-                    np.add.at(cover, place + sizes[phrase], -1)
-                    doc = np.searchsorted(starts, place, "right") - 1
-                    pairs.append(np.unique(np.stack((doc, phrase), axis=1), axis=0))
+                found = {}
+                for at in range(0, len(row["phrases"]), BLOCK):
+                    some = row["phrases"][at : at + BLOCK]
+                    which, low, high = index.search(*_matrix(some, window))
+                    for a, b in _groups(high - low):
+                        count = high[a:b] - low[a:b]
+                        rows = np.repeat(low[a:b] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                        phrase = np.repeat(which[a:b], count)
+                        place = index.locate(rows)
+                        size = np.array([len(some[p]) // 8 for p in which[a:b]], np.int64)
+                        np.add.at(cover, place, 1)
+                        np.add.at(cover, place + np.repeat(size, count), -1)
+                        doc = np.searchsorted(starts, place, "right") - 1
+                        for d, p in np.unique(np.stack((doc, phrase), axis=1), axis=0).tolist():
+                            found.setdefault(d, []).append(some[p])
                 hit = np.cumsum(cover)[: index.n] > 0
                 edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
                 begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 span_doc = np.searchsorted(starts, begin, "right") - 1
-                met = np.concatenate(pairs)
-                spans = [[] for _ in lengths]
+                spans = {}
                 for d, x, y in zip(span_doc.tolist(), (begin - starts[span_doc]).tolist(), (end - starts[span_doc]).tolist()):
-                    spans[d].append({"start": x, "stop": y})
-                found = [[] for _ in lengths]
-                for d, p in met.tolist():
-                    found[d].append(hashes[p, window - sizes[p] :].tobytes())
+                    spans.setdefault(d, []).append({"start": x, "stop": y})
+                listed = np.arange(len(lengths)) if every else np.array(sorted(spans), np.int64)
                 columns = [
-                    pa.array([row["shard"]] * len(lengths)), pa.array(np.arange(len(lengths), dtype=np.int32)),
-                    pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(spans, arrow.field("spans").type),
-                    pa.array(found, arrow.field("found").type),
+                    pa.array([row["shard"]] * len(listed), pa.string()), pa.array(listed.astype(np.int32)),
+                    pa.array(row["ids"], pa.int64()).take(pa.array(listed)), pa.array(lengths[listed]),
+                    pa.array([spans.get(d, []) for d in listed.tolist()], arrow.field("spans").type),
+                    pa.array([found.get(d, []) for d in listed.tolist()], arrow.field("found").type),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
@@ -394,23 +378,20 @@ def contamination(
     scratch = Scratch(docs.sparkSession, "decontaminate")
     listed = scratch.stage(phrases(benchmark, item_col, item_text_col, window), "phrases")
     index = scratch.stage(index_shards(docs, id_col, text_col), "index")
-    blocks = scratch.stage(_blocks(listed, BLOCK, window), "blocks")
-    numbered = blocks.withColumn("pass", F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks.count() // BLOCKS_PER_PASS)))))
-    passes = sorted(row[0] for row in numbered.select("pass").distinct().collect()) or [0]
+    passes = scratch.stage(_passes(listed, BLOCK * BLOCKS_PER_PASS), "passes")
+    numbers = sorted(row["pass"] for row in passes.select("pass").collect())
     hits = None
-    for number in passes:
-        one = numbered.where(F.col("pass") == number).select(
-            F.lit(0).alias("every"), "block", "hashes", F.col("lengths").alias("phrase_lengths")
-        )
-        if blocks.isEmpty():
-            none = np.zeros(0).tobytes()
-            one = index.sparkSession.createDataFrame([(0, "", none, none)], "every int, block string, hashes binary, phrase_lengths binary")
-        beside = index.withColumn("every", F.lit(0)).join(F.broadcast(one), "every").drop("every", "block")
-        part = beside.mapInArrow(_search(window), _HITS)
+    for number in numbers or [None]:
+        if number is None:
+            one = docs.sparkSession.createDataFrame([([],)], "phrases array<binary>")
+        else:
+            one = passes.where(F.col("pass") == number).select("phrases")
+        beside = index.withColumn("every", F.lit(0)).join(F.broadcast(one.withColumn("every", F.lit(0))), "every").drop("every")
+        part = beside.mapInArrow(_search(window, every=hits is None), _HITS)
         hits = part if hits is None else hits.union(part)
     hits = scratch.stage(hits, "hits")
-    many = blocks.count() > 1
-    scratch.drop("index", "blocks")
+    many = len(numbers) > 1
+    scratch.drop("index", "passes")
     row = ["shard", "ordinal"]
     if hits.where("size(spans) > 0").isEmpty():
         marks = hits.select(*row).limit(0).withColumn("items", F.lit(None).cast("array<string>"))
@@ -421,7 +402,7 @@ def contamination(
             .groupBy(*row)
             .agg(F.array_sort(F.collect_set("item")).alias("items"))
         )
-    # A shard has a row per block; together they are the document's hits.
+    # A document has a row per pass; together they are its hits.
     words = (
         hits.groupBy(*row, "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
         if many
