@@ -15,6 +15,10 @@ from plumbline.llm.packing import pack
 from plumbline.llm.quality import keep_quality
 
 
+# Documents this similar (in percent, on five-word shingles) or more are one group.
+NEAR_PERCENT = 80
+
+
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, read_table(spark, sf_dir, "labels"))
 
@@ -24,7 +28,7 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
