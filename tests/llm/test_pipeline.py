@@ -24,6 +24,6 @@ def test_stages(spark):
         assert left and left <= seen, name
         seen = left
     assert not contamination(docs, read_table(spark, SMALL, "benchmark")).where("contaminated").count()
-    assert near_duplicates(docs).where("NOT kept").isEmpty()
+    assert near_duplicates(docs, percent=corpus_pipeline.NEAR_PERCENT).where("NOT kept").isEmpty()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == seen
