@@ -61,15 +61,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, "stage").stage(df, name)
 
 
-# A filter of keys has this many bits, however many keys there are: 64 groups
-# of 32,768 bits, 256 KB in all. Fuller, it lets more rows through to the
+# A filter of keys has this many bits, however many keys there are, in words of
+# 64: at most 32,768 rows of two longs. Fuller, it lets more rows through to the
 # join behind it, which decides.
 _FILTER_BITS = 1 << 21
 
 
 def _slot(key: Column) -> Column:
-    """A key's bit in the filter, from 1, as the bitmap functions count."""
-    return F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS)) + 1
+    """A key's bit in the filter, from 0."""
+    return F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS))
 
 
 def marked_by(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
@@ -77,17 +77,15 @@ def marked_by(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFra
 
     The filter of the keys is broadcast; its size does not depend on the data.
     """
+    word, bits = f"{flag}_word", f"{flag}_bits"
     slot = _slot(F.col(keys.columns[0]))
-    bits = keys.groupBy(F.bitmap_bucket_number(slot).alias(f"{flag}_group")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(f"{flag}_bits")
-    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = keys.select(F.shiftright(slot, 6).alias(word), bit.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
     names = [col_(name) for name in df.columns]
     slot = _slot(key)
-    placed = df.select(*names, F.bitmap_bucket_number(slot).alias(f"{flag}_group"), F.bitmap_bit_position(slot).alias(f"{flag}_at"))
-    position = F.col(f"{flag}_at")
-    byte = F.conv(F.hex(F.substring(f"{flag}_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    is_set = F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
-    return placed.join(F.broadcast(bits), f"{flag}_group", "left").select(*names, is_set.alias(flag))
+    placed = df.select(*names, F.shiftright(slot, 6).alias(word), F.pmod(slot, F.lit(64)).cast("int").alias(f"{flag}_at"))
+    is_set = F.coalesce(F.getbit(F.col(bits), F.col(f"{flag}_at")) == 1, F.lit(False))
+    return placed.join(F.broadcast(words), word, "left").select(*names, is_set.alias(flag))
 
 
 def free_name(df: DataFrame, name: str) -> str:
