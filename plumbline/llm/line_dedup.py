@@ -14,12 +14,13 @@ from plumbline.functions.columns import col_
 from plumbline.llm.common import Scratch, marked_by, read_table
 
 MIN_WORDS = 5
+SPACES = " \t\r\x0b\f"
 
 
 def _trimmed(line: Column) -> Column:
     """A line's words with one space between them."""
     odd = line.contains("  ")
-    for space in "\t\r\x0b\f":
+    for space in SPACES[1:]:
         odd = odd | line.contains(space)
     return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
 
@@ -50,7 +51,9 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(text).alias("text_key"),
         F.posexplode(F.split(text, "\n")).alias("line_no", "raw"),
     )
-    return rows.withColumn("line", _trimmed(F.col("raw"))).drop("raw").where("line <> ''")
+    # Not asked of the trimmed line, which would then be cut twice.
+    rows = rows.where(F.ltrim("raw", F.lit(SPACES)) != "")
+    return rows.withColumn("line", _trimmed(F.col("raw"))).drop("raw")
 
 
 def _half_keys() -> Column:
@@ -72,17 +75,38 @@ def _half_keys() -> Column:
     return F.when(n > MIN_WORDS, F.array(*own, *longer)).otherwise(F.array(*own))
 
 
-def _variants() -> Column:
-    """(at, key) of the whole line, at -1, and of the line without each word."""
-    line, n = F.col("line"), F.col("n")
+def _variants(texts: DataFrame) -> DataFrame:
+    """(place, at, key) of every whole line, at -1, and of it without each word.
+
+    A key is the exclusive or of hashes of (word, position), twice 64 bits. To
+    leave out word i + 1 instead of word i changes one position, i, so all keys
+    of a line are one running scan and no variant is ever spelled out.
+    """
+
+    def xor(a: Column, b: Column) -> Column:
+        return a.bitwiseXOR(b)
+
+    def every(hashes: str) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), xor)
+
+    def scan(start: Column, steps: Column) -> Column:
+        return F.aggregate(steps, F.array(start), lambda keys, step: F.concat(keys, F.array(xor(F.element_at(keys, -1), step))))
 
-    def without(i: Column) -> Column:
-        head = F.when(i > 0, _first(line, i))
-        tail = F.when(i < n - 1, _last(line, n - 1 - i))
-        return F.struct(i.alias("at"), _hash(F.concat_ws(" ", head, tail)).alias("key"))
+    def hashed(words: Column, seed: int) -> Column:
+        return F.transform(words, lambda word, i: F.xxhash64(F.lit(seed), word, i))
 
-    whole = F.struct(F.lit(-1).alias("at"), _hash(line).alias("key"))
-    return F.concat(F.array(whole), F.transform(F.sequence(F.lit(0), n - 1), without))
+    rows = texts.select("place", F.split("line", " ").alias("words"))
+    for seed, half in enumerate("xy"):
+        # As they stand, and one place earlier: what follows a word left out.
+        later = F.slice("words", F.lit(2), F.size("words"))
+        rows = rows.withColumns({f"own_{half}": hashed(F.col("words"), seed), f"early_{half}": hashed(later, seed)})
+    keys = []
+    for half in "xy":
+        own, early = f"own_{half}", f"early_{half}"
+        steps = F.zip_with(F.slice(own, F.lit(1), F.size(early)), early, xor)
+        keys.append(F.concat(F.array(every(own)), scan(every(early), steps)))
+    pairs = F.zip_with(*keys, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return rows.select("place", F.posexplode(pairs).alias("at", "key")).withColumn("at", F.col("at") - 1)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -125,7 +149,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = maybe.select("doc", "line_no", "k", "line").join(spots, ["doc", "line_no", "k"])
     texts = scratch.stage(texts.select("k", "place", "n", "line").dropDuplicates(["k"]), "texts")
 
-    keyed = scratch.stage(texts.select("place", F.explode(_variants()).alias("v")).select("place", "v.at", "v.key"), "variants")
+    keyed = scratch.stage(_variants(texts), "variants")
     # On a key, lines without the same word position replace a word; a whole
     # line meets any line that is it with one word more.
     by_place = keyed.groupBy("key", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c"))
