@@ -246,3 +246,18 @@ def test_html_copies_are_not_template(spark):
     rows = [(n, "http://h.org/", page) for n in range(9)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
     assert {r["text"] for r in html_extract.extract(frame).collect()} == {"Head same\nFirst & same.\nSecond text same."}
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "select", "template", "noscript"])
+def test_html_unclosed_elements_lose_no_text(spark, tag):
+    pages = [
+        (1, f"<p>Before.</p><{tag}><p>Between.</p><p>After.</p>"),
+        (2, f"<{tag}><article><p>Before.</p><p>Between.</p><p>After.</p></article>"),
+        (3, f"<p>Before.</p><{tag}><{tag}>x</{tag}>y</{tag}><p>After.</p>"),
+        (4, "<div><p>So <a href=x>much of it is linked</a>.</p></div>"),
+    ]
+    rows = [(i, f"http://h{i}.org/", page) for i, page in pages]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "Before.\nBetween.\nAfter."
+    assert got[3] == ("Before.\nxy\nAfter." if tag in ("math", "object") else "Before.\nAfter.")
+    assert got[4] == "So much of it is linked."
