@@ -261,3 +261,27 @@ def test_html_unclosed_elements_lose_no_text(spark, tag):
     assert got[1] == got[2] == "Before.\nBetween.\nAfter."
     assert got[3] == ("Before.\nxy\nAfter." if tag in ("math", "object") else "Before.\nAfter.")
     assert got[4] == "So much of it is linked."
+
+
+def _html_texts(frame):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+
+
+def test_html_constant_among_many_paragraphs(spark):
+    rows = []
+    for n in range(12):
+        own = [f"<p>Own {n} {k}.</p>" for k in range(9 + n % 3)]
+        # One text is on every page, one on 7 of 12, one on 5 of 12.
+        own[2:2] = ["<p>All.</p>"] + ["<p>Most.</p>"] * (n < 7) + ["<p>Some.</p>"] * (n >= 7)
+        rows.append((n, "http://h.org/", "<article>" + "".join(own) + "</article>"))
+    got = _html_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    for n in range(12):
+        own = [f"Own {n} {k}." for k in range(9 + n % 3)]
+        own[2:2] = ["Some."] * (n >= 7)
+        assert got[n].split("\n") == own
+
+
+def test_html_ties_over_the_node_limit_stay(monkeypatch):
+    monkeypatch.setattr(html_extract, "NODES", 5)
+    root = html_extract.loaded(["", [["p", []] for _ in range(9)]])
+    assert len(html_extract._pruned(root).children) == 4
