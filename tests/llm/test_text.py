@@ -285,3 +285,18 @@ def test_html_ties_over_the_node_limit_stay(monkeypatch):
     monkeypatch.setattr(html_extract, "NODES", 5)
     root = html_extract.loaded(["", [["p", []] for _ in range(9)]])
     assert len(html_extract._pruned(root).children) == 4
+
+
+def test_html_copies_count_once_for_any_split(spark):
+    def page(*texts):
+        return "<article>" + "".join(f"<p>{text}</p>" for text in texts) + "</article>"
+
+    # Half of ten distinct pages and the copied one have "Boiler."; "Shared." is on two and the copies.
+    rows = [(n, page(*["Boiler."] * (n < 6), f"Own {n}.", *["Shared."] * (n in (3, 8)), f"End {n}.")) for n in range(10)]
+    rows += [(100 + k, page("Copied one.", "Shared.", "Copied two.")) for k in range(60)]
+    rows = [(i, "http://h.org/", text) for i, text in rows]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 3, 9):
+        got = _html_texts(frame.repartition(parts))
+        assert got[3] == "Own 3.\nShared.\nEnd 3." and got[8] == "Own 8.\nShared.\nEnd 8." and got[0] == "Own 0.\nEnd 0."
+        assert got[100] == got[159] == "Copied one.\nShared.\nCopied two."
