@@ -96,18 +96,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is not in `gone` (one column, doc_id).
+def without_rows(docs: DataFrame, keys: list[Column], verdicts: DataFrame) -> DataFrame:
+    """`docs` without the rows that `verdicts` (one column per key, once) names.
 
-    Rows that the key filter clears go straight through; only the others, and
-    so only about as many texts as go, are shuffled to be looked up.
+    Rows of a key with `once` are copies of one another, and one of them stays;
+    those of the other keys go. Null is a key like any other. Rows that the key
+    filter clears go straight through; only the others, and so only about as
+    many texts as go, are shuffled to be looked up.
     """
-    flag = free_name(docs, "maybe_gone")
     names = [col_(name) for name in docs.columns]
-    flagged = marked_by(docs, col_(id_col).cast("long"), gone, flag)
-    doubtful = flagged.where(F.col(flag))
-    kept = doubtful.join(gone, doubtful[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
-    return flagged.where(~F.col(flag)).select(*names).union(kept.select(*names))
+    fields = verdicts.drop("once").schema.fields
+    flag, tag = free_name(docs, "maybe_gone"), free_name(docs, "row_key")
+    own = {f"{tag}_{i}": key.cast(field.dataType) for i, (key, field) in enumerate(zip(keys, fields))}
+    named = verdicts.select(*[F.col(field.name).alias(f"v_{name}") for field, name in zip(fields, own)], "once")
+    listed = named.select(F.xxhash64(*[f"v_{name}" for name in own]).alias("key"))
+    flagged = marked_by(docs.withColumns(own), F.xxhash64(*own), listed, flag)
+
+    def met(which: DataFrame, how: str) -> DataFrame:
+        same = [F.col(name).eqNullSafe(F.col(f"v_{name}")) for name in own]
+        return flagged.where(F.col(flag)).join(which, same, how)
+
+    kept = flagged.where(~F.col(flag)).select(*names).union(met(named, "left_anti").select(*names))
+    single = named.where("once")
+    return kept if single.isEmpty() else kept.union(met(single, "left_semi").dropDuplicates(list(own)).select(*names))
 
 
 def ascii_lower(text: Column) -> Column:

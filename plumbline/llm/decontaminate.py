@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import col_
-from plumbline.llm.common import Scratch, bytes_column, read_table, slices, stage, text_bytes, without_ids, word_hashes
+from plumbline.llm.common import Scratch, bytes_column, read_table, slices, stage, text_bytes, without_rows, word_hashes
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -427,9 +427,15 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that no test phrase hits, with their columns."""
-    hit = contamination(docs, benchmark, id_col, text_col).where("contaminated").select("doc_id").distinct()
-    return without_ids(docs, id_col, stage(hit, "contaminated"))
+    """The rows of `docs` that no test phrase hits, with their columns.
+
+    The verdict is that of a row's own text, whatever its id: rows are known
+    by a 64-bit hash of both.
+    """
+    key = F.xxhash64(col_(id_col), text_bytes(col_(text_col)))
+    rows = docs.select(key.alias("doc_id"), col_(text_col).alias("text"))
+    hit = contamination(rows, benchmark).where("contaminated").select("doc_id").distinct().withColumn("once", F.lit(False))
+    return without_rows(docs, [key], stage(hit, "contaminated"))
 
 
 def op4_benchmark_decontamination(spark, sf_dir):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col_
-from plumbline.llm.common import Scratch, ascii_lower, marked_by, read_table, stage, without_ids
+from plumbline.llm.common import Scratch, ascii_lower, marked_by, read_table, stage, without_rows
 
 def normalised(text: Column) -> Column:
     """What is compared: A-Z lower-cased, null as empty."""
@@ -70,9 +70,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of `docs` that stay, with their columns."""
-    gone = exact_duplicates(docs, id_col, text_col, keep).where(~F.col("kept")).select("doc_id")
-    return without_ids(docs, id_col, stage(gone, "exact-gone"))
+    """The rows of `docs` that stay, one of each group, with their columns.
+
+    Of rows that repeat both id and text one stays.
+    """
+    groups = exact_duplicates(docs, id_col, text_col, keep).where("group_size > 1").groupBy("doc_id", "text_sha256")
+    verdicts = groups.agg(F.max("kept").alias("once"), F.count(F.lit(1)).alias("n")).where("NOT once OR n > 1").drop("n")
+    return without_rows(docs, [col_(id_col), F.sha2(normalised(col_(text_col)), 256)], stage(verdicts, "exact-gone"))
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col_
 from plumbline.llm.common import (
-    Scratch, bytes_column, marked_by, mixed, read_table, slices, stage, text_bytes, without_ids, word_hashes,
+    Scratch, bytes_column, marked_by, mixed, read_table, slices, stage, text_bytes, without_rows, word_hashes,
 )
 from plumbline.llm.components import components
 
@@ -120,9 +120,14 @@ def hopeful(a, b, n_a, n_b, percent: int) -> np.ndarray:
     return (guess >= bound - ERRORS * error) & sized
 
 
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key, registers, bands) of every row."""
+    """(doc_id, digest of the text, n_shingles, set_key, registers, bands) of every row."""
     source = docs.select(col_(id_col).cast("long").alias("doc_id"), text_bytes(col_(text_col)).alias("body"))
+    source = source.withColumn("digest", _digest(F.col("body")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,15 +145,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, n),
+                        batch.column("digest").slice(start, n),
                         pa.array(size.astype(np.int64)),
                         pa.array(keys, pa.binary()),
                         pa.array([row.tobytes() for row in signature], pa.binary()),
                         flat,
                     ],
-                    ["doc_id", "n_shingles", "set_key", "registers", "bands"],
+                    ["doc_id", "digest", "n_shingles", "set_key", "registers", "bands"],
                 )
 
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, digest binary, n_shingles long, set_key binary, registers binary, bands array<long>")
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -336,54 +342,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their shingle sets; component_id is the smallest doc_id reachable over
     links, and kept says that it is the row's own. A document without words,
     empty or null, has an empty set and is linked with nothing. Equal sets are
-    one class before banding. Rows that repeat an id share its verdict; the
-    first by set stands for it. A null id is linked with nothing, has a null
-    component and is kept. Other columns are ignored; no rows give no rows.
+    one class before banding. Rows that repeat an id are documents of their
+    own, linked by their texts alone. A null id is linked with nothing, has a
+    null component and is kept. Other columns are ignored; no rows give no rows.
+    """
+    out = _grouped(docs, id_col, text_col, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """doc_id, digest, n_shingles, component_id and root of every row.
+
+    The root names the row's group, and is null where the group is the row alone.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     table = scratch.stage(signatures(docs, id_col, text_col), "signatures")
-    ids = scratch.stage(table.select("doc_id", "n_shingles", "set_key"), "ids")
+    ids = scratch.stage(table.select("doc_id", "digest", "n_shingles", "set_key"), "ids")
     usable = table.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = scratch.stage(classes, "classes")
-    chosen = usable.join(classes.select("set_key", "id"), "set_key").where("doc_id = id").dropDuplicates(["id"])
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.stage(classes.withColumn("id", F.col("first")), "classes")
+    # A class goes by its smallest doc_id, or by a number where others have that id too.
+    clash = not classes.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if clash:
+        classes = scratch.stage(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    chosen = usable.join(classes.select("set_key", "id", "first"), "set_key").where("doc_id = first").dropDuplicates(["id"])
     bands = scratch.stage(chosen.select("id", F.explode("bands").alias("key")).where("key <> 0"), "bands")
     leaders = bands.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
     pairs = bands.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = scratch.stage(pairs, "pairs")
     ends = scratch.stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
-    sketches = scratch.stage(chosen.join(ends, "id").select("id", F.col("n_shingles").alias("n"), "registers"), "sketches")
+    sketches = scratch.stage(chosen.join(ends, "id").select("id", F.col("n_shingles").alias("n"), "registers", "digest"), "sketches")
+    wanted = scratch.stage(sketches.select("id", "digest"), "wanted")
+    sketches = sketches.drop("digest")
     scratch.drop("signatures", "bands")
 
     hoped = _beside(pairs, sketches).mapInPandas(_likely(percent), "a long, b long")
     hoped = scratch.stage(hoped, "hoped")
-    bodies = docs.select(col_(id_col).cast("long").alias("id"), text_bytes(col_(text_col)).alias("body"))
-    maybe = marked_by(bodies, F.col("id"), ends, "maybe").where("maybe").drop("maybe")
-    texts = scratch.stage(maybe.join(ends, "id").dropDuplicates(["id"]), "texts")
+    bodies = docs.select(col_(id_col).cast("long").alias("doc_id"), text_bytes(col_(text_col)).alias("body"))
+    bodies = bodies.where("doc_id IS NOT NULL").select(_digest(F.col("body")).alias("digest"), "body")
+    maybe = marked_by(bodies, F.col("digest"), wanted.select("digest"), "maybe").where("maybe").drop("maybe")
+    texts = scratch.stage(maybe.join(wanted, "digest").select("id", "body").dropDuplicates(["id"]), "texts")
     compared = _beside(hoped, texts).mapInArrow(_compare(percent), _STAR)
     links = scratch.stage(compared.where("linked").select("a", "b"), "links")
     found = scratch.stage(components(links), "first-components")
     stars = _beside(_open_pairs(pairs, found), texts).mapInArrow(_compare(percent), _STAR)
     stars = scratch.stage(stars, "stars")
-    scratch.drop("texts", "ends", "pairs", "sketches", "hoped", "links")
+    scratch.drop("texts", "ends", "wanted", "pairs", "sketches", "hoped", "links")
     more = scratch.stage(_more_links(stars, found, percent), "more-links")
     scratch.drop("stars")
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more))
         found = scratch.stage(found, "components")
-    scratch.keep_only("ids", "classes", "first-components", "components")
+    scratch.keep_only("ids", "classes", "numbered", "first-components", "components")
     found = found.withColumnRenamed("component_id", "root")
     groups = classes.join(found, "id", "left").where("copies > 1 OR root IS NOT NULL")
-    groups = groups.select("set_key", F.coalesce("root", "id").alias("root"))
-    out = ids.join(groups, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    groups = groups.select("set_key", F.coalesce("root", "id").alias("root"), "first")
+    if clash:
+        groups = groups.join(groups.groupBy("root").agg(F.min("first").alias("smallest")), "root")
+    else:
+        groups = groups.withColumn("smallest", F.col("root"))
+    # Rows without an id have a set too, but are in no group.
+    out = ids.join(groups.drop("first"), "set_key", "left")
+    with_id = F.col("doc_id").isNotNull()
+    component = F.when(with_id, F.coalesce("smallest", "doc_id")).alias("component_id")
+    return out.select("doc_id", "digest", "n_shingles", component, F.when(with_id, F.col("root")).alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that stay, one document of each group, with their columns."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select("doc_id")
-    return without_ids(docs, id_col, stage(gone, "near-gone"))
+    """The rows of `docs` that stay, one document of each group, with their columns.
+
+    It is the one of the smallest id; of a repeated id, the first by digest.
+    """
+    members = _grouped(docs, id_col, text_col, percent).where("root IS NOT NULL")
+    members = stage(members.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "near-members")
+    stay = members.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("row")).select("root", "row.*", F.lit(True).alias("once"))
+    verdicts = members.join(stay, ["root", "doc_id", "digest"], "left").where("once IS NULL OR n > 1")
+    verdicts = verdicts.select("doc_id", "digest", F.coalesce("once", F.lit(False)).alias("once"))
+    key = [col_(id_col).cast("long"), _digest(text_bytes(col_(text_col)))]
+    return without_rows(docs, key, stage(verdicts, "near-gone"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir):

@@ -2,9 +2,12 @@
 
 import hashlib
 
+import pytest
+
 from llm_fixtures import docs, prose  # noqa: F401
 from plumbline.llm import line_dedup, near_dedup
 from plumbline.llm.components import components
+from plumbline.llm.decontaminate import drop_contaminated
 from plumbline.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
 
@@ -161,3 +164,23 @@ def test_lines_by_brute_force(docs, prose):
     want = {i for i, a in split if any(j < i and near(a, b) for j, b in split)}
     got = {r["doc_id"] for r in line_dedup.line_report(docs(*rows)).collect() if r["n_removed"]}
     assert got == want
+
+
+def _texts(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_drops_by_row_not_by_id(spark, prose, kind):
+    a, b, c, null = prose(1), prose(2), prose(3), None
+    near = a + " more"
+    frame = lambda *rows: spark.createDataFrame(list(rows), f"doc_id {kind}, text string")
+    exact = drop_exact_duplicates(frame((null, c), (null, b), (7, b), (5, a), (5, c + "x"), (9, a), (8, "q"), (8, "Q"), (null, "z"), (null, "z")))
+    assert [(i, t.lower()) for i, t in _texts(exact)] == sorted([(null, c), (7, b), (5, c + "x"), (9, a), (8, "q"), (null, "z")], key=str)
+    left = near_dedup.drop_near_duplicates(frame((null, c), (null, near), (5, a), (5, b), (9, near), (9, c), (5, b), (6, prose(4)), (6, prose(4) + " x")))
+    got = _texts(left)
+    assert [row for row in got if row[0] != 6] == sorted([(null, c), (null, near), (5, a), (5, b), (9, c)], key=str)
+    assert [i for i, _ in got].count(6) == 1
+    bench = spark.createDataFrame([("q", b)], "item_id string, text string")
+    clean = drop_contaminated(frame((null, a), (null, b), (5, b + " x"), (5, c), (7, a)), bench)
+    assert _texts(clean) == sorted([(null, a), (5, c), (7, a)], key=str)
