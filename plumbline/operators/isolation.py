@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset, Field
 from plumbline.functions.columns import col_, stack_columns
@@ -92,45 +92,73 @@ def _fit_column(sample: np.ndarray, ordinal: int) -> StepFunction:
 _MODEL = "ordinal int, breaks array<double>, outlier array<boolean>"
 
 
-def fit_forests(ds: Dataset, fields: list[Field]) -> dict[int, StepFunction]:
-    """A step function per column, fitted on the cluster, one task per column.
+def _coins_below(bound: float) -> Column:
+    """How many of the coins (start + k) / copies, k from 0, are under `bound`."""
+    coins = F.ceil(F.lit(bound) * F.col("copies") - F.col("start")).cast("long")
+    return F.least(F.greatest(coins, F.lit(0).cast("long")), F.col("copies"))
+
+
+def _copies(drawn: DataFrame) -> DataFrame:
+    """A row per copy of `drawn` whose coin counts, with the coin as u."""
+    each = drawn.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("coins") - 1)))
+    return each.withColumn("u", (F.col("start") + F.col("k")) / F.col("copies")).drop("start", "copies", "coins", "k")
 
-    Rows are thinned by a hash of their content, so the choice does not depend
-    on how the table is split, before the window keeps its bounded top: each
-    column's group holds at most SAMPLE_ROWS values. Infinite values are scored
-    but never sampled.
+
+def _sampled(ds: Dataset, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows with `copies`, and at most SAMPLE_ROWS values (ordinal, v) per column.
+
+    Equal rows are counted, and the coins of a row's n copies are spread evenly
+    over [0, 1) from a start that is a hash of the row's content. So the choice
+    does not depend on how the table is split, and a value is drawn as often as
+    its share of the rows. Coins thin the rows before the window keeps its
+    bounded top. Infinite values are never sampled.
     """
-    if not fields:
-        return {}
     coin = F.xxhash64(F.lit(SEED), *[col_(name) for name in ds.df.columns])
-    coin = F.shiftrightunsigned(coin, 11).cast("double") / F.lit(float(1 << 53))
-    values = ds.df.select(coin.alias("u"), *[f.as_double.alias(f"v{f.ordinal}") for f in fields])
+    start = F.shiftrightunsigned(coin, 11).cast("double") / F.lit(float(1 << 53))
+    rows = ds.df.select(start.alias("start"), *[f.as_double.alias(f"v{f.ordinal}") for f in fields])
+    groups = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
     drawn = stack_columns(
-        values,
+        groups,
         [
             F.struct(
                 F.lit(f.ordinal).alias("ordinal"),
-                F.when(F.col("u") < F.lit(min(1.0, 3.0 * SAMPLE_ROWS / max(f.n, 1))), F.col(f"v{f.ordinal}")).alias("v"),
-                F.col("u").alias("u"),
+                F.col(f"v{f.ordinal}").alias("v"),
+                "start",
+                "copies",
+                _coins_below(min(1.0, 3.0 * SAMPLE_ROWS / max(f.n, 1))).alias("coins"),
             )
             for f in fields
         ],
-    ).where("v IS NOT NULL AND abs(v) < double('Infinity')")
+    ).where("coins > 0 AND v IS NOT NULL AND abs(v) < double('Infinity')")
+    drawn = _copies(drawn)
     first = Window.partitionBy("ordinal").orderBy("u", "v")
     sample = drawn.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE_ROWS)
+    return groups, sample.select("ordinal", "v")
+
+
+def fit_forests(ds: Dataset, fields: list[Field]) -> dict[int, StepFunction]:
+    """A step function per column, fitted on the cluster, one task per column.
+
+    Infinite values are scored but never sampled.
+    """
+    if not fields:
+        return {}
+    groups, sample = _sampled(ds, fields)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         ordinal = int(pdf["ordinal"].iloc[0])
         model = _fit_column(np.sort(pdf["v"].to_numpy()), ordinal)
         return pd.DataFrame({"ordinal": [ordinal], "breaks": [model.breaks], "outlier": [model.outlier]})
 
-    rows = sample.select("ordinal", "v").groupBy("ordinal").applyInPandas(fit, _MODEL).collect()
+    rows = sample.groupBy("ordinal").applyInPandas(fit, _MODEL).collect()
     found = {r["ordinal"]: StepFunction(np.array(r["breaks"]), np.array(r["outlier"])) for r in rows}
     for f in fields:
         if f.ordinal not in found:
-            # Every row's coin missed: a table of few, often repeated rows.
+            # Every finite value's coin missed: there are few among many infinite ones.
             v = F.col(f"v{f.ordinal}")
-            top = values.where(v.isNotNull() & (F.abs(v) < float("inf"))).select(v.alias("v"), "u").orderBy("u", "v").limit(SAMPLE_ROWS)
+            finite = groups.where(v.isNotNull() & (F.abs(v) < float("inf")))
+            finite = finite.select(v.alias("v"), "start", "copies", F.col("copies").alias("coins"))
+            top = _copies(finite).orderBy("u", "v").limit(SAMPLE_ROWS)
             sample = np.sort(np.array([r["v"] for r in top.collect()], float))
             found[f.ordinal] = _fit_column(sample, f.ordinal) if len(sample) else StepFunction(np.array([]), np.array([False]))
     return found

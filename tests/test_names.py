@@ -1,7 +1,9 @@
 """Users' column names never meet the operators' own."""
 
+import pytest
+
 from plumbline.dataset import Dataset
-from plumbline.operators import missingness, outliers
+from plumbline.operators import isolation, missingness, outliers
 
 
 def test_rank_sums_beside_generated_names(make):
@@ -26,3 +28,19 @@ def test_forest_is_the_same_for_any_split_and_name(spark):
 def test_forest_with_infinite_and_repeated_values(make):
     ds = make([(5.0, 1.0)] * 200 + [(6.0, float("inf"))], "x double, y double")
     assert outliers.isolation_forest(ds).count() >= 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_forest_samples_values_by_their_share(spark, monkeypatch, seed):
+    monkeypatch.setattr(isolation, "SEED", seed)
+    n = isolation.SAMPLE_ROWS * 6
+    hot = "IF(id % 3 = 0, 5.0D, CAST(id % 10000 AS DOUBLE) + 1000) AS v"
+    few = "CAST(id % 4 AS DOUBLE) AS v"
+    for column, value, share in ((hot, 5.0, 1 / 3), (few, 2.0, 1 / 4)):
+        drawn = []
+        for parts in (2, 5):
+            ds = Dataset(spark.range(n).selectExpr(column).repartition(parts))
+            _, sample = isolation._sampled(ds, outliers._checked(ds))
+            drawn.append(sorted(r["v"] for r in sample.collect()))
+        assert drawn[0] == drawn[1] and len(drawn[0]) == isolation.SAMPLE_ROWS
+        assert abs(drawn[0].count(value) / isolation.SAMPLE_ROWS - share) < 0.01
