@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col_
 from plumbline.llm.common import Scratch, bytes_column, read_table, slices, stage, text_bytes, without_rows, word_hashes
@@ -362,6 +362,19 @@ def _groups(counts: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def _merged(spans: Column) -> Column:
+    """The spans in order, those that overlap or touch made one."""
+
+    def step(done: Column, span: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
+        before = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        apart = F.coalesce(span["start"] > last["stop"], F.lit(True))
+        return F.when(apart, F.concat(done, F.array(span))).otherwise(F.concat(before, F.array(joined)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,stop:int>>"), step)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
@@ -404,13 +417,12 @@ def contamination(
         )
     # A document has a row per pass; together they are its hits.
     words = (
-        hits.groupBy(*row, "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        hits.groupBy(*row, "doc_id", "n_words").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"))
         if many
         else hits.select(*row, "doc_id", "n_words", "spans")
     )
-    inside = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    n_hit = F.when(F.size("spans") > 0, F.size(F.array_distinct(inside))).otherwise(0).cast("long")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return (
         words.join(marks, row, "left")
         .withColumn("n_hit", n_hit)

@@ -300,3 +300,13 @@ def test_html_copies_count_once_for_any_split(spark):
         got = _html_texts(frame.repartition(parts))
         assert got[3] == "Own 3.\nShared.\nEnd 3." and got[8] == "Own 8.\nShared.\nEnd 8." and got[0] == "Own 0.\nEnd 0."
         assert got[100] == got[159] == "Copied one.\nShared.\nCopied two."
+
+
+def test_contamination_spans_are_the_same_in_one_pass_and_in_several(spark, docs, prose, monkeypatch):
+    bench = spark.createDataFrame([(k, prose(k, 40)) for k in range(3)], "item_id long, text string")
+    rows = [(0, prose(0, 40) + " apart " + prose(1, 40)), (1, "x " + prose(2, 40)), (2, prose(0, 30) + " " + prose(1, 35)), (3, "clean"), (4, None)]
+    once = {r["doc_id"]: tuple(r) for r in decontaminate.contamination(docs(*rows), bench).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK", 3)
+    monkeypatch.setattr(decontaminate, "BLOCKS_PER_PASS", 2)
+    several = {r["doc_id"]: tuple(r) for r in decontaminate.contamination(docs(*rows), bench).collect()}
+    assert several == once and once[0][2] == 80 and once[0][-1].count("start") == 2 and once[2][-1].count("start") == 1
