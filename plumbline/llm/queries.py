@@ -11,6 +11,7 @@ from plumbline.llm import (
     packing,
     pii,
     quality,
+    token_counts,
     training_order,
     warc,
 )
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op13_token_counts": token_counts.op13_token_counts,
 }
 ORACLES = {"op9_warc": warc.OP9_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
