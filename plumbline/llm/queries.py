@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -14,6 +15,7 @@ from plumbline.llm import (
     token_counts,
     training_order,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_token_counts": token_counts.op13_token_counts,
 }
 ORACLES = {"op9_warc": warc.OP9_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}

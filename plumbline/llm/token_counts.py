@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import col_
+from plumbline.functions.worker import kept
 from plumbline.llm.common import Scratch, read_table
 from plumbline.llm.frequent import frequent
 
@@ -40,8 +41,6 @@ REST, DIGEST = SPACE + "\n", SPACE + "\r"
 _SEGMENT = re.compile(f"\n[^ {SPACE}\n]*|[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+")
 _ODD = re.compile(f"[ \n]{{2}}|{SPACE}")
 
-_LOADED: dict[str, "Pieces"] = {}
-
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -134,10 +133,8 @@ def key_of(token: str) -> str:
 
 
 def pieces_of(path: str) -> Pieces:
-    """The worker's vocabulary of a file; workers live across tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    """The worker's vocabulary of a file."""
+    return kept(("pieces", path), lambda: Pieces(path))
 
 
 _DISTINCT = pa.schema([("key", pa.string()), ("long_text", pa.string()), ("n", pa.int64())])
