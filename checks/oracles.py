@@ -1055,6 +1055,8 @@ _HIT = f"""(len(words) > 0
    AND NOT regexp_matches(lower(sentence), {q(_NEG)} || '\\Q' || b || '\\E'))) > 0
   OR len(list_filter(range(1, len(words) + 1), lambda i: len(list_filter(actions, lambda b: starts_with(words[i], b) OR (length(b) >= 4 AND contains(words[i], b)))) > 0
    AND (i = 1 OR len(list_intersect(words[greatest(i - 4, 1):i - 1], {_array(NEGATORS)})) = 0))) > 0))"""
+# A word under three letters that only begins a target names it weakly.
+_STRONG = _HIT.replace("starts_with(g, x)", "(length(x) >= 3 AND starts_with(g, x))")
 ORACLES["action_object_match"] = f"WITH {ANSWERS}, {RULES} " + (
     f"SELECT condition_id, count(*) AS sentences, count(*) FILTER (WHERE {_HIT}) AS matches FROM w, rubric GROUP BY 1"
 )
@@ -1099,8 +1101,8 @@ ORACLES["triggered_conditions"] = ctes("events_dirty", *_EVENT_RULES) + (
 # The evidence and the answers both start from a CTE named t; answers get their own.
 _ANSWERS_2 = ANSWERS.replace("t AS MATERIALIZED", "raw AS MATERIALIZED", 1).replace("FROM t),", "FROM raw),", 1)
 CHECKS = ctes("events_dirty", *_EVENT_RULES, _ANSWERS_2).rstrip() + (
-    f", hits AS (SELECT DISTINCT run_id, pipeline, condition_id FROM w, cond WHERE {_HIT}), "
-    "ck AS (SELECT a.run_id, a.pipeline, c.condition_id, c.keywords, h.condition_id IS NOT NULL AS recommendation_matched FROM a CROSS JOIN cond c "
+    f", hits AS (SELECT run_id, pipeline, condition_id, NOT bool_or({_STRONG}) AS weak FROM w, cond WHERE {_HIT} GROUP BY 1, 2, 3), "
+    "ck AS (SELECT a.run_id, a.pipeline, c.condition_id, c.keywords, h.condition_id IS NOT NULL AS recommendation_matched, coalesce(h.weak, false) AS weak_match FROM a CROSS JOIN cond c "
     "LEFT JOIN hits h ON h.run_id = a.run_id AND h.pipeline = a.pipeline AND h.condition_id = c.condition_id), "
     "acc AS (SELECT run_id, pipeline, count(*) FILTER (WHERE recommendation_matched) AS matched, count(*) AS triggered, "
     "round(count(*) FILTER (WHERE recommendation_matched) / count(*), 4) AS recommendation_accuracy FROM ck GROUP BY 1, 2), "
@@ -1110,13 +1112,20 @@ CHECKS = ctes("events_dirty", *_EVENT_RULES, _ANSWERS_2).rstrip() + (
     "round(seconds, 3) AS execution_time_seconds, CASE WHEN a.pipeline = 'multi_agent' THEN 7 ELSE 1 END AS llm_call_count, recommendation_accuracy FROM a JOIN acc USING (run_id, pipeline)), "
     "m AS (SELECT * EXCLUDE (c0, confidence), CASE WHEN confidence IS NOT NULL THEN c0 END AS confidence_score FROM met) "
 )
-ORACLES["rubric_checks"] = CHECKS + "SELECT run_id, pipeline, condition_id, recommendation_matched FROM ck"
+ORACLES["rubric_checks"] = CHECKS + "SELECT run_id, pipeline, condition_id, recommendation_matched, weak_match FROM ck"
 ORACLES["rubric_accuracy"] = CHECKS + "SELECT * FROM acc"
 ORACLES["keyword_coverage"] = CHECKS + (
     "SELECT run_id, pipeline, sum(CASE WHEN recommendation_matched THEN len(keywords) ELSE 0 END)::BIGINT AS matched, sum(len(keywords))::BIGINT AS total, "
     "round(100.0::DOUBLE * sum(CASE WHEN recommendation_matched THEN len(keywords) ELSE 0 END) / sum(len(keywords)), 4) AS pct FROM ck GROUP BY 1, 2"
 )
 ORACLES["response_metrics"] = CHECKS + "SELECT * FROM m"
+_METRIC_NOTES = {
+    "STRUCTURAL": "Share of the required fields that are filled.",
+    "DESCRIPTIVE": "A size only; neither side is better for it.",
+    "SELF-REPORTED": "Claimed by the model itself and not verified.",
+    "EFFICIENCY": "The smaller value is better.",
+    "CORRECTNESS": "Share of the triggered conditions that are answered; null where none is.",
+}
 _BETTER = {"higher": ">", "lower": "<"}
 ORACLES["metric_comparison"] = CHECKS + " UNION ALL ".join(
     f"SELECT run_id, {i}::INT AS ord, {q(name)} AS metric, {q(category)} AS category, a AS m4_value, b AS m5_value, "
@@ -1125,8 +1134,8 @@ ORACLES["metric_comparison"] = CHECKS + " UNION ALL ".join(
         if direction
         else "NULL::VARCHAR"
     )
-    + f" AS better FROM (SELECT run_id, max({name}) FILTER (WHERE pipeline = 'single_agent')::DOUBLE AS a, max({name}) FILTER (WHERE pipeline = 'multi_agent')::DOUBLE AS b FROM m GROUP BY 1)"
-    for i, (name, category, direction, _) in enumerate(METRICS)
+    + f" AS better, {q(_METRIC_NOTES[category])} AS note FROM (SELECT run_id, max({name}) FILTER (WHERE pipeline = 'single_agent')::DOUBLE AS a, max({name}) FILTER (WHERE pipeline = 'multi_agent')::DOUBLE AS b FROM m GROUP BY 1)"
+    for i, (name, category, direction) in enumerate(METRICS)
 )
 ORACLES["comparison_report"] = CHECKS + (
     "SELECT run_id, condition_id, "

@@ -410,6 +410,10 @@ def _checks(spark, sf_dir) -> DataFrame:
     return evaluation.rubric_checks(_scored_input(spark, sf_dir), _conditions(spark, sf_dir))
 
 
+def _checked(spark, sf_dir) -> DataFrame:
+    return evaluation.checked_responses(_scored_input(spark, sf_dir), _conditions(spark, sf_dir))
+
+
 @query("sentence_split")
 def _sentence_split(spark, sf_dir):
     said = evaluation.response_sentences(_scored_input(spark, sf_dir))
@@ -439,7 +443,7 @@ on("triggered_conditions", "events_dirty", evaluation.triggered_conditions, "eve
 
 @query("rubric_checks")
 def _rubric_checks(spark, sf_dir):
-    return _checks(spark, sf_dir).select("run_id", "pipeline", "condition_id", "recommendation_matched")
+    return _checks(spark, sf_dir).select("run_id", "pipeline", "condition_id", "recommendation_matched", "weak_match")
 
 
 @query("rubric_accuracy")
@@ -454,13 +458,12 @@ def _keyword_coverage(spark, sf_dir):
 
 @query("response_metrics")
 def _response_metrics(spark, sf_dir):
-    return evaluation.response_metrics(_scored_input(spark, sf_dir), _checks(spark, sf_dir))
+    return evaluation.response_metrics(_checked(spark, sf_dir))
 
 
 @query("metric_comparison")
 def _metric_comparison(spark, sf_dir):
-    metrics = evaluation.response_metrics(_scored_input(spark, sf_dir), _checks(spark, sf_dir))
-    return evaluation.metric_comparison(metrics).drop("note")
+    return evaluation.metric_comparison(evaluation.response_metrics(_checked(spark, sf_dir)))
 
 
 @query("comparison_report")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import beside, null_of, union_all
+from plumbline.functions.columns import beside, col_, null_of, union_all
+from plumbline.functions.rules import HITS, matcher
 from plumbline.functions.text import sentences, strip, tokens
 from plumbline.operators.association import associated_pairs
 from plumbline.operators.missingness import missing_columns, missing_summary, ordered_list
@@ -75,18 +76,25 @@ RUBRIC_SCHEMA = (
     "condition_id string, description string, actions array<string>, targets array<string>, keywords array<string>"
 )
 
-# Metric, category, better direction (None: descriptive), note.
+# Metric, category, better direction (None: descriptive).
 METRICS = (
-    ("output_completeness", "STRUCTURAL", "higher", "Primary quality signal. 1.0 = all required fields present."),
-    ("narrative_length_chars", "DESCRIPTIVE", None, "Observed count. Longer is NOT inherently better."),
-    ("key_risk_count", "DESCRIPTIVE", None, "Observed count. More risks is NOT inherently better."),
-    ("recommendation_count", "DESCRIPTIVE", None, "Observed count. More recommendations is NOT inherently better."),
-    ("confidence_score", "SELF-REPORTED", None, "LLM self-reported. Not externally validated."),
-    ("execution_time_seconds", "EFFICIENCY", "lower", "Lower is better. M5 always expected to be slower (7 LLM calls)."),
-    ("llm_call_count", "EFFICIENCY", "lower", "M4=1, M5=7 by design. Lower = cheaper."),
-    ("recommendation_accuracy", "CORRECTNESS", "higher", "M6-B rubric-based correctness. Primary research quality signal. None when no EDA conditions were triggered."),
-)
-M4, M5 = "single_agent", "multi_agent"
+    ("output_completeness", "STRUCTURAL", "higher"),
+    ("narrative_length_chars", "DESCRIPTIVE", None),
+    ("key_risk_count", "DESCRIPTIVE", None),
+    ("recommendation_count", "DESCRIPTIVE", None),
+    ("confidence_score", "SELF-REPORTED", None),
+    ("execution_time_seconds", "EFFICIENCY", "lower"),
+    ("llm_call_count", "EFFICIENCY", "lower"),
+    ("recommendation_accuracy", "CORRECTNESS", "higher"),
+)
+NOTES = {
+    "STRUCTURAL": "Share of the required fields that are filled.",
+    "DESCRIPTIVE": "A size only; neither side is better for it.",
+    "SELF-REPORTED": "Claimed by the model itself and not verified.",
+    "EFFICIENCY": "The smaller value is better.",
+    "CORRECTNESS": "Share of the triggered conditions that are answered; null where none is.",
+}
+SINGLE, MULTI = "single_agent", "multi_agent"
 
 
 # -- rubric against the data -------------------------------------------------
@@ -240,51 +248,81 @@ def response_sentences(responses: DataFrame) -> DataFrame:
     ).withColumn("words", tokens(F.col("sentence")))
 
 
-def rubric_checks(responses: DataFrame, conditions: DataFrame, window: int = NEGATION_WINDOW) -> DataFrame:
-    """run_id, pipeline, condition_id, description, keywords, recommendation_matched.
+def _packed_rules(conditions: DataFrame) -> Column:
+    """All rules of a group as one JSON list, in order of their names."""
+    return F.to_json(F.array_sort(F.collect_list(F.struct(*[F.col(f.split()[0]) for f in RUBRIC_SCHEMA.split(", ")]))))
 
-    Each response is cut into sentences once and meets the handful of conditions
-    in place; the check runs inside the row, so nothing is shuffled. An
-    entry without actions or targets falls back to its keywords. With a
+
+def checked_responses(responses: DataFrame, conditions: DataFrame, window: int = NEGATION_WINDOW) -> DataFrame:
+    """`responses` with a column `checks`: one struct per condition of the response's evidence.
+
+    A struct has condition_id, description, keywords, recommendation_matched and
+    weak_match (followed only by words under three letters that begin a target,
+    such as "a" for "age"). All rules of an evidence are matched together, by
+    one automaton that meets each response once; nothing is shuffled. An entry
+    without actions or targets falls back to its keywords. With a
     `dataset_hash` on both sides a response meets only the conditions of its own
-    dataset.
+    dataset, and responses of other datasets are left out.
     """
-    keyed = "dataset_hash" in responses.columns and "dataset_hash" in conditions.columns
-    keys = ["run_id", "pipeline"] + (["dataset_hash"] if keyed else [])
-    cut = responses.select(
-        *keys,
-        F.transform(_all_sentences(), lambda s: F.struct(s.alias("text"), tokens(s).alias("words"))).alias("said"),
-    )
-    pairs = cut.join(F.broadcast(conditions), "dataset_hash") if keyed else with_rules(cut, conditions)
-    empty = (F.size("actions") == 0) | (F.size("targets") == 0)
-    together = F.lower(F.array_join(F.transform("said", lambda s: s["text"]), " "))
-    worded = F.exists("keywords", lambda k: together.contains(F.lower(k)))
-    match = F.exists(
-        "said", lambda s: grammar_match(s["text"], s["words"], F.col("actions"), F.col("targets"), window)
-    )
-    return pairs.select(
-        *keys,
-        "condition_id",
-        "description",
-        "keywords",
-        F.when(empty, worded).otherwise(match).alias("recommendation_matched"),
+    if "dataset_hash" in responses.columns and "dataset_hash" in conditions.columns:
+        packed = conditions.groupBy("dataset_hash").agg(_packed_rules(conditions).alias("rules_"))
+        paired = responses.join(packed, "dataset_hash").select(*[col_(c) for c in responses.columns], "rules_")
+    else:
+        # Rules are a written table of a few rows: they travel as one literal.
+        packed = conditions.agg(_packed_rules(conditions).alias("rules_")).first()["rules_"]
+        paired = responses.withColumn("rules_", F.lit(packed))
+    hits = F.arrow_udf(matcher(NEGATORS, window), HITS)
+    rules = F.from_json("rules_", f"array<struct<{RUBRIC_SCHEMA.replace(' string', ':string').replace(' array', ':array')}>>")
+    checks = F.zip_with(
+        rules,
+        F.col("hits_"),
+        lambda rule, hit: F.struct(
+            rule["condition_id"].alias("condition_id"),
+            rule["description"].alias("description"),
+            rule["keywords"].alias("keywords"),
+            hit["matched"].alias("recommendation_matched"),
+            hit["weak"].alias("weak_match"),
+        ),
     )
+    met = paired.withColumn("hits_", hits(F.col("recommendations"), F.col("narrative"), F.col("rules_")))
+    return met.select(*[col_(c) for c in responses.columns], checks.alias("checks"))
+
+
+def _keys(frame: DataFrame) -> list[str]:
+    """What names a response: the same run may meet several datasets."""
+    return ["run_id", "pipeline"] + (["dataset_hash"] if "dataset_hash" in frame.columns else [])
+
+
+def _run_keys(frame: DataFrame) -> list[str]:
+    return [key for key in _keys(frame) if key != "pipeline"]
+
+
+def rubric_checks(responses: DataFrame, conditions: DataFrame, window: int = NEGATION_WINDOW) -> DataFrame:
+    """run_id, pipeline, condition_id, description, keywords, recommendation_matched, weak_match.
+
+    One row per response and condition, as `checked_responses` finds them; with
+    a `dataset_hash` on both sides it is among the columns.
+    """
+    keys = ["run_id", "pipeline"]
+    if "dataset_hash" in responses.columns and "dataset_hash" in conditions.columns:
+        keys.append("dataset_hash")
+    return checked_responses(responses, conditions, window).select(*keys, F.inline("checks"))
 
 
 def accuracy(checks: DataFrame) -> DataFrame:
-    """run_id, pipeline, matched, triggered, recommendation_accuracy."""
+    """run_id, pipeline (and dataset_hash), matched, triggered, recommendation_accuracy."""
     return (
-        checks.groupBy("run_id", "pipeline")
+        checks.groupBy(*_keys(checks))
         .agg(F.count_if("recommendation_matched").alias("matched"), F.count(F.lit(1)).alias("triggered"))
         .withColumn("recommendation_accuracy", F.round(F.try_divide("matched", "triggered"), 4))
     )
 
 
 def keyword_coverage(checks: DataFrame) -> DataFrame:
-    """run_id, pipeline, matched, total, pct: keywords of the matched conditions."""
+    """run_id, pipeline (and dataset_hash), matched, total, pct: keywords of the matched conditions."""
     size = F.size("keywords")
     return (
-        checks.groupBy("run_id", "pipeline")
+        checks.groupBy(*_keys(checks))
         .agg(F.sum(F.when(F.col("recommendation_matched"), size).otherwise(0)).alias("matched"), F.sum(size).alias("total"))
         .withColumn("pct", F.round(F.coalesce(F.try_divide(F.col("matched") * F.lit(100.0), F.col("total")), F.lit(0.0)), 4))
     )
@@ -293,8 +331,12 @@ def keyword_coverage(checks: DataFrame) -> DataFrame:
 # -- metrics -----------------------------------------------------------------
 
 
-def response_metrics(responses: DataFrame, checks: DataFrame | None = None) -> DataFrame:
-    """One row per response with the eight metrics and the status."""
+def response_metrics(responses: DataFrame) -> DataFrame:
+    """One row per response with the eight metrics and the status.
+
+    Accuracy is read off the row's own `checks`, where `checked_responses` put
+    them; without that column, or without a condition, it is null.
+    """
     filled = [
         F.coalesce(strip(F.col("narrative")) != "", F.lit(False)),
         F.coalesce(F.size("key_risks") > 0, F.lit(False)),
@@ -305,9 +347,13 @@ def response_metrics(responses: DataFrame, checks: DataFrame | None = None) -> D
     confidence = F.col("confidence").cast("string").try_cast("double")
     seconds = F.col("execution_time_seconds").cast("string").try_cast("double")
     calls = F.try_element_at("extra", F.lit("llm_call_count")).try_cast("int")
-    scored = responses.select(
-        "run_id",
-        "pipeline",
+    if "checks" in responses.columns:
+        matched = F.size(F.filter("checks", lambda check: check["recommendation_matched"]))
+        right = F.round(F.try_divide(matched, F.size("checks")), 4)
+    else:
+        right = null_of("double")
+    return responses.select(
+        *_keys(responses),
         F.col("status") if "status" in responses.columns else F.lit("unknown").alias("status"),
         F.round(present / 4, 4).alias("output_completeness"),
         F.length(F.coalesce("narrative", F.lit(""))).alias("narrative_length_chars"),
@@ -317,37 +363,36 @@ def response_metrics(responses: DataFrame, checks: DataFrame | None = None) -> D
             "confidence_score"
         ),
         F.coalesce(F.round(seconds, 3), F.lit(0.0)).alias("execution_time_seconds"),
-        F.coalesce(calls, F.when(F.col("pipeline") == M4, 1).otherwise(0)).alias("llm_call_count"),
+        F.coalesce(calls, F.when(F.col("pipeline") == SINGLE, 1).otherwise(0)).alias("llm_call_count"),
+        right.alias("recommendation_accuracy"),
     )
-    if checks is None:
-        return scored.withColumn("recommendation_accuracy", null_of("double"))
-    return scored.join(accuracy(checks).drop("matched", "triggered"), ["run_id", "pipeline"], "left")
 
 
 def metric_comparison(metrics: DataFrame) -> DataFrame:
-    """run_id, ord, metric, category, m4_value, m5_value, better, note.
+    """run_id (and dataset_hash), ord, metric, category, m4_value, m5_value, better, note.
 
     Descriptive and self-reported metrics have no better side; there is no
     overall winner.
     """
+    keys = _run_keys(metrics)
     long = metrics.select(
-        "run_id",
+        *keys,
         "pipeline",
         F.inline(
             F.array(
                 *[
                     F.struct(F.lit(i).alias("ord"), F.col(name).cast("double").alias("value"))
-                    for i, (name, _, _, _) in enumerate(METRICS)
+                    for i, (name, _, _) in enumerate(METRICS)
                 ]
             )
         ),
     )
-    sides = long.groupBy("run_id", "ord").agg(
-        F.max(F.when(F.col("pipeline") == M4, F.col("value"))).alias("m4_value"),
-        F.max(F.when(F.col("pipeline") == M5, F.col("value"))).alias("m5_value"),
+    sides = long.groupBy(*keys, "ord").agg(
+        F.max(F.when(F.col("pipeline") == SINGLE, F.col("value"))).alias("m4_value"),
+        F.max(F.when(F.col("pipeline") == MULTI, F.col("value"))).alias("m5_value"),
     )
     table = metrics.sparkSession.createDataFrame(
-        [(i, *row) for i, row in enumerate(METRICS)],
+        [(i, *row, NOTES[row[1]]) for i, row in enumerate(METRICS)],
         "ord int, metric string, category string, direction string, note string",
     )
     a, b = F.col("m4_value"), F.col("m5_value")
@@ -357,15 +402,15 @@ def metric_comparison(metrics: DataFrame) -> DataFrame:
         F.when(a == b, "tie").when(first, "m4").otherwise("m5"),
     )
     return sides.join(F.broadcast(table), "ord").select(
-        "run_id", "ord", "metric", "category", "m4_value", "m5_value", better.alias("better"), "note"
+        *keys, "ord", "metric", "category", "m4_value", "m5_value", better.alias("better"), "note"
     )
 
 
 def comparison_report(checks: DataFrame) -> DataFrame:
-    """run_id, condition_id, m4, m5 as OK / NO / - per condition."""
+    """run_id (and dataset_hash), condition_id, m4, m5 as OK / NO / - per condition."""
 
     def mark(pipeline: str) -> Column:
         hit = F.max(F.when(F.col("pipeline") == pipeline, F.col("recommendation_matched")))
         return F.when(hit, "OK").when(~hit, "NO").otherwise("-")
 
-    return checks.groupBy("run_id", "condition_id").agg(mark(M4).alias("m4"), mark(M5).alias("m5"))
+    return checks.groupBy(*_run_keys(checks), "condition_id").agg(mark(SINGLE).alias("m4"), mark(MULTI).alias("m5"))

@@ -51,6 +51,7 @@ def run_experiment(raw: DataFrame, datasets: list[tuple[Dataset, str | None]]) -
         [own_narrative(ds, target).withColumn("dataset_hash", F.lit(dataset_hash(ds))) for ds, target in datasets]
     )
     parsed = parse_responses(raw, fallback)
-    checks = evaluation.rubric_checks(parsed, evidence_of(datasets))
-    metrics = evaluation.response_metrics(parsed, checks)
+    checked = evaluation.checked_responses(parsed, evidence_of(datasets))
+    metrics = evaluation.response_metrics(checked)
+    checks = checked.select("run_id", "pipeline", "dataset_hash", F.inline("checks"))
     return Experiment(parsed, checks, metrics, evaluation.metric_comparison(metrics))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -5,6 +6,7 @@ from conftest import keyed
 from pyspark.sql import functions as F
 
 from plumbline.operators import evaluation as ev
+from plumbline.functions.rules import RuleAutomaton
 from plumbline.functions.text import sentences, tokens
 from plumbline.plans import experiment
 from plumbline.sources import readers
@@ -173,7 +175,7 @@ def test_experiment_keeps_datasets_apart(spark, evidence, make):
     other = make([(float(i), float(i * i)) for i in range(12)], "x double, y double")
     sets = [(evidence, "churn"), (other, "y")]
     raw = spark.createDataFrame(
-        [(i, p, readers.dataset_hash(ds), "text", 1.0, {}) for i, (ds, _) in enumerate(sets) for p in (ev.M4, ev.M5)],
+        [(i, p, readers.dataset_hash(ds), "text", 1.0, {}) for i, (ds, _) in enumerate(sets) for p in (ev.SINGLE, ev.MULTI)],
         "run_id int, pipeline string, dataset_hash string, text string, execution_time_seconds double, extra map<string,string>",
     )
     done = experiment.run_experiment(raw, sets)
@@ -181,3 +183,45 @@ def test_experiment_keeps_datasets_apart(spark, evidence, make):
     assert (0, "class_imbalance") in asked and (1, "regression_task") in asked
     assert (1, "class_imbalance") not in asked and (0, "regression_task") not in asked
     assert done.metrics.count() == 4 and done.comparison.count() == 16
+
+
+def test_automaton_agrees_with_the_column_form(spark):
+    """Random sentences of stems, negators and short words, both forms of the grammar side by side."""
+    rng = random.Random(11)
+    stems = [stem for row in ev.RUBRIC for part in (row[2], row[3]) for stem in part]
+    words = stems + list(ev.NEGATORS) * 2 + ["a", "o", "mi", "the", "xfillx", "xcapx", "rows", "é", "one-hot", "-", "r2", "Use"]
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(800)]
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").withColumn("w", tokens(F.col("s")))
+    hit = ev.grammar_match(F.col("s"), F.col("w"), F.col("actions"), F.col("targets"))
+    plain = ev.with_rules(frame, ev.rubric(spark)).where(hit).select("i", "condition_id").collect()
+    rules = [dict(zip(("condition_id", "description", "actions", "targets", "keywords"), row)) for row in ev.RUBRIC]
+    automaton = RuleAutomaton(rules, ev.NEGATORS, ev.NEGATION_WINDOW)
+    masks = [strong | weak for strong, weak in map(automaton._sentence, rows)]
+    found = {(i, rule["condition_id"]) for i, mask in enumerate(masks) for k, rule in enumerate(rules) if mask >> k & 1}
+    assert found == {tuple(row) for row in plain} and len(found) > 200
+
+
+def test_weak_match(spark):
+    rules = spark.createDataFrame([("c", "d", ["fill"], ["age"], ["impute"])], ev.RUBRIC_SCHEMA)
+    said = ["Fill a gap.", "Fill ages.", "Fill ag. Fill age.", "Fill ag.", "A gap.", None]
+    table_ = responses(spark, *[(i, "m", "ok", s, [], [None], None, 0.0, {}) for i, s in enumerate(said)])
+    found = keyed(ev.rubric_checks(table_, rules), "run_id", "recommendation_matched", "weak_match")
+    assert found == {0: (True, True), 1: (True, False), 2: (True, False), 3: (True, True), 4: (False, False), 5: (False, False)}
+
+
+def test_one_run_id_on_two_datasets(spark):
+    rules = spark.createDataFrame(
+        [("x", "c1", "d", ["fill"], ["gap"], []), ("x", "c2", "d", ["cap"], ["tail"], []), ("y", "c1", "d", ["fill"], ["gap"], [])],
+        "dataset_hash string, " + ev.RUBRIC_SCHEMA,
+    )
+    rows = [(1, p, "ok", "Fill the gap.", [], [], None, 0.0, {}, h) for p in ("single_agent", "multi_agent") for h in ("x", "y", "z")]
+    table_ = spark.createDataFrame(rows, RESPONSE + ", dataset_hash string")
+    checked = ev.checked_responses(table_, rules)
+    metrics = ev.response_metrics(checked)
+    assert keyed(metrics.where("pipeline = 'single_agent'"), "dataset_hash", "recommendation_accuracy") == {"x": 0.5, "y": 1.0}
+    checks = ev.rubric_checks(table_, rules)
+    assert sorted(r["matched"] for r in ev.accuracy(checks).collect()) == [1, 1, 1, 1]
+    right = ev.metric_comparison(metrics).where("metric = 'recommendation_accuracy'")
+    assert keyed(right, "dataset_hash", "m4_value", "better") == {"x": (0.5, "tie"), "y": (1.0, "tie")}
+    report = ev.comparison_report(checks).select("dataset_hash", "condition_id", "m4").collect()
+    assert {tuple(r) for r in report} == {("x", "c1", "OK"), ("x", "c2", "NO"), ("y", "c1", "OK")}
