@@ -3,9 +3,9 @@
 Both vocabularies' token ends over a stretch of text are merged by merge path:
 binary searches along diagonals divide the merge into pieces of equal work,
 each piece emits its overlaps on its own, and overlaps are stitched into groups
-where pieces meet. Linked id pairs are counted by document in a first pass over
-the corpus; a second pass looks the counts up, the frequent pairs (a bounded
-table) on the spot, all others in a shuffled join.
+where pieces meet. Documents are encoded once. Linked id pairs are counted by
+document in a first pass over the ids; a second pass looks the counts up, the
+frequent pairs (a bounded table) on the spot, all others in a shuffled join.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import col_
 from plumbline.functions.worker import kept
-from plumbline.llm.common import Scratch, only, read_table
+from plumbline.llm.common import Scratch, bytes_column, read_table, slices
 from plumbline.llm.frequent import frequent
 from plumbline.llm.token_counts import SPACE, pieces_of
 from plumbline.llm.tokens import _byte_characters
@@ -31,8 +32,10 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 # Characters of whole texts whose tokens a task holds at a time; a longer text is taken alone.
 SLICE_CHARS = 1 << 20
-# Distinct stretches of text whose ids a worker remembers.
-CACHED = 400_000
+# Distinct stretches of text whose ids a worker remembers, twice as many in all.
+CACHED = 300_000
+# Characters of new stretches that are encoded in one call.
+LEARNED_CHARS = 1 << 16
 CACHED_LENGTH = 64
 # Merge steps of a piece.
 PIECE = 1 << 15
@@ -97,47 +100,107 @@ class Both:
         self.bytes = bytes_a, bytes_b
         self.lengths = tuple(np.array([len(x) for x in table], np.int64) for table in self.bytes)
         self.ways = len(bytes_b)
+        # As narrow as the vocabulary allows.
+        self.kinds = tuple(np.dtype(np.uint16 if len(table) <= 1 << 16 else np.uint32) for table in self.bytes)
         # How an id is written: in the midst of its group, and as the last of its vocabulary there.
         self.names = tuple(
             np.array([[f"{i}{mark}" for i in range(len(table))] for mark in marks], object)
             for table, marks in zip(self.bytes, (",|", ",;"))
         )
-        self.known_a: dict[str, bytes] = {}
-        self.known_b: dict[str, bytes] = {}
+        # Ids by stretch in two generations: what was not met lately is forgotten.
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         # Stretches whose bytes a vocabulary does not give back.
         self.odd: set[str] = set()
 
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        a = self.a.encode(text, add_special_tokens=False).ids
+        return np.array(a, self.kinds[0]), np.array(self.b.encode(text), self.kinds[1])
+
+    def _gives_back(self, side: int, ids: np.ndarray, raw: bytes) -> bool:
+        return b"".join(map(self.bytes[side].__getitem__, ids.tolist())) == raw
+
     def learn(self, missing: list[str]) -> None:
+        """Encode stretches laid end to end, in one call for many of them.
+
+        Where both sides of a stretch's ends are solid the calls give what each
+        stretch alone would; the others are encoded alone.
+        """
         texts = [_written(name) for name in missing]
-        ids_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        table_a, table_b = self.bytes
-        for name, text, a, b in zip(missing, texts, ids_a, ids_b):
-            self.known_a[name] = np.array(a, np.uint32).tobytes()
-            self.known_b[name] = np.array(b, np.uint32).tobytes()
-            raw = text.encode()
-            if b"".join(map(table_a.__getitem__, a)) != raw or b"".join(map(table_b.__getitem__, b)) != raw:
+        solid = [i for i, text in enumerate(texts) if text[0] in " \n" and not text[-1].isspace() and SPACE not in text]
+        block: list[int] = []
+        chars = 0
+        for i in solid:
+            block.append(i)
+            chars += len(texts[i])
+            if chars >= LEARNED_CHARS:
+                self._learn_block([missing[i] for i in block], [texts[i] for i in block])
+                block, chars = [], 0
+        if block:
+            self._learn_block([missing[i] for i in block], [texts[i] for i in block])
+        for i in sorted(set(range(len(texts))).difference(solid)):
+            self._learn_alone(missing[i], texts[i])
+
+    def _learn_alone(self, name: str, text: str) -> None:
+        raw = text.encode()
+        for side, ids in enumerate(self._ids(text)):
+            self.known[side][name] = ids.tobytes()
+            if not self._gives_back(side, ids, raw):
                 self.odd.add(name)
 
-    def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of each text as unsigned 32-bit values; none where the bytes differ."""
+    def _learn_block(self, names: list[str], texts: list[str]) -> None:
+        parts = [text.encode() for text in texts]
+        stops = np.cumsum([len(part) for part in parts])
+        whole = b"".join(parts)
+        for side, ids in enumerate(self._ids(whole.decode())):
+            ends = self.lengths[side][ids].cumsum()
+            at = np.searchsorted(ends, stops, "left")
+            if not self._gives_back(side, ids, whole) or (ends[at] != stops).any():
+                for name, text in zip(names, texts):
+                    self._learn_alone(name, text)
+                return
+            raw, known = ids.tobytes(), self.known[side]
+            edges = [0, *((at + 1) * ids.itemsize).tolist()]
+            for name, start, stop in zip(names, edges, edges[1:]):
+                known[name] = raw[start:stop]
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per vocabulary: the ids of all texts in a row, and where each text's end.
+
+        A text whose bytes a vocabulary does not give back has none.
+        """
         cut = [stretches(text) if text else [] for text in texts]
-        names = set().union(*cut) if cut else set()
-        if len(self.known_a) + len(names) > CACHED:
-            self.known_a, self.known_b, self.odd = {}, {}, set()
-        missing = [name for name in names if name not in self.known_a]
-        if missing:
-            self.learn(missing)
-        get_a, get_b = self.known_a.__getitem__, self.known_b.__getitem__
-        wrong = self.odd & names
-        out = [
-            (b"", b"") if wrong and not wrong.isdisjoint(parts) else (b"".join(map(get_a, parts)), b"".join(map(get_b, parts)))
-            for parts in cut
-        ]
+        words = list(chain.from_iterable(cut))
+        names = list(dict.fromkeys(words))
+        place = dict(zip(names, range(len(names))))
+        if len(self.known[0]) + len(names) > CACHED:
+            self.older, self.known = self.known, ({}, {})
+        missing = []
+        for name in place.keys() - self.known[0].keys():
+            if name in self.older[0]:
+                for side in (0, 1):
+                    self.known[side][name] = self.older[side][name]
+            else:
+                missing.append(name)
+        self.learn(missing)
+        codes = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        bounds = np.concatenate([[0], np.cumsum([len(part) for part in cut], dtype=np.int64)])
+        odd = np.fromiter((name in self.odd for name in names), bool, len(names)) if self.odd else np.zeros(len(names), bool)
+        faults = np.concatenate([[0], np.cumsum(odd[codes])])
+        sound = np.repeat(faults[bounds[1:]] == faults[bounds[:-1]], np.diff(bounds))
+        out = []
+        for known, kind in zip(self.known, self.kinds):
+            parts = list(map(known.__getitem__, names))
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize
+            pool, starts = np.frombuffer(b"".join(parts), kind), np.cumsum(sizes) - sizes
+            counts = np.where(sound, sizes[codes], 0)
+            stops = np.concatenate([[0], np.cumsum(counts)])
+            at = np.repeat(starts[codes] - stops[:-1], counts) + np.arange(stops[-1])
+            out.append((pool[at], stops[bounds]))
         # Long stretches are not worth remembering.
         for name in missing:
             if len(name) > CACHED_LENGTH:
-                del self.known_a[name], self.known_b[name]
+                del self.known[0][name], self.known[1][name]
                 self.odd.discard(name)
         return out
 
@@ -208,19 +271,18 @@ def group_ends(a: np.ndarray, b: np.ndarray, work: int = PIECE) -> tuple[np.ndar
 class Aligned:
     """The groups and links of a slice of documents, laid end to end."""
 
-    def __init__(self, both: Both, texts: list[str]):
-        raw = both(texts)
-        self.n_a = np.array([len(a) // 4 for a, _ in raw], np.int64)
-        self.n_b = np.array([len(b) // 4 for _, b in raw], np.int64)
-        self.a = np.frombuffer(b"".join(a for a, _ in raw), np.uint32).astype(np.int64)
-        self.b = np.frombuffer(b"".join(b for _, b in raw), np.uint32).astype(np.int64)
+    def __init__(self, both: Both, side_a: tuple[np.ndarray, np.ndarray], side_b: tuple[np.ndarray, np.ndarray]):
+        (a, stops_a), (b, stops_b) = side_a, side_b
+        self.n_a, self.n_b = np.diff(stops_a), np.diff(stops_b)
+        self.a, self.b = a.astype(np.int64), b.astype(np.int64)
         ends_a, ends_b = both.lengths[0][self.a].cumsum(), both.lengths[1][self.b].cumsum()
         # Documents end at common ends, so no group reaches over two of them.
         self.stop_a, self.stop_b = group_ends(ends_a, ends_b)
         self.start_a, self.start_b = np.append(0, self.stop_a)[:-1], np.append(0, self.stop_b)[:-1]
         self.doc = np.searchsorted(self.n_a.cumsum(), self.start_a, "right")
         self.ways, self.names = both.ways, both.names
-        self.docs = len(raw)
+        self.pairs = len(both.bytes[0]) * both.ways
+        self.docs = len(self.n_a)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, id pair, links) once per document and pair, in that order."""
@@ -232,21 +294,23 @@ class Aligned:
         ways = np.repeat(wide_b[small], sizes)
         pair = self.a[np.repeat(self.start_a[small], sizes) + within // ways] * self.ways
         pair += self.b[np.repeat(self.start_b[small], sizes) + within % ways]
-        doc = np.repeat(self.doc[small], sizes)
-        docs, pairs, times = [doc], [pair], [np.ones(len(pair), np.int64)]
+        # A document and a pair in one number; a slice has far fewer documents than that allows.
+        key = np.repeat(self.doc[small], sizes) * self.pairs + pair
+        keys, times = [], []
         for g in np.flatnonzero(~small):
             ids_a, times_a = np.unique(self.a[self.start_a[g] : self.stop_a[g]], return_counts=True)
             ids_b, times_b = np.unique(self.b[self.start_b[g] : self.stop_b[g]], return_counts=True)
-            pairs.append((ids_a[:, None] * self.ways + ids_b).ravel())
+            keys.append((ids_a[:, None] * self.ways + ids_b).ravel() + self.doc[g] * self.pairs)
             times.append((times_a[:, None] * times_b).ravel())
-            docs.append(np.full(len(pairs[-1]), self.doc[g]))
-        doc, pair, n = map(np.concatenate, (docs, pairs, times))
-        order = np.lexsort((pair, doc))
-        doc, pair, n = doc[order], pair[order], n[order]
-        if not len(doc):
-            return doc, pair, n
-        starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])))
-        return doc[starts], pair[starts], np.add.reduceat(n, starts)
+        key.sort()
+        if not len(key) and not keys:
+            return key, key, key
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        key, n = key[starts], np.diff(np.append(starts, len(key)))
+        if keys:
+            key, place = np.unique(np.concatenate([key, *keys]), return_inverse=True)
+            n = _added(place, np.concatenate([n, *times]), len(key))
+        return key // self.pairs, key % self.pairs, n
 
     def written(self) -> list[str]:
         """Each document's groups as `a1,a2|b1;a3|b2,b3`."""
@@ -263,22 +327,56 @@ class Aligned:
         return ["".join(tokens[start:stop])[:-1] for start, stop in zip([0, *stops], stops)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches cut to about SLICE_CHARS characters of text, and their texts."""
+_ENCODED = "row long, doc_id long, a binary, b binary"
+
+
+def _encoded(vocabularies: tuple[str, str]):
+    """Each document's ids by both vocabularies, side by side in bytes."""
+
+    def rows(batch: pa.RecordBatch, both: Both, texts: list[str]) -> pa.RecordBatch:
+        sides = []
+        for ids, stops in both(texts):
+            offsets = pa.py_buffer((stops * ids.itemsize).astype(np.int32))
+            sides.append(pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(ids)]))
+        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *sides], names=["row", "doc_id", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = both_of(*vocabularies)
+        for batch in batches:
+            start, chars, texts = 0, 0, []
+            for at, text in enumerate(batch.column("body")):
+                texts.append(text.as_py() or "")
+                chars += len(texts[-1])
+                if chars >= SLICE_CHARS or at == batch.num_rows - 1:
+                    yield rows(batch.slice(start, at + 1 - start), both, texts)
+                    start, chars, texts = at + 1, 0, []
+
+    return run
+
+
+def _slices(batches: Iterator[pa.RecordBatch], both: Both) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+    """Encoded batches in slices of about SLICE_BYTES of ids, aligned."""
     for batch in batches:
-        start, chars, texts = 0, 0, []
-        for at, text in enumerate(batch.column("body")):
-            texts.append(text.as_py() or "")
-            chars += len(texts[-1])
-            if chars >= SLICE_CHARS or at == batch.num_rows - 1:
-                yield batch.slice(start, at + 1 - start), texts
-                start, chars, texts = at + 1, 0, []
+        sides = [bytes_column(batch, name) for name in "ab"]
+        for start, stop in slices(sides[0][1] + sides[1][1]):
+            parts = []
+            for (data, at), kind in zip(sides, both.kinds):
+                own = data[at[start] : at[stop]].view(kind)
+                parts.append((own, (at[start : stop + 1] - at[start]) // kind.itemsize))
+            yield batch.slice(start, stop - start), Aligned(both, *parts)
+
+
+def _added(place: np.ndarray, what: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of `what` by place."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, place, what)
+    return out
 
 
 def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     pair, n = np.concatenate([p for p, _ in held]), np.concatenate([n for _, n in held])
     names, at = np.unique(pair, return_inverse=True)
-    return names, np.bincount(at, n, len(names)).astype(np.int64)
+    return names, _added(at, n, len(names))
 
 
 def _pair_counts(vocabularies: tuple[str, str]):
@@ -286,8 +384,8 @@ def _pair_counts(vocabularies: tuple[str, str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, held, size = both_of(*vocabularies), [], 0
-        for _, texts in _slices(batches):
-            _, pair, _ = Aligned(both, texts).links()
+        for _, aligned in _slices(batches, both):
+            _, pair, _ = aligned.links()
             names, n = np.unique(pair, return_counts=True)
             held.append((names, n))
             size += len(names)
@@ -303,19 +401,34 @@ def _pair_counts(vocabularies: tuple[str, str]):
     return run
 
 
-def linked_pairs(docs: DataFrame, text_col: str = "text", vocabularies: tuple[str, str] | None = None) -> DataFrame:
-    """(a_id, b_id, n, best) of all linked id pairs: n documents hold the pair.
+def encoded(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabularies: tuple[str, str] | None = None
+) -> DataFrame:
+    """row, doc_id, a, b: the ids of every row by both vocabularies, in native byte order.
+
+    Ids take two bytes where the vocabulary allows, else four; `row` numbers
+    the rows once the result is written.
+    """
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        col_(id_col).cast("long").alias("doc_id"),
+        col_(text_col).cast("string").alias("body"),
+    )
+    return texts.mapInArrow(_encoded(vocabularies or default_vocabularies()), _ENCODED)
+
+
+def linked_pairs(ids: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
+    """(a_id, b_id, n, best) of all id pairs linked in `encoded` documents: n of them hold the pair.
 
     `best` marks the pairs whose count is the highest of their a_id, ties included.
     """
     chosen = vocabularies or default_vocabularies()
     ways = both_of(*chosen).ways
-    bodies = only(docs, text_col).toDF("body").select(F.col("body").cast("string"))
-    seen = bodies.mapInArrow(_pair_counts(chosen), "pair long, n long")
+    seen = ids.select("a", "b").mapInArrow(_pair_counts(chosen), "pair long, n long")
     counts = seen.groupBy("pair").agg(F.sum("n").alias("n"))
     counts = counts.select(F.floor(F.col("pair") / ways).cast("long").alias("a_id"), (F.col("pair") % ways).alias("b_id"), "n")
     # One row per id of the first vocabulary: as bounded as the vocabulary.
-    staged = Scratch(docs.sparkSession, "linked-pairs").stage(counts, "counts")
+    staged = Scratch(ids.sparkSession, "linked-pairs").stage(counts, "counts")
     highest = staged.groupBy("a_id").agg(F.max("n").alias("highest"))
     return staged.join(F.broadcast(highest), "a_id").select("a_id", "b_id", "n", (F.col("n") == F.col("highest")).alias("best"))
 
@@ -332,8 +445,7 @@ def _parted(vocabularies: tuple[str, str], table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = both_of(*vocabularies)
         names, counts, best = table.value
-        for rows, texts in _slices(batches):
-            slice_ = Aligned(both, texts)
+        for rows, slice_ in _slices(batches, both):
             doc, pair, times = slice_.links()
             at = np.minimum(np.searchsorted(names, pair), max(len(names) - 1, 0))
             known = names[at] == pair if len(names) else np.zeros(len(pair), bool)
@@ -378,18 +490,15 @@ def aligned_documents(
     spark, chosen = docs.sparkSession, vocabularies or default_vocabularies()
     ways = both_of(*chosen).ways
     scratch = Scratch(spark, "alignment")
-    counted = linked_pairs(docs, text_col, chosen)
+    # Written once: row numbers are fixed then, and no text is encoded again.
+    ids = scratch.stage(encoded(docs, id_col, text_col, chosen), "ids")
+    counted = linked_pairs(ids, chosen)
     table = scratch.stage(counted.select((F.col("a_id") * ways + F.col("b_id")).alias("pair"), "n", "best"), "pairs")
     common = frequent(table, "n", TABLE).toArrow().sort_by("pair")
     known = tuple(column.to_numpy() for column in common.columns)
 
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        col_(id_col).cast("long").alias("doc_id"),
-        col_(text_col).cast("string").alias("body"),
-    )
-    # The written row numbers are fixed, whatever a repeated task would give.
-    parts = scratch.stage(texts.mapInArrow(_parted(chosen, spark.sparkContext.broadcast(known)), _PARTS), "documents")
+    parts = scratch.stage(ids.mapInArrow(_parted(chosen, spark.sparkContext.broadcast(known)), _PARTS), "documents")
+    scratch.drop("ids")
     rare = parts.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("e")).select(
         "row", F.col("e.pairs").alias("pair"), F.col("e.times").alias("times")
     )
