@@ -124,7 +124,8 @@ def _one_edit(a: Column, b: Column) -> Column:
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
     """(doc, text_key, line_no) of the lines that go: an earlier line is equal or near.
 
-    Earlier means a smaller (id, line number); null ids come last. Lines
+    Earlier means a smaller (id, hash of the text, line number), so rows that
+    share an id are told apart by their texts; null ids come last. Lines
     without words are never removed; lines of fewer than MIN_WORDS words only
     by equal ones.
     """
@@ -136,7 +137,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     halves = F.when(F.col("n") >= MIN_WORDS, _half_keys())
     every = lines.withColumn("n", n).withColumn("halves", halves).drop("line")
     every = scratch.stage(every, "occurrences")
-    place = F.struct("doc", "line_no").alias("place")
+    place = F.struct("doc", "text_key", "line_no").alias("place")
     distinct = every.groupBy("k").agg(F.min(F.struct(place, "n", "halves")).alias("f"), F.count(F.lit(1)).alias("copies"))
     distinct = scratch.stage(distinct.select("k", "f.place", "f.n", "f.halves", "copies"), "distinct")
 
@@ -144,9 +145,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
     partnered = scratch.stage(halves.join(shared, "half").select("k").distinct(), "partnered")
     placed = scratch.stage(distinct.join(partnered, "k", "left_semi").select("k", "place", "n"), "placed")
-    spots = placed.select("place.doc", "place.line_no", "k", "n", "place")
+    spots = placed.select("place.doc", "place.text_key", "place.line_no", "k", "n", "place")
     maybe = marked_by(lines, F.col("k"), partnered, "maybe").where("maybe").drop("maybe")
-    texts = maybe.select("doc", "line_no", "k", "line").join(spots, ["doc", "line_no", "k"])
+    texts = maybe.select("doc", "text_key", "line_no", "k", "line").join(spots, ["doc", "text_key", "line_no", "k"])
     texts = scratch.stage(texts.select("k", "place", "n", "line").dropDuplicates(["k"]), "texts")
 
     keyed = scratch.stage(_variants(texts), "variants")
@@ -177,47 +178,56 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     facts = distinct.join(near, "k", "left").where("copies > 1 OR near").select("k", "place", F.coalesce("near", F.lit(False)).alias("near"))
     again = every.select("doc", "text_key", "line_no", "k").join(facts, "k")
-    gone = again.where(F.col("near") | (F.struct("doc", "line_no") > F.col("place"))).select("doc", "text_key", "line_no")
+    gone = again.where(F.col("near") | (F.struct("doc", "text_key", "line_no") > F.col("place"))).select("doc", "text_key", "line_no")
     gone = scratch.stage(gone.distinct(), "gone")
     scratch.keep_only("gone")
     return gone, scratch
 
 
-def _with_removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, lines, removed): every row's lines, and the numbers of those that go."""
-    gone, _ = duplicate_lines(docs, id_col, text_col)
-    numbers = gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """A row's id and text hash as in `duplicate_lines`, and its text."""
     text = F.coalesce(col_(text_col).cast("string"), F.lit(""))
-    rows = docs.select(
-        col_(id_col).cast("long").alias("doc_id"),
-        F.coalesce(col_(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
-        F.xxhash64(text).alias("text_key"),
-        F.split(text, "\n").alias("lines"),
-    )
-    return rows.join(numbers, ["doc", "text_key"], "left").select(
-        "doc_id", "lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")
-    )
+    return F.coalesce(col_(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text), text
+
+
+def _removed_numbers(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("doc", "text_key").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row, without its duplicate lines.
 
     Null texts are empty; rows that repeat id and text lose the same lines; no
-    rows give no rows.
+    rows give no rows. Only texts that may lose a line are shuffled.
     """
-    rows = _with_removed(docs, id_col, text_col)
-    kept = F.filter("lines", lambda line, i: ~F.array_contains(F.col("removed"), i))
-    return rows.select("doc_id", F.array_join(kept, "\n").alias("text"))
+    gone, _ = duplicate_lines(docs, id_col, text_col)
+    doc, text_key, text = _row_key(docs, id_col, text_col)
+    rows = docs.select(col_(id_col).cast("long").alias("doc_id"), doc.alias("doc"), text_key.alias("text_key"), text.alias("text"))
+    keys = gone.select(F.xxhash64("doc", "text_key").alias("key"))
+    flagged = marked_by(rows, F.xxhash64("doc", "text_key"), keys, "loses")
+    met = flagged.where("loses").join(_removed_numbers(gone), ["doc", "text_key"], "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(removed, i))
+    return flagged.where(~F.col("loses")).select("doc_id", "text").union(met.select("doc_id", F.array_join(kept, "\n")))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_lines, n_removed and the removed line numbers."""
-    rows = _with_removed(docs, id_col, text_col)
-    return rows.select(
+    """One row per row of `docs`: doc_id, n_lines, n_removed and the removed line numbers.
+
+    Lines are counted where the text is read; no text is shuffled for it.
+    """
+    gone, _ = duplicate_lines(docs, id_col, text_col)
+    doc, text_key, text = _row_key(docs, id_col, text_col)
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    rows = docs.select(
+        col_(id_col).cast("long").alias("doc_id"), doc.alias("doc"), text_key.alias("text_key"), n_lines.cast("long").alias("n_lines")
+    )
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.join(_removed_numbers(gone), ["doc", "text_key"], "left").select(
         "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size("removed").cast("long").alias("n_removed"),
-        F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed_lines"),
+        "n_lines",
+        F.size(removed).cast("long").alias("n_removed"),
+        F.array_join(F.transform(removed, lambda i: i.cast("string")), ",").alias("removed_lines"),
     )
 
 

@@ -184,3 +184,16 @@ def test_drops_by_row_not_by_id(spark, prose, kind):
     bench = spark.createDataFrame([("q", b)], "item_id string, text string")
     clean = drop_contaminated(frame((null, a), (null, b), (5, b + " x"), (5, c), (7, a)), bench)
     assert _texts(clean) == sorted([(null, a), (5, c), (7, a)], key=str)
+
+
+def test_lines_of_rows_that_share_an_id(docs, prose):
+    """Equal and near lines under one id, null ids included: of each group one line stays."""
+    one, two = prose(1, 8), prose(2, 8)
+    near = one.rsplit(" ", 1)[0] + " other"
+    rows = [(None, one), (None, one + "\nsecond line"), (1, two), (1, two + "\nmore"), (5, near), (5, near + "\nx"), (5, "y\n" + near)]
+    kept = [line for row in line_dedup.drop_duplicate_lines(docs(*rows)).collect() for line in row["text"].split("\n")]
+    assert kept.count(two) == 1 and kept.count(one) + kept.count(near) == 1 and kept.count(near) == 1
+    got = line_dedup.line_report(docs(*rows)).collect()
+    assert sum(r["n_removed"] for r in got) == 5 and sum(r["n_lines"] for r in got) == 11
+    # The very same row twice loses the same lines, which is none.
+    assert {r["n_removed"] for r in line_dedup.line_report(docs((3, one), (3, one))).collect()} == {0}
