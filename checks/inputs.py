@@ -41,6 +41,16 @@ SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
 
+# Dates with the month's name, one row in nine no date; and names that are none.
+ORDER_DATES = """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 9 = 0 THEN 'in mar-velous shape'
+            ELSE concat(substr(d, 9, 2), '-', substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(substr(d, 6, 2) AS INT) * 3 - 2, 3), '-', substr(d, 1, 4)) END AS dashed,
+       concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(substr(d, 6, 2) AS INT) * 3 - 2, 3), ' ', substr(d, 9, 2), ', ', substr(d, 1, 4), ' 10:30') AS timed,
+       concat('Mar-', CAST(o_orderkey % 50 AS STRING)) AS wing
+FROM (SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS d FROM orders) x
+"""
+
 # Documents with a gap in each feature kind and labels missing for some rows.
 DOC_GAPS = """
 SELECT doc_id,
@@ -117,6 +127,7 @@ VIEWS = {
     "events_dirty": EVENTS_DIRTY,
     "orders_mixed": ORDERS_MIXED,
     "doc_labels": DOC_LABELS,
+    "order_dates": ORDER_DATES,
     "doc_gaps": DOC_GAPS,
     "raw_responses": RAW_RESPONSES,
 }

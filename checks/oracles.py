@@ -299,12 +299,13 @@ ORACLES["source_checks_malformed"] = (
     "SELECT 'parse' AS failed_check, false AS ok, printf('Unable to read CSV. %d rows have more fields than the header.', count(*)) AS message "
     "FROM orders WHERE o_orderkey % 1000 = 7"
 )
-_CELLS = ", ".join(
-    f"coalesce({'strftime(' + c + ', ' + q('%Y-%m-%d %H:%M:%S.%f') + ')' if fam == 'time' else f'CAST({c} AS VARCHAR)'}, chr(92) || 'N')"
-    for c, _, fam in COLUMNS["orders"]
-)
+def _cell(column: str, family: str) -> str:
+    text = f"strftime({column}, {q('%Y-%m-%d %H:%M:%S.%f')})" if family == "time" else f"CAST({column} AS VARCHAR)"
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
 ORACLES["table_fingerprint"] = (
-    f"WITH h AS (SELECT sha256(concat_ws(chr(31), {_CELLS})) AS d FROM orders), "
+    f"WITH h AS (SELECT sha256({' || '.join(_cell(c, family) for c, _, family in COLUMNS['orders'])}) AS d FROM orders), "
     "s AS (SELECT count(*) AS n, sum(('0x' || substr(d, 1, 15))::BIGINT::HUGEINT) AS total FROM h) "
     "SELECT n AS rows, total::VARCHAR AS row_sum, substr(sha256(n::VARCHAR || ':' || total::VARCHAR), 1, 8) AS dataset_hash FROM s"
 )
@@ -313,6 +314,12 @@ ORACLES["result_sink"] = (
     "'event_type' AS target, count(*) AS n_rows FROM t"
 )
 
+_ROW = "(length(doc_id::VARCHAR) || ':' || doc_id || coalesce(length(lang) || ':' || lang, '-') || length(source) || ':' || source || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || length(leftover::VARCHAR) || ':' || leftover)"
+ORACLES["table_fingerprint_gaps"] = (
+    f"WITH {src('doc_gaps')}, h AS (SELECT sha256({_ROW}) AS d FROM t), "
+    "s AS (SELECT count(*) AS n, sum(('0x' || substr(d, 1, 15))::BIGINT::HUGEINT) AS total FROM h) "
+    "SELECT n AS rows, total::VARCHAR AS row_sum, substr(sha256(n::VARCHAR || ':' || total::VARCHAR), 1, 8) AS dataset_hash FROM s"
+)
 # -- profile -----------------------------------------------------------------
 
 ORACLES["column_types"] = ctes("orders_mixed") + "SELECT ordinal, column_name, dtype, column_type FROM facts"
@@ -346,6 +353,13 @@ for _name, _table in (("mode_frequency", "part"), ("mode_long_text", "documents"
 _DATE_FORMATS = "['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M', '%Y/%m/%d', '%m/%d/%Y', '%m/%d/%Y %H:%M:%S', '%d-%m-%Y']"
 
 
+_NAMED_FORMATS = "['%d-%b-%Y', '%b %d, %Y %H:%M']"
+ORACLES["date_names"] = f"WITH {src('order_dates')} " + " UNION ALL ".join(
+    f"SELECT {i}::INT AS ordinal, count(try_strptime({c}, {_NAMED_FORMATS})) / count(*)::DOUBLE AS date_share FROM t"
+    for i, c in ((1, "dashed"), (2, "timed"), (3, "wing"))
+)
+
+
 def _warnings(table: str) -> str:
     dates = " UNION ALL ".join(
         f"SELECT {i}::INT AS ordinal, bool_or(regexp_matches({c}, '[-/:]')) AS gate, count(try_strptime({c}, {_DATE_FORMATS})) / count(*)::DOUBLE AS share FROM t"
@@ -467,6 +481,9 @@ for _name, _table in (("outliers_iqr", "events_dirty"), ("outliers_iqr_lineitem"
 _Z = "SELECT ordinal, column_name, n, z_count, z_pct, threshold FROM fences"
 ORACLES["outliers_zscore"] = ctes("events_dirty", stats("events_dirty"), fences("events_dirty")) + _Z
 ORACLES["outliers_zscore_tight"] = ctes("orders", stats("orders"), fences("orders", 1.5)) + _Z
+ORACLES["outlier_summary_rules"] = ctes("events_dirty", stats("events_dirty"), fences("events_dirty")) + (
+    "SELECT ordinal, column_name, n, iqr_count, z_count, true AS is_median, true AS in_range, true AS has_two_votes, true AS holds_common FROM fences"
+)
 ORACLES["outlier_rows"] = ctes("events_dirty", stats("events_dirty")) + (
     "SELECT event_id, value, true AS value_iqr_outlier, abs(value - mean) / std > 3 AS value_z_outlier FROM t, "
     "(SELECT * FROM stats WHERE column_name = 'value') WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"
@@ -880,7 +897,8 @@ def _evidence(top: int, pairs: int, cramers: int, task: str) -> str:
         "SELECT 'dataset' AS section, 1 AS ord, 'table' AS item, printf('{\"rows\":%d,\"columns\":%d,\"duplicate_rows\":%d,\"score\":%s,\"grade\":\"%s\"}', rows, columns, duplicate_rows, score::VARCHAR, grade) AS detail FROM graded "
         f"UNION ALL {task} "
         "UNION ALL SELECT 'missing', ordinal, column_name, printf('{\"missing_count\":%d,\"missing_percentage\":%s,\"indicator\":\"%s\"}', missing_count, missing_percentage::VARCHAR, indicator) FROM missing WHERE missing_count > 0 "
-        "UNION ALL SELECT 'outliers', ordinal, column_name, printf('{\"iqr_count\":%d,\"iqr_pct\":%s}', iqr_count, iqr_pct::VARCHAR) FROM fences WHERE iqr_count > 0 "
+        "UNION ALL SELECT 'outliers', ordinal, column_name, printf('{\"iqr_count\":%d,\"iqr_pct\":%s,\"lower_bound\":%s,\"upper_bound\":%s}', iqr_count, iqr_pct::VARCHAR, lower_bound::VARCHAR, upper_bound::VARCHAR) FROM fences WHERE iqr_count > 0 "
+        "UNION ALL SELECT 'missing_overall', 1, '', printf('{\"overall_missing_pct\":%s}', round(missing_rate, 2)::VARCHAR) FROM tf "
         f"UNION ALL SELECT * FROM (SELECT 'pairs', row_number() OVER (ORDER BY method_rank, ord_a, ord_b) AS o, column_a || ' ~ ' || column_b, NULL FROM assoc) WHERE o <= {pairs} "
         f"UNION ALL SELECT * FROM (SELECT 'cramers_v', row_number() OVER (ORDER BY ord_a, ord_b) AS o, column_a || ' ~ ' || column_b, NULL FROM cramer) WHERE o <= {cramers} "
         "UNION ALL SELECT 'numeric', ordinal, column_name, NULL FROM stats "
@@ -1137,6 +1155,9 @@ ORACLES["metric_comparison"] = CHECKS + " UNION ALL ".join(
     + f" AS better, {q(_METRIC_NOTES[category])} AS note FROM (SELECT run_id, max({name}) FILTER (WHERE pipeline = 'single_agent')::DOUBLE AS a, max({name}) FILTER (WHERE pipeline = 'multi_agent')::DOUBLE AS b FROM m GROUP BY 1)"
     for i, (name, category, direction) in enumerate(METRICS)
 )
+ORACLES["evaluation_sink"] = CHECKS + (
+    "SELECT 'eval' || pipeline AS run_id, condition_id, count(*) AS responses, count(*) FILTER (WHERE recommendation_matched) AS matched FROM ck GROUP BY 1, 2"
+)
 ORACLES["comparison_report"] = CHECKS + (
     "SELECT run_id, condition_id, "
     + ", ".join(
@@ -1172,6 +1193,16 @@ ORACLES["eda_sections"] = scored("doc_labels", INSIGHTS, features("quality"), ad
     ]
 )
 
+for _name, _target in (("forest_importance_rules", "quality"), ("forest_importance_shallow", "n_chars")):
+    _features = sorted(c for c, _, _ in COLUMNS["doc_labels"] if c != _target)
+    ORACLES[_name] = (
+        f"SELECT 'random_forest' AS method, {len(_features)}::BIGINT AS features, 1.0::DOUBLE AS total, {q(','.join(_features))} AS names, "
+        f"{q(','.join(str(i + 1) for i in range(len(_features))))} AS ranks, true AS in_range"
+    )
+ORACLES["top_importance_rules"] = (
+    "SELECT unnest(['random_forest', 'mutual_information']) AS method, 3::BIGINT AS features, 6::BIGINT AS ranks, true AS falling"
+)
+
 # The forest's own scores cannot be said in SQL; that they do not depend on how
 # the table is split, and never flag more rows than there are, can.
 ORACLES["isolation_forest_splits"] = (

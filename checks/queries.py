@@ -121,9 +121,14 @@ def _fingerprint(spark, sf_dir):
     return readers.table_fingerprint(load(spark, sf_dir, "orders"))
 
 
+@query("table_fingerprint_gaps")
+def _fingerprint_gaps(spark, sf_dir):
+    return readers.table_fingerprint(load(spark, sf_dir, "doc_gaps"))
+
+
 @query("file_fingerprint")
 def _file_fingerprint(spark, sf_dir):
-    found = readers.file_fingerprint(spark, f"{sf_dir}/orders.parquet")
+    found = readers.file_fingerprint(spark, f"{sf_dir}/orders.parquet", block=1 << 16)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "dataset_hash")
 
 
@@ -134,8 +139,10 @@ def _result_sink(spark, sf_dir):
     record = writers.result_record(
         "eda_only", readers.dataset_hash(ds), eda.report_document(ds, "event_type"), metadata={"target": "event_type"}, stamp="20260101T000000Z"
     )
+    # The second save takes the place of the first.
     writers.save_result(record, path)
-    return spark.read.json(path).select("schema_version", "timestamp", "pipeline", F.col("metadata.target").alias("target"), F.get_json_object("eda", "$.rows").cast("bigint").alias("n_rows"))
+    writers.save_result(record, path)
+    return writers.read_runs(spark, path).select("schema_version", "timestamp", "pipeline", F.col("metadata.target").alias("target"), F.get_json_object("eda", "$.rows").cast("bigint").alias("n_rows"))
 
 
 # -- profile -----------------------------------------------------------------
@@ -151,6 +158,7 @@ on("column_profile_documents", "documents", profile.column_profile)
 on("mode_frequency", "part", profile.mode_frequency)
 on("mode_long_text", "documents", profile.mode_frequency)
 on("profile_warnings", "orders_mixed", profile.profile_warnings)
+on("date_names", "order_dates", profile.date_like_columns)
 on("profile_warnings_customer", "customer", profile.profile_warnings)
 on("nested_profile", "embeddings", profile.column_profile, shape=lambda f: f.select("column_name", "column_type", "missing_count", "unique_count"))
 
@@ -208,6 +216,24 @@ def _isolation_forest_splits(spark, sf_dir):
 on("outlier_summary", "events", outliers.outlier_summary)
 
 
+def _summary_rules(frame: DataFrame) -> DataFrame:
+    """What holds for the forest's counts whatever its seed, beside the counts SQL knows."""
+    counts = ("iqr_count", "z_count", "if_count")
+    median = sum((F.col(c) for c in counts), F.lit(0)) - F.greatest(*counts) - F.least(*counts)
+    votes = sum((F.col(c) for c in counts), F.lit(0))
+    return frame.select(
+        "ordinal", "column_name", "n", "iqr_count", "z_count",
+        (F.col("consensus_count") == median).alias("is_median"),
+        F.col("if_count").between(0, F.col("n")).alias("in_range"),
+        (F.col("row_consensus") * 2 <= votes).alias("has_two_votes"),
+        # Rows both bounds flag have two votes already.
+        (F.col("row_consensus") >= F.col("iqr_count") + F.col("z_count") - F.col("n")).alias("holds_common"),
+    )
+
+
+on("outlier_summary_rules", "events_dirty", outliers.outlier_summary, shape=_summary_rules)
+
+
 @query("outlier_rows")
 def _outlier_rows(spark, sf_dir):
     flagged = outliers.flag_rows(dataset(spark, sf_dir, "events_dirty"))
@@ -269,8 +295,9 @@ on("report", "events_dirty", summary.report, "event_type", shape=joined("key_fin
 
 def _compact(frame: DataFrame) -> DataFrame:
     """Evidence without the forest, whose scores SQL cannot repeat."""
-    shown = F.col("section").isin("dataset", "ml_task", "missing", "outliers", "insights")
-    return frame.where("section <> 'random_forest'").withColumn("detail", F.when(shown, F.col("detail")))
+    shown = F.col("section").isin("dataset", "ml_task", "missing", "missing_overall", "outliers", "insights")
+    detail = F.regexp_replace("detail", ',"z_count".*$', "}")
+    return frame.where("section <> 'random_forest'").withColumn("detail", F.when(shown, detail))
 
 
 on("evidence", "events_dirty", eda.evidence, "event_type", shape=_compact)
@@ -299,6 +326,24 @@ on("mutual_information_labels", "doc_labels", importance.mutual_information, "qu
 on("forest_importance", "doc_labels", importance.forest_importance, "quality")
 on("forest_importance_regression", "doc_labels", importance.forest_importance, "n_chars")
 on("top_importance", "doc_labels", importance.top_importance, "quality", None, 3)
+
+
+def _forest_rules(frame: DataFrame) -> DataFrame:
+    """What holds for a forest's scores whatever its seed."""
+    return frame.groupBy("method").agg(
+        F.count(F.lit(1)).alias("features"),
+        F.round(F.sum("normalized_score"), 3).alias("total"),
+        F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("names"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("rank")), lambda r: r.cast("string")), ",").alias("ranks"),
+        F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+    )
+
+
+on("forest_importance_rules", "doc_labels", importance.forest_importance, "quality", shape=_forest_rules)
+on("forest_importance_shallow", "doc_labels", importance.forest_importance, "n_chars", None, 2, shape=_forest_rules)
+on("top_importance_rules", "doc_labels", importance.top_importance, "quality", None, 3, shape=lambda f: f.groupBy("method").agg(
+    F.count(F.lit(1)).alias("features"), F.sum("rank").alias("ranks"), (F.max("score") == F.max_by("score", -F.col("rank"))).alias("falling")
+))
 on("importance_status", "doc_labels", importance.importance_status, "quality")
 
 # -- exploration -------------------------------------------------------------
@@ -466,6 +511,18 @@ def _metric_comparison(spark, sf_dir):
     return evaluation.metric_comparison(evaluation.response_metrics(_checked(spark, sf_dir)))
 
 
+@query("evaluation_sink")
+def _evaluation_sink(spark, sf_dir):
+    """The checks of each pipeline saved as a run, one of them twice."""
+    path = shared.scratch_path(spark, "evaluations")
+    checks = _checks(spark, sf_dir)
+    for pipeline in ("single_agent", "multi_agent", "single_agent"):
+        writers.save_evaluation(checks.where(F.col("pipeline") == pipeline), path, f"eval{pipeline}")
+    return writers.read_runs(spark, path).groupBy("run_id", "condition_id").agg(
+        F.count(F.lit(1)).alias("responses"), F.count_if("recommendation_matched").alias("matched")
+    )
+
+
 @query("comparison_report")
 def _comparison_report(spark, sf_dir):
     return evaluation.comparison_report(_checks(spark, sf_dir))

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.functions.columns import col_, null_of, pin, scan_columns
-from plumbline.functions.ordering import exact_quantiles
+from plumbline.functions.columns import (
+    COLUMNS_PER_SCAN,
+    chunks,
+    col_,
+    local_frame,
+    null_of,
+    pin,
+    scan_columns,
+    union_all,
+)
+from plumbline.functions.ordering import builtin_structs, exact_quantiles, is_direct
 
 _FAMILIES = (
     (T.BooleanType, "boolean"),
@@ -34,6 +45,8 @@ class Field:
     low: float | None = None
     high: float | None = None
     longest: int | None = None
+    # The column's name in Dataset.df, where the table has that name in several cases.
+    inner: str | None = None
 
     @property
     def missing(self) -> int:
@@ -41,7 +54,7 @@ class Field:
 
     @property
     def col(self) -> Column:
-        return col_(self.name)
+        return col_(self.inner or self.name)
 
     @property
     def as_double(self) -> Column:
@@ -53,13 +66,44 @@ class Field:
         return self.col.cast("double")
 
 
+@dataclass(frozen=True)
+class Request:
+    """Aggregates an operator needs, each a struct over all rows of the table.
+
+    Requests of one name are the same aggregates.
+    """
+
+    name: str
+    structs: list[Column]
+    per_scan: int = COLUMNS_PER_SCAN
+
+
+def _typed(struct: dict, schema: T.StructType) -> tuple:
+    """A struct read from JSON, with doubles as doubles; a null is left out there."""
+    return tuple(
+        float(struct[f.name]) if isinstance(f.dataType, T.DoubleType) and f.name in struct
+        else [float(x) for x in struct[f.name]] if isinstance(f.dataType, T.ArrayType) and f.name in struct
+        else struct.get(f.name)
+        for f in schema.fields
+    )
+
+
 def _family(dtype: T.DataType) -> str:
     return next((name for kinds, name in _FAMILIES if isinstance(dtype, kinds)), "text")
 
 
+def _inner_names(names: list[str]) -> list[str]:
+    """The names, with the position behind those that differ from another one in case alone, if at all."""
+    count = Counter(name.lower() for name in names)
+    out = [name if count[name.lower()] == 1 else f"{name}#{i}" for i, name in enumerate(names)]
+    # A made name may be taken: then all are numbered.
+    return out if len({name.lower() for name in out}) == len(out) else [f"#{i}" for i in range(len(names))]
+
+
 def _normalise(df: DataFrame) -> DataFrame:
     """NaN becomes NULL; nested and binary values become canonical text."""
     out = []
+    df = df.toDF(*_inner_names(df.columns))
     for field in df.schema.fields:
         column, kind = col_(field.name), field.dataType
         if isinstance(kind, (T.FloatType, T.DoubleType)):
@@ -98,12 +142,43 @@ class Dataset:
         """The pinned result of a column-level operator, computed once."""
         return self.remember(
             (operator.__module__, operator.__qualname__, args),
-            lambda: pin(operator(self, *args)),
+            lambda: pin(operator(self, *args), getattr(operator, "column_level", False)),
         )
 
+    def knows(self, operator: Callable[..., DataFrame], *args) -> bool:
+        """Has `small` computed this already?"""
+        return (operator.__module__, operator.__qualname__, args) in self._memo
+
+    # -- shared scans -------------------------------------------------------
+    def scan(self, request: Request) -> DataFrame:
+        """One row per struct of a request, from a shared scan that gathered it, or its own."""
+        known = self._memo.get(("scan", request.name))
+        return known if known is not None else scan_columns(self.df, request.structs, request.per_scan)
+
+    def gather(self, *requests: Request) -> None:
+        """Answer the requests of several operators with one job over the table.
+
+        All their aggregates are partial sums of one plan, cut into parts of a
+        few columns for the compiler's sake; each part reads its own columns.
+        """
+        wanted = [r for r in requests if r.structs and ("scan", r.name) not in self._memo]
+        if not wanted:
+            return
+        parts = [
+            self.df.agg(F.to_json(F.array(*part)).alias("found")).select(F.lit(i).alias("request"), F.lit(k).alias("part"), "found")
+            for i, r in enumerate(wanted)
+            for k, part in enumerate(chunks(r.structs, r.per_scan))
+        ]
+        rows = sorted(union_all(parts).collect())
+        for i, r in enumerate(wanted):
+            schema = self.df.agg(F.array(*r.structs).alias("s")).schema["s"].dataType.elementType
+            found = [struct for row in rows if row["request"] == i for struct in json.loads(row["found"])]
+            self._memo["scan", r.name] = local_frame(self.spark, [_typed(struct, schema) for struct in found], schema)
+
     # -- column facts -------------------------------------------------------
     @property
     def schema_fields(self) -> list[Field]:
+        inner = _inner_names(self.source.columns)
         return [
             Field(
                 i,
@@ -111,13 +186,17 @@ class Dataset:
                 field.dataType.simpleString(),
                 _family(field.dataType),
                 isinstance(field.dataType, T.IntegralType),
+                inner=None if inner[i] == field.name else inner[i],
             )
             for i, field in enumerate(self.source.schema.fields)
         ]
 
+    def summary_request(self) -> Request:
+        return Request("summary", [_facts(field) for field in self.schema_fields])
+
     def summary(self) -> DataFrame:
         """One row per column from one scan: counts, range, sum, type."""
-        facts = scan_columns(self.df, [_facts(field) for field in self.schema_fields])
+        facts = self.scan(self.summary_request())
         kind = (
             F.when(F.col("n") == 0, "unknown")
             .when(F.col("family") == "boolean", "binary")
@@ -158,6 +237,7 @@ class Dataset:
                     row["low"],
                     row["high"],
                     row["longest"],
+                    field.inner,
                 )
             )
         return out
@@ -174,10 +254,23 @@ class Dataset:
     def field(self, name: str | None) -> Field | None:
         return next((field for field in self.fields if field.name == name), None)
 
+    def quantiles_request(self, fields: list[Field], probs: tuple[float, ...]) -> Request:
+        """For a shared scan, where the table is small enough for the built-in percentile."""
+        values = {f.name: (f.as_double, f.n) for f in fields if f.n}
+        return Request(f"quantiles {probs}", builtin_structs(values, probs) if is_direct(values) else [])
+
     def quantiles(self, fields: list[Field], probs: tuple[float, ...]) -> dict[str, list[float]]:
         """Exact interpolated quantiles of numeric columns, by column name."""
         known = self.remember("quantiles", dict)
+        for (name, others), values in list(known.items()):
+            if set(probs) <= set(others):
+                known.setdefault((name, probs), [values[others.index(p)] for p in probs])
         wanted = [f for f in fields if f.n and (f.name, probs) not in known]
+        gathered = self._memo.get(("scan", f"quantiles {probs}"))
+        if gathered is not None:
+            rows = {row["key"]: list(row["q"]) for row in gathered.collect()}
+            known.update({(f.name, probs): rows[f.name] for f in wanted if f.name in rows})
+            wanted = [f for f in wanted if f.name not in rows]
         if wanted:
             found = exact_quantiles(self.df, {f.name: (f.as_double, f.n) for f in wanted}, probs)
             known.update({(name, probs): values for name, values in found.items()})

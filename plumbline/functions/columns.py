@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Text longer than this is counted and joined by its SHA-256 instead of by
 # itself, so that no shuffle ever carries whole documents as keys.
@@ -70,20 +73,65 @@ def stack_columns(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
-def pin(df: DataFrame) -> DataFrame:
+def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
+    """A few rows the driver knows, as a local relation: plans over it alone need no job."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(wanted)
+    columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(arrow.types)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), wanted)
+
+
+# What one_job sets: no runtime re-planning, no broadcasts, one shuffle partition.
+_ONE_JOB = {
+    "spark.sql.adaptive.enabled": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "1",
+}
+
+
+@contextmanager
+def one_job(spark: SparkSession) -> Iterator[None]:
+    """Actions inside run as one job each instead of one job per exchange and broadcast.
+
+    Only for plans over column-level frames, which have nothing to gain from
+    several tasks behind an exchange; plans that read a table stay as they are.
+    """
+    before = {name: spark.conf.get(name, None) for name in _ONE_JOB}
+    try:
+        for name, value in _ONE_JOB.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def column_level(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Marks an operator whose plan is made of pinned frames alone."""
+    operator.column_level = True
+    return operator
+
+
+def pin(df: DataFrame, small_plan: bool = False) -> DataFrame:
     """A local copy of a small result, so that later plans do not rerun it.
 
     Used only for frames with a row per column or per pair of columns: their
-    size depends on the schema, never on the number of data rows.
+    size depends on the schema, never on the number of data rows. `small_plan`
+    says that their plan is column-level, too.
     """
-    return df.sparkSession.createDataFrame(df.toArrow())
+    if not small_plan:
+        return df.sparkSession.createDataFrame(df.toArrow())
+    with one_job(df.sparkSession):
+        rows = df.toArrow()
+    return df.sparkSession.createDataFrame(rows)
 
 
 def beside(frame: DataFrame, other: DataFrame) -> DataFrame:
     """`frame` plus the columns of `other`, a frame of one row, as literals.
 
-    For facts about a whole table: nothing is joined.
+    For facts about a whole table: nothing is joined. `other` is column-level.
     """
-    packed = other.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).first()
+    with one_job(other.sparkSession):
+        packed = other.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).first()
     row = F.from_json(F.lit(packed["row"] if packed else None).cast("string"), other.schema)
     return frame.withColumns({name: row[name] for name in other.columns})

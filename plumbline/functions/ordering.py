@@ -15,7 +15,7 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.columns import null_of, scan_columns, stack_columns
+from plumbline.functions.columns import local_frame, null_of, scan_columns, stack_columns
 
 # Up to this many cells the built-in percentile is the cheapest exact plan.
 DIRECT_CELLS = 600_000
@@ -72,21 +72,24 @@ def exact_quantiles(
 
     `values` maps a key to (numeric column, its number of non-null rows).
     """
-    direct_cells = DIRECT_CELLS if direct_cells is None else direct_cells
-    if sum(n for _, n in values.values()) <= direct_cells:
+    if is_direct(values, direct_cells):
         return _builtin_quantiles(df, values, probs)
     return _selected_quantiles(df, values, probs, bracket_rows or BRACKET_ROWS, sample_rows or SAMPLE_ROWS)
 
 
-def _builtin_quantiles(df, values, probs):
+def is_direct(values: dict[str, tuple[Column, int]], direct_cells: int | None = None) -> bool:
+    """Are there few enough cells for the built-in percentile?"""
+    return sum(n for _, n in values.values()) <= (DIRECT_CELLS if direct_cells is None else direct_cells)
+
+
+def builtin_structs(values: dict[str, tuple[Column, int]], probs: tuple[float, ...]) -> list[Column]:
+    """key, q: the built-in percentiles of each entry."""
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    rows = scan_columns(
-        df,
-        [
-            F.struct(F.lit(key).alias("key"), F.percentile(value, wanted).alias("q"))
-            for key, (value, _) in values.items()
-        ],
-    ).collect()
+    return [F.struct(F.lit(key).alias("key"), F.percentile(value, wanted).alias("q")) for key, (value, _) in values.items()]
+
+
+def _builtin_quantiles(df, values, probs):
+    rows = scan_columns(df, builtin_structs(values, probs)).collect()
     return {row["key"]: list(row["q"]) for row in rows}
 
 
@@ -218,7 +221,7 @@ def _read(df: DataFrame, brackets: list[_Bracket]) -> dict[int, tuple[float, flo
             last = 2 * k + 2
         cells.append(F.struct(F.lit(i).alias("col"), zone.otherwise(last).alias("zone"), kept.alias("v")))
         ranks += [(i, b.id, rank) for b in group for rank in {b.first, b.last}]
-    wanted = df.sparkSession.createDataFrame(ranks, "col int, id int, rank bigint")
+    wanted = local_frame(df.sparkSession, ranks, "col int, id int, rank bigint")
     upto = Window.partitionBy("col").orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         stack_columns(df, cells)

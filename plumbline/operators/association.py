@@ -10,9 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import scan_columns, stack_columns, text_key, union_all
-from plumbline.operators.profile import distinct_counts
+from plumbline.dataset import Dataset, Field, Request
+from plumbline.functions.columns import column_level, local_frame, scan_columns, text_key, union_all
+from plumbline.operators.contingency import contingency_cells
+from plumbline.operators.profile import distinct_counts, exact_distinct
 
 # Above this many columns, pairs are summed in NumPy inside tasks; the rule is
 # the same on either side.
@@ -24,6 +25,8 @@ _PAIR = "ord_a int, ord_b int, column_a string, column_b string"
 _MOMENTS = ("n", "mx", "my", "cxy", "cxx", "cyy")
 # Pairs of a wide table whose task results are merged in one group.
 MERGED_PAIRS = 256
+# Relative standard error of the sketches that look for identifiers.
+SKETCH_ERROR = 0.05
 
 
 def _centre(field: Field) -> float:
@@ -141,8 +144,7 @@ def _block_sums(df: DataFrame, fields: list[Field], pairs: list[tuple[Field, Fie
     values = df.select(*[f.as_double.alias(f"x{i}") for i, f in enumerate(used)])
     group = F.floor(F.col("pair") / MERGED_PAIRS).alias("block")
     summed = values.mapInArrow(totals, schema).groupBy(group).applyInPandas(merged, schema)
-    known = df.sparkSession.createDataFrame(
-        [(i, a.ordinal, b.ordinal, a.name, b.name) for i, (a, b) in enumerate(pairs)], f"pair int, {_PAIR}"
+    known = local_frame(df.sparkSession, [(i, a.ordinal, b.ordinal, a.name, b.name) for i, (a, b) in enumerate(pairs)], f"pair int, {_PAIR}"
     )
     r = F.try_divide(F.col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
     flat = (F.col("n") == 0) | (F.col("low_x") == F.col("high_x")) | (F.col("low_y") == F.col("high_y"))
@@ -152,6 +154,21 @@ def _block_sums(df: DataFrame, fields: list[Field], pairs: list[tuple[Field, Fie
     )
 
 
+def _pairs_request(pairs: list[tuple[Field, Field]]) -> Request:
+    named = " ".join(f"{a.ordinal}x{b.ordinal}" for a, b in pairs)
+    return Request(f"pairs {named}", [_pair_struct(a, b) for a, b in pairs], PAIRS_PER_SCAN)
+
+
+def pair_requests(ds: Dataset) -> list[Request]:
+    """What `pearson_pairs` and `point_biserial` ask of a scan, where they are not wide."""
+    numbers, flags = ds.of_type("numeric"), ds.of_type("binary")
+    out = []
+    for pairs in (list(combinations(numbers, 2)), list(product(flags, numbers))):
+        if len({f.ordinal for pair in pairs for f in pair}) <= WIDE_COLUMNS:
+            out.append(_pairs_request(pairs))
+    return out
+
+
 def pair_sums(ds: Dataset, pairs: list[tuple[Field, Field]], wide: int = WIDE_COLUMNS) -> DataFrame:
     """One row per pair: rows, sum of the first column, and Pearson r.
 
@@ -161,7 +178,7 @@ def pair_sums(ds: Dataset, pairs: list[tuple[Field, Field]], wide: int = WIDE_CO
     if len(used) > wide:
         sums = _block_sums(ds.df, ds.fields, pairs)
     else:
-        sums = scan_columns(ds.df, [_pair_struct(a, b) for a, b in pairs], PAIRS_PER_SCAN)
+        sums = ds.scan(_pairs_request(pairs))
     bounded = F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))
     finite = ~F.col("flat") & F.col("r").isNotNull() & ~F.isnan("r")
     return sums.withColumn("r", F.when(finite, bounded))
@@ -171,12 +188,13 @@ def pearson_pairs(ds: Dataset, wide: int = WIDE_COLUMNS) -> DataFrame:
     """Unrounded r for each pair of numeric columns (a before b)."""
     pairs = list(combinations(ds.of_type("numeric"), 2))
     if not pairs:
-        return ds.spark.createDataFrame([], f"{_PAIR}, n bigint, r double")
+        return local_frame(ds.spark, [], f"{_PAIR}, n bigint, r double")
     return pair_sums(ds, pairs, wide).select(
         "ord_a", "ord_b", "column_a", "column_b", F.col("n").cast("bigint").alias("n"), "r"
     )
 
 
+@column_level
 def pearson_matrix(ds: Dataset) -> DataFrame:
     """The full symmetric matrix, 4 decimals, null where undefined."""
     pairs = ds.small(pearson_pairs)
@@ -192,8 +210,7 @@ def pearson_matrix(ds: Dataset) -> DataFrame:
         "n",
         "r",
     )
-    diagonal = ds.spark.createDataFrame(
-        [(f.ordinal, f.ordinal, f.name, f.name, f.n, None if f.low == f.high else 1.0) for f in fields],
+    diagonal = local_frame(ds.spark, [(f.ordinal, f.ordinal, f.name, f.name, f.n, None if f.low == f.high else 1.0) for f in fields],
         f"{_PAIR}, n bigint, r double",
     )
     return (
@@ -242,7 +259,7 @@ def correlation_bands(ds: Dataset) -> DataFrame:
 def cramers_v(ds: Dataset) -> DataFrame:
     """Cramer's V for each pair of categorical columns, 4 decimals.
 
-    Only cells that occur are counted, so a pair never costs more than its
+    Only cells that occur leave a task, so a pair never costs more than its
     distinct combinations. V comes from sum(n_ab^2 / (n_a n_b)) - 1. Pairs with
     an identifier column are not counted at all: with every value unique the sum
     is the number of the partner's values, which makes V exactly 1.
@@ -251,63 +268,81 @@ def cramers_v(ds: Dataset) -> DataFrame:
     fields = ds.of_type("categorical")
     pairs = list(combinations(fields, 2))
     if not pairs:
-        return ds.spark.createDataFrame([], schema)
-    distinct = {row["ordinal"]: row["unique_count"] for row in ds.small(distinct_counts, None).collect()}
-    unique = {f.ordinal for f in fields if not f.missing and distinct[f.ordinal] == f.n}
-    known = [(a, b) for a, b in pairs if a.ordinal in unique or b.ordinal in unique]
-    counted = [pair for pair in pairs if pair not in known]
-    sure = []
-    for a, b in known:
+        return local_frame(ds.spark, [], schema)
+    unique = _identifiers(ds, fields)
+    varied = _varied(ds, fields) if unique else set()
+    sure, counted = [], []
+    for a, b in pairs:
+        if a.ordinal not in unique and b.ordinal not in unique:
+            counted.append((a, b))
+            continue
         partner = b if a.ordinal in unique else a
-        if distinct[partner.ordinal] > 1:
+        if partner.ordinal in varied:
             sure.append((a.ordinal, b.ordinal, a.name, b.name, partner.n, 1.0))
-    frame = ds.spark.createDataFrame(sure, schema)
+    frame = local_frame(ds.spark, sure, schema)
     if counted:
         frame = frame.unionByName(_counted_v(ds, counted))
     return frame.orderBy("ord_a", "ord_b")
 
 
-def _counted_v(ds: Dataset, pairs: list[tuple[Field, Field]]) -> DataFrame:
-    """V from the cells that occur.
+def _identifiers(ds: Dataset, fields: list[Field]) -> set[int]:
+    """Ordinals of the columns without a gap whose every value is unique.
 
-    A cell count joined with its marginals may have a hot value; both joins are
-    plain inner joins, so adaptive execution splits such partitions.
+    A sketch of each column's distinct values, taken in one scan, leaves few to
+    count; it is far from the row number for any column it rules out.
     """
-
-    def key(f: Field) -> Column:
-        return text_key(f.col, f.longest)
-
-    cells = (
-        stack_columns(
+    full = [f for f in fields if f.n and not f.missing]
+    if not ds.knows(distinct_counts, None):
+        sketches = scan_columns(
             ds.df,
             [
-                F.struct(
-                    F.lit(a.ordinal).alias("ord_a"), F.lit(b.ordinal).alias("ord_b"), key(a).alias("a"), key(b).alias("b")
-                )
-                for a, b in pairs
+                F.struct(F.lit(f.ordinal).alias("ordinal"), F.approx_count_distinct(text_key(f.col, f.longest), SKETCH_ERROR).alias("n"))
+                for f in full
             ],
-        )
-        .where("a IS NOT NULL AND b IS NOT NULL")
-        .groupBy("ord_a", "ord_b", "a", "b")
-        .agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    )
-    by_a = cells.groupBy("ord_a", "ord_b", "a").agg(F.sum("cnt").alias("n_a"))
-    by_b = cells.groupBy("ord_a", "ord_b", "b").agg(F.sum("cnt").alias("n_b"))
+        ).collect() if full else []
+        likely = {row["ordinal"] for row in sketches if row["n"] >= ds.n_rows * (1 - 6 * SKETCH_ERROR)}
+        full = [f for f in full if f.ordinal in likely]
+    return {o for o, n in exact_distinct(ds, full).items() if n == ds.n_rows}
+
+
+def _varied(ds: Dataset, fields: list[Field]) -> set[int]:
+    """Ordinals of the columns with two different values at least."""
+    keys = {f.ordinal: text_key(f.col, f.longest) for f in fields if f.n}
+    rows = scan_columns(
+        ds.df, [F.struct(F.lit(o).alias("ordinal"), (F.min(key) != F.max(key)).alias("varied")) for o, key in keys.items()]
+    ).collect() if keys else []
+    return {row["ordinal"] for row in rows if row["varied"]}
+
+
+def _counted_v(ds: Dataset, pairs: list[tuple[Field, Field]]) -> DataFrame:
+    """V from the cells that occur.
+
+    Tasks count all pairs in place and send occurring cells. A cell count joined
+    with its marginals may have a hot value; both joins are plain inner joins,
+    so adaptive execution splits such partitions.
+    """
+    fields = sorted({f for pair in pairs for f in pair}, key=lambda f: f.ordinal)
+    slot = {f.ordinal: i for i, f in enumerate(fields)}
+    places = [(slot[a.ordinal], slot[b.ordinal]) for a, b in pairs]
+    cells = contingency_cells(ds.df, [text_key(f.col, f.longest) for f in fields], places)
+    by_a = cells.groupBy("pair", "a").agg(F.sum("cnt").alias("n_a"))
+    by_b = cells.groupBy("pair", "b").agg(F.sum("cnt").alias("n_b"))
     spread = (
-        cells.join(by_a, ["ord_a", "ord_b", "a"])
-        .join(by_b, ["ord_a", "ord_b", "b"])
-        .groupBy("ord_a", "ord_b")
-        .agg(F.sum(F.col("cnt") * F.col("cnt") / (F.col("n_a") * F.col("n_b"))).alias("s"))
+        cells.join(by_a, ["pair", "a"])
+        .join(by_b, ["pair", "b"])
+        .groupBy("pair")
+        .agg(
+            F.sum(F.col("cnt") * F.col("cnt") / (F.col("n_a") * F.col("n_b"))).alias("s"),
+            F.sum("cnt").alias("n"),
+            # Each marginal is met once by each of its cells.
+            F.round(F.sum(F.col("cnt") / F.col("n_a"))).alias("r"),
+            F.round(F.sum(F.col("cnt") / F.col("n_b"))).alias("c"),
+        )
     )
-    rows = by_a.groupBy("ord_a", "ord_b").agg(F.count(F.lit(1)).alias("r"), F.sum("n_a").alias("n"))
-    # Asking both sides for the total keeps their inputs identical, so Spark
-    # reuses the one shuffle of the cells for every branch.
-    cols = by_b.groupBy("ord_a", "ord_b").agg(F.count(F.lit(1)).alias("c"), F.sum("n_b").alias("n"))
     size = F.least("r", "c") - 1
-    names = ds.spark.createDataFrame([(a.ordinal, b.ordinal, a.name, b.name) for a, b in pairs], _PAIR)
+    names = local_frame(ds.spark, [(i, a.ordinal, b.ordinal, a.name, b.name) for i, (a, b) in enumerate(pairs)], f"pair int, {_PAIR}")
     return (
-        names.join(spread, ["ord_a", "ord_b"])
-        .join(rows.join(cols, ["ord_a", "ord_b", "n"]), ["ord_a", "ord_b"])
+        names.join(spread, "pair")
         .where(size > 0)
         .select(
             "ord_a",
@@ -331,7 +366,7 @@ def point_biserial(ds: Dataset, wide: int = WIDE_COLUMNS) -> DataFrame:
     schema = "ord_a int, ord_b int, binary_column string, numeric_column string, n bigint, value double"
     pairs = list(product(ds.of_type("binary"), ds.of_type("numeric")))
     if not pairs:
-        return ds.spark.createDataFrame([], schema)
+        return local_frame(ds.spark, [], schema)
     ones = F.col("ones")
     return (
         pair_sums(ds, pairs, wide)
@@ -351,6 +386,7 @@ def point_biserial(ds: Dataset, wide: int = WIDE_COLUMNS) -> DataFrame:
 # -- all methods -------------------------------------------------------------
 
 
+@column_level
 def associated_pairs(ds: Dataset, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs at or above `threshold` by any method, in report order."""
 

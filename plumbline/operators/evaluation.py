@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import beside, col_, null_of, union_all
+from plumbline.functions.columns import beside, col_, local_frame, null_of, union_all
 from plumbline.functions.rules import HITS, matcher
 from plumbline.functions.text import sentences, strip, tokens
 from plumbline.operators.association import associated_pairs
@@ -102,7 +102,7 @@ SINGLE, MULTI = "single_agent", "multi_agent"
 
 def rubric(spark) -> DataFrame:
     """The rubric as a table; append rows to extend it."""
-    return spark.createDataFrame([list(row) for row in RUBRIC], RUBRIC_SCHEMA)
+    return local_frame(spark, [list(row) for row in RUBRIC], RUBRIC_SCHEMA)
 
 
 def rubric_triggers(ds: Dataset, target: str | None = None, strict: bool = False) -> DataFrame:
@@ -391,8 +391,7 @@ def metric_comparison(metrics: DataFrame) -> DataFrame:
         F.max(F.when(F.col("pipeline") == SINGLE, F.col("value"))).alias("m4_value"),
         F.max(F.when(F.col("pipeline") == MULTI, F.col("value"))).alias("m5_value"),
     )
-    table = metrics.sparkSession.createDataFrame(
-        [(i, *row, NOTES[row[1]]) for i, row in enumerate(METRICS)],
+    table = local_frame(metrics.sparkSession, [(i, *row, NOTES[row[1]]) for i, row in enumerate(METRICS)],
         "ord int, metric string, category string, direction string, note string",
     )
     a, b = F.col("m4_value"), F.col("m5_value")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import LONG_TEXT, text_key
+from plumbline.functions.columns import LONG_TEXT, local_frame, text_key
+from plumbline.functions.heavy import top_keys
 from plumbline.operators.missingness import missing_columns
 from plumbline.operators.outliers import outliers_iqr
 from plumbline.operators.profile import column_profile
@@ -18,25 +19,29 @@ SCATTER_POINTS = 60
 def top_categories(ds: Dataset, column: str, n: int = TOP) -> DataFrame:
     """value, count, rank: the `n` most frequent values; ties by value.
 
-    Counting long texts by digest keeps the shuffle narrow; only the few
-    winners are looked up again.
+    A summary of the frequent values names the candidates, which one scan
+    counts; long texts are known by digest there, and only texts of the winners
+    are looked up. Where no value stands out, all values are counted.
     """
     field = ds.field(column)
-    key = text_key(field.col.cast("string"), field.longest)
-    counts = ds.df.where(field.col.isNotNull()).groupBy(key.alias("key")).count()
-    if (field.longest or 0) <= LONG_TEXT:
-        top = counts.orderBy(F.col("count").desc(), "key").limit(n).withColumnRenamed("key", "value")
-    else:
+    text = field.col.cast("string")
+    key = text_key(text, field.longest)
+    found = top_keys(ds.df, key, n)
+    if found is None:
+        counts = ds.df.where(field.col.isNotNull()).groupBy(key.alias("key")).count()
         # Ties are settled on the text, so every key at or above the n-th count stays.
         least = counts.orderBy(F.col("count").desc()).limit(n).agg(F.min("count")).first()[0]
         kept = counts.where(F.col("count") >= F.lit(least))
-        texts = ds.df.select(field.col.alias("value"), key.alias("key")).join(kept, "key")
-        top = (
-            texts.groupBy("key", "count")
-            .agg(F.min("value").alias("value"))
-            .orderBy(F.col("count").desc(), "value")
-            .limit(n)
-        )
+    else:
+        kept = local_frame(ds.spark, found, "key string, count bigint")
+    if (field.longest or 0) <= LONG_TEXT:
+        top = kept.withColumnRenamed("key", "value")
+    else:
+        texts = ds.df.select(text.alias("value"), key.alias("key"))
+        wanted = kept.select("key")
+        texts = texts.join(wanted if found is None else F.broadcast(wanted), "key", "left_semi")
+        top = texts.groupBy("key").agg(F.min("value").alias("value")).join(kept, "key")
+    top = top.orderBy(F.col("count").desc(), "value").limit(n)
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("count").desc(), "value")
     return top.select("value", "count").withColumn("rank", F.row_number().over(order))
 

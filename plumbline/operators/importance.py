@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import null_of, stack_columns, text_key
+from plumbline.functions.columns import local_frame, null_of, stack_columns, text_key, union_all
 from plumbline.functions.ordering import exact_quantiles, range_parts
 from plumbline.operators.profile import distinct_counts
 from plumbline.sources.shared import use_checkpoints
@@ -78,21 +80,61 @@ def _key(field: Field) -> Column:
     return text_key(_label(field), field.longest)
 
 
-def _with_codes(ds: Dataset, frame: DataFrame, fields: list[Field]) -> DataFrame:
-    """`frame` with each `key<ordinal>` turned into `code<ordinal>`, null as -1."""
-    small = [f for f in fields if _is_small(ds, f, BROADCAST_CHARS)]
-    codes = label_codes(ds, small) if small else None
+def _small_labels(ds: Dataset, fields: list[Field]) -> list[Field]:
+    """The columns whose dictionaries stay within BROADCAST_CHARS together, smallest first."""
+    distinct, left, small = _distinct(ds), BROADCAST_CHARS, []
+    sizes = {f.ordinal: distinct[f.ordinal] * max(f.longest or 0, 24) for f in fields}
+    for f in sorted(fields, key=lambda f: sizes[f.ordinal]):
+        left -= sizes[f.ordinal]
+        if left < 0:
+            break
+        small.append(f)
+    return small
+
+
+def _dictionaries(ds: Dataset, fields: list[Field]) -> dict[int, list[str]]:
+    """The sorted labels of small columns by ordinal."""
+
+    def build() -> dict[int, list[str]]:
+        found = {f.ordinal: [] for f in fields}
+        if fields:
+            cells = stack_columns(ds.df, [F.struct(F.lit(f.ordinal).alias("ordinal"), _label(f).alias("label")) for f in fields])
+            for row in cells.where("label IS NOT NULL").distinct().collect():
+                found[row["ordinal"]].append(row["label"])
+        # UTF-8 sorts like its code points, so this is Spark's order.
+        return {ordinal: sorted(labels) for ordinal, labels in found.items()}
+
+    return ds.remember(("labels", *[f.ordinal for f in fields]), build)
+
+
+def _code_of(labels: list[str]):
+    """An Arrow function from labels to their places in the sorted list, null and unknown as -1."""
+    known = pa.array(labels, pa.string())
+
+    def code(column: pa.Array) -> pa.Array:
+        return pc.cast(pc.fill_null(pc.index_in(column, value_set=known, skip_nulls=True), -1), pa.float64())
+
+    return F.arrow_udf(code, "double")
+
+
+def _with_codes(ds: Dataset, frame: DataFrame, fields: list[Field], small: list[Field]) -> DataFrame:
+    """`frame` with each `key<ordinal>` turned into `code<ordinal>`, null as -1.
+
+    The dictionaries of `small` travel with the tasks, which look a row's labels
+    up where they are. Every other column is joined with its own dictionary.
+    """
+    labels = _dictionaries(ds, small)
+    held = {f"code{f.ordinal}": _code_of(labels[f.ordinal])(F.col(f"key{f.ordinal}")) for f in small}
+    frame = frame.withColumns(held).drop(*[f"key{f.ordinal}" for f in small])
     for f in fields:
-        key, code = f"key{f.ordinal}", f"code{f.ordinal}"
-        mine = codes.where(F.col("ordinal") == f.ordinal) if f in small else label_codes(ds, [f])
-        mine = mine.select(text_key(F.col("label"), f.longest).alias(key), F.col("code").alias(code))
         if f in small:
-            frame = frame.join(F.broadcast(mine), key, "left")
-        else:
-            # Null labels match nothing; spreading them keeps the join balanced.
-            spread = F.concat(F.lit("\0"), (F.rand(SEED) * 65536).cast("int").cast("string"))
-            frame = frame.withColumn(key, F.coalesce(key, spread)).join(mine, key, "left")
-        frame = frame.drop(key).withColumn(code, F.coalesce(code, F.lit(-1)).cast("double"))
+            continue
+        key, code = f"key{f.ordinal}", f"code{f.ordinal}"
+        mine = label_codes(ds, [f]).select(text_key(F.col("label"), f.longest).alias(key), F.col("code").alias(code))
+        # Null labels match nothing; spreading them keeps the join balanced.
+        spread = F.concat(F.lit("\0"), (F.rand(SEED) * 65536).cast("int").cast("string"))
+        frame = frame.withColumn(key, F.coalesce(key, spread)).join(mine, key, "left").drop(key)
+        frame = frame.withColumn(code, F.coalesce(code, F.lit(-1)).cast("double"))
     return frame
 
 
@@ -155,13 +197,14 @@ def encoded(ds: Dataset, target: str, task: str | None = None) -> DataFrame:
         wanted = F.coalesce(field.as_double, F.lit(median).cast("double"))
         if task == "classification":
             wanted = wanted.cast("bigint")
+    small = _small_labels(ds, labels)
     frame = ds.df.select(
-        *[_key(f).alias(f"key{f.ordinal}") for f in labels],
+        *[(_label(f) if f in small else _key(f)).alias(f"key{f.ordinal}") for f in labels],
         *[_filled(f, medians[f.name]).alias(f"x{f.ordinal}") for f in measures],
         wanted.alias(TARGET),
     ).where(F.col(TARGET).isNotNull())
     keep = [f"x{f.ordinal}" if f in measures else f"code{f.ordinal}" for f in ds.fields if f.name != target]
-    return _with_codes(ds, frame, labels).select(*keep, TARGET)
+    return _with_codes(ds, frame, labels, small).select(*keep, TARGET)
 
 
 def target_classes(
@@ -200,6 +243,14 @@ def _features(ds: Dataset, target: str) -> list[tuple[int, str, str]]:
 
 def importance_status(ds: Dataset, target: str | None, task: str | None = None) -> DataFrame:
     """One row: status, task_type, target, feature_count, error."""
+    return local_frame(
+        ds.spark,
+        [_status(ds, target, task)],
+        "status string, task_type string, target string, feature_count int, error string",
+    )
+
+
+def _status(ds: Dataset, target: str | None, task: str | None) -> tuple:
     features = [f for f in ds.fields if f.name != target]
     field = ds.field(target)
     status, error = "available", None
@@ -216,14 +267,11 @@ def importance_status(ds: Dataset, target: str | None, task: str | None = None)
         if rows < MIN_ROWS:
             status, error = "insufficient_data", "Not enough rows to compute feature importance."
     ready = status == "available"
-    return ds.spark.createDataFrame(
-        [(status, task if ready else None, target if ready else None, len(features) if ready else None, error)],
-        "status string, task_type string, target string, feature_count int, error string",
-    )
+    return status, task if ready else None, target if ready else None, len(features) if ready else None, error
 
 
 def _ready(ds: Dataset, target: str, task: str | None) -> bool:
-    return importance_status(ds, target, task).first()["status"] == "available"
+    return _status(ds, target, task)[0] == "available"
 
 
 _IMPORTANCE = "method string, feature string, score double, normalized_score double, rank int"
@@ -256,7 +304,7 @@ def mutual_information(ds: Dataset, target: str, task: str | None = None) -> Dat
     """
     task = task or task_of_target(ds, target)
     if not _ready(ds, target, task):
-        return ds.spark.createDataFrame([], _IMPORTANCE)
+        return local_frame(ds.spark, [], _IMPORTANCE)
     features = _features(ds, target)
     frame = encoded(ds, target, task)
     distinct = _distinct(ds)
@@ -278,18 +326,19 @@ def mutual_information(ds: Dataset, target: str, task: str | None = None) -> Dat
         .groupBy("ordinal", "x", "y")
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
-    by_x = cells.groupBy("ordinal", "x").agg(F.sum("c").alias("cx"))
-    by_y = cells.groupBy("ordinal", "y").agg(F.sum("c").alias("cy"))
-    total = cells.groupBy("ordinal").agg(F.sum("c").alias("n"))
-    term = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cy")))
-    scores = (
-        cells.join(by_x, ["ordinal", "x"])
-        .join(by_y, ["ordinal", "y"])
-        .join(total, "ordinal")
-        .groupBy("ordinal")
-        .agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
-    )
-    names = ds.spark.createDataFrame([(o, name) for o, name, _ in features], "ordinal int, feature string")
+    # I(x, y) = H(x) + H(y) - H(x, y), and each entropy is a sum over one grouping
+    # of the same cells, so nothing is joined.
+    by_x = cells.groupBy("ordinal", "x").agg(F.sum("c").alias("c"))
+    by_y = cells.groupBy("ordinal", "y").agg(F.sum("c").alias("c"))
+    parts = [(cells, 1.0), (by_x, -1.0), (by_y, -1.0)]
+    sums = union_all(
+        [
+            frame.select("ordinal", (F.lit(sign) * F.col("c") * F.log("c")).alias("t"), (F.lit(max(sign, 0.0)) * F.col("c")).alias("n"))
+            for frame, sign in parts
+        ]
+    ).groupBy("ordinal").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    scores = sums.select("ordinal", F.greatest(F.col("t") / F.col("n") + F.log("n"), F.lit(0.0)).alias("mi"))
+    names = local_frame(ds.spark, [(o, name) for o, name, _ in features], "ordinal int, feature string")
     return _ranked(names.join(scores, "ordinal"), "mutual_information", "mi")
 
 
@@ -314,16 +363,20 @@ def forest_importance(ds: Dataset, target: str, task: str | None = None, max_dep
     """Impurity importance of each feature from a random forest (seed 42)."""
     task = task or task_of_target(ds, target)
     if not _ready(ds, target, task):
-        return ds.spark.createDataFrame([], _IMPORTANCE)
+        return local_frame(ds.spark, [], _IMPORTANCE)
     features = _features(ds, target)
     frame = encoded(ds, target, task)
     trees = min(100, max(10, ds.n_rows // 5))
     label = F.col(TARGET).cast("double")
     if task == "classification":
-        classes = target_classes(ds, target, task).select(F.col("label").alias(TARGET), "code")
-        count = _distinct(ds)[ds.field(target).ordinal] + (1 if ds.field(target).missing else 0)
-        small = _is_small(ds, ds.field(target), BROADCAST_CHARS)
-        frame = frame.join(F.broadcast(classes) if small else classes, TARGET)
+        field = ds.field(target)
+        count = _distinct(ds)[field.ordinal] + (1 if field.missing else 0)
+        if field.column_type in ("categorical", "binary") and _small_labels(ds, [field]):
+            labels = _dictionaries(ds, [field])[field.ordinal] + ([MISSING_CLASS] if field.missing else [])
+            frame = frame.withColumn("code", _code_of(sorted(set(labels)))(F.col(TARGET)))
+        else:
+            classes = target_classes(ds, target, task).select(F.col("label").alias(TARGET), "code")
+            frame = frame.join(classes, TARGET)
         nominal = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": max(count, 2)}}
         label = F.col("code").cast("double").alias("label", metadata=nominal)
         forest = RandomForestClassifier(numTrees=trees, seed=SEED, maxDepth=max_depth, featureSubsetStrategy="sqrt")
@@ -336,13 +389,13 @@ def forest_importance(ds: Dataset, target: str, task: str | None = None, max_dep
     scores = model.featureImportances.toArray()
     rows = [(o, name, float(s)) for (o, name, _), s in zip(features, scores)]
     return _ranked(
-        ds.spark.createDataFrame(rows, "ordinal int, feature string, importance double"), "random_forest", "importance"
+        local_frame(ds.spark, rows, "ordinal int, feature string, importance double"), "random_forest", "importance"
     )
 
 
-def feature_importance(ds: Dataset, target: str, task: str | None = None) -> DataFrame:
+def feature_importance(ds: Dataset, target: str, task: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Both rankings, one row per method and feature."""
-    return forest_importance(ds, target, task).unionByName(mutual_information(ds, target, task))
+    return forest_importance(ds, target, task, max_depth).unionByName(mutual_information(ds, target, task))
 
 
 def top_importance(ds: Dataset, target: str, task: str | None = None, n: int = 10) -> DataFrame:

@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset, Field
 from plumbline.functions.columns import col_, stack_columns
+from plumbline.functions.heavy import heavy_keys
 
 TREES = 100
 TREE_ROWS = 256
 SAMPLE_ROWS = TREES * TREE_ROWS
 SEED = 42
 CUTOFF = 0.5
+# A row content is heavy from one row in this many on.
+HEAVY = 1000
 
 
 @dataclass(frozen=True)
@@ -92,31 +95,54 @@ def _fit_column(sample: np.ndarray, ordinal: int) -> StepFunction:
 _MODEL = "ordinal int, breaks array<double>, outlier array<boolean>"
 
 
+def _rows(ds: Dataset, fields: list[Field]) -> DataFrame:
+    """The columns as doubles, with `start`, a hash of the row's content in [0, 1)."""
+    coin = F.xxhash64(F.lit(SEED), *[col_(name) for name in ds.df.columns])
+    start = F.shiftrightunsigned(coin, 11).cast("double") / F.lit(float(1 << 53))
+    return ds.df.select(start.alias("start"), *[f.as_double.alias(f"v{f.ordinal}") for f in fields])
+
+
 def _coins_below(bound: float) -> Column:
-    """How many of the coins (start + k) / copies, k from 0, are under `bound`."""
-    coins = F.ceil(F.lit(bound) * F.col("copies") - F.col("start")).cast("long")
-    return F.least(F.greatest(coins, F.lit(0).cast("long")), F.col("copies"))
+    """How many of a row's coins are under `bound`.
+
+    The coins of a heavy row's copies are spread evenly from `start`, those of
+    a light one all lie on it.
+    """
+    spread = F.ceil(F.lit(bound) * F.col("copies") - F.col("start")).cast("long")
+    light = F.when(F.col("start") < bound, F.col("copies")).otherwise(0)
+    return F.when(F.col("heavy"), F.least(F.greatest(spread, F.lit(0).cast("long")), F.col("copies"))).otherwise(light)
 
 
 def _copies(drawn: DataFrame) -> DataFrame:
     """A row per copy of `drawn` whose coin counts, with the coin as u."""
     each = drawn.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("coins") - 1)))
-    return each.withColumn("u", (F.col("start") + F.col("k")) / F.col("copies")).drop("start", "copies", "coins", "k")
+    place = F.when(F.col("heavy"), (F.col("start") + F.col("k")) / F.col("copies")).otherwise(F.col("start"))
+    return each.withColumn("u", place).drop("start", "copies", "coins", "k", "heavy")
 
 
-def _sampled(ds: Dataset, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
-    """The distinct rows with `copies`, and at most SAMPLE_ROWS values (ordinal, v) per column.
+def _sampled(ds: Dataset, fields: list[Field]) -> DataFrame:
+    """At most SAMPLE_ROWS values (ordinal, v) per column.
 
-    Equal rows are counted, and the coins of a row's n copies are spread evenly
-    over [0, 1) from a start that is a hash of the row's content. So the choice
-    does not depend on how the table is split, and a value is drawn as often as
-    its share of the rows. Coins thin the rows before the window keeps its
-    bounded top. Infinite values are never sampled.
+    A coin decides on a row by the hash of its content, where it is read, so
+    only rows that may be drawn are shuffled and no split of the table changes
+    the choice. Rows that hold one content in HEAVY of the table or more are
+    named by a heavy-hitter summary, counted, and drawn by their share: their
+    copies' coins are spread evenly over [0, 1). A lighter content is drawn
+    with all its copies or none. The window keeps the bounded top. Infinite
+    values are never sampled.
     """
-    coin = F.xxhash64(F.lit(SEED), *[col_(name) for name in ds.df.columns])
-    start = F.shiftrightunsigned(coin, 11).cast("double") / F.lit(float(1 << 53))
-    rows = ds.df.select(start.alias("start"), *[f.as_double.alias(f"v{f.ordinal}") for f in fields])
-    groups = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    rows = _rows(ds, fields)
+    bounds = {f.ordinal: min(1.0, 3.0 * SAMPLE_ROWS / max(f.n, 1)) for f in fields}
+    widest = max(bounds.values())
+    found = heavy_keys(rows, F.col("start").cast("string"), max(2, -(-ds.n_rows // HEAVY))) if widest < 1 else []
+    heavy = F.col("start").cast("string").isin([key for key, _ in found or []])
+    groups = (
+        rows.where((F.col("start") < widest) | heavy)
+        .groupBy(*rows.columns)
+        .agg(F.count(F.lit(1)).alias("copies"))
+        # Where every row may be drawn all are grouped, and all can be spread.
+        .withColumn("heavy", heavy if widest < 1 else F.lit(True))
+    )
     drawn = stack_columns(
         groups,
         [
@@ -125,7 +151,8 @@ def _sampled(ds: Dataset, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
                 F.col(f"v{f.ordinal}").alias("v"),
                 "start",
                 "copies",
-                _coins_below(min(1.0, 3.0 * SAMPLE_ROWS / max(f.n, 1))).alias("coins"),
+                "heavy",
+                _coins_below(bounds[f.ordinal]).alias("coins"),
             )
             for f in fields
         ],
@@ -133,7 +160,7 @@ def _sampled(ds: Dataset, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
     drawn = _copies(drawn)
     first = Window.partitionBy("ordinal").orderBy("u", "v")
     sample = drawn.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE_ROWS)
-    return groups, sample.select("ordinal", "v")
+    return sample.select("ordinal", "v")
 
 
 def fit_forests(ds: Dataset, fields: list[Field]) -> dict[int, StepFunction]:
@@ -143,7 +170,7 @@ def fit_forests(ds: Dataset, fields: list[Field]) -> dict[int, StepFunction]:
     """
     if not fields:
         return {}
-    groups, sample = _sampled(ds, fields)
+    sample = _sampled(ds, fields)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         ordinal = int(pdf["ordinal"].iloc[0])
@@ -156,9 +183,8 @@ def fit_forests(ds: Dataset, fields: list[Field]) -> dict[int, StepFunction]:
         if f.ordinal not in found:
             # Every finite value's coin missed: there are few among many infinite ones.
             v = F.col(f"v{f.ordinal}")
-            finite = groups.where(v.isNotNull() & (F.abs(v) < float("inf")))
-            finite = finite.select(v.alias("v"), "start", "copies", F.col("copies").alias("coins"))
-            top = _copies(finite).orderBy("u", "v").limit(SAMPLE_ROWS)
+            finite = _rows(ds, [f]).where(v.isNotNull() & (F.abs(v) < float("inf")))
+            top = finite.select("start", v.alias("v")).orderBy("start", "v").limit(SAMPLE_ROWS)
             sample = np.sort(np.array([r["v"] for r in top.collect()], float))
             found[f.ordinal] = _fit_column(sample, f.ordinal) if len(sample) else StepFunction(np.array([]), np.array([False]))
     return found

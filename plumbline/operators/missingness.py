@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import chunks, fixed, percent, stack_columns, union_all
+from plumbline.functions.columns import chunks, column_level, fixed, local_frame, percent, stack_columns, union_all
 from plumbline.functions.ordering import range_parts
 
 THRESHOLD = 0.2
@@ -107,7 +107,7 @@ def indicator_correlations(ds: Dataset) -> DataFrame:
     schema = "ordinal int, x int, n bigint, r double"
     numbers, flagged = _number_columns(ds), [f for f in ds.fields if f.missing]
     if not numbers or not flagged:
-        return ds.spark.createDataFrame([], schema)
+        return local_frame(ds.spark, [], schema)
     sums = union_all([_rank_sums(ds, numbers, part) for part in chunks(flagged, FLAGS_PER_SCAN)])
     n, m = F.col("n"), F.col("m")
     middle = (n + 1) / 2
@@ -118,12 +118,12 @@ def indicator_correlations(ds: Dataset) -> DataFrame:
     return sums.select("ordinal", "x", n.cast("bigint").alias("n"), F.when(n >= MIN_ROWS, r).alias("r"))
 
 
+@column_level
 def missing_columns(ds: Dataset, threshold: float = THRESHOLD) -> DataFrame:
     """One row per column: count, percentage, indicator, r, note, warning."""
     numbers = {f.ordinal for f in _number_columns(ds)}
     usable = [(f.ordinal, bool(numbers - {f.ordinal}) and f.n_rows >= MIN_ROWS) for f in ds.fields]
-    facts = ds.spark.createDataFrame(
-        [(f.ordinal, f.name, f.missing, f.n_rows, ok) for f, (_, ok) in zip(ds.fields, usable)],
+    facts = local_frame(ds.spark, [(f.ordinal, f.name, f.missing, f.n_rows, ok) for f, (_, ok) in zip(ds.fields, usable)],
         "ordinal int, column_name string, missing_count bigint, n_rows bigint, usable boolean",
     )
     best = ds.small(indicator_correlations).groupBy("ordinal").agg(F.max(F.abs("r")).alias("best"))
@@ -165,6 +165,7 @@ def ordered_list(value: Column, when: Column | None = None) -> Column:
     return F.transform(F.array_sort(F.collect_list(kept)), lambda p: p["v"])
 
 
+@column_level
 def missing_summary(ds: Dataset, threshold: float = THRESHOLD) -> DataFrame:
     """One row for the table: totals and the columns of each indicator."""
     columns = ds.small(missing_columns, *([] if threshold == THRESHOLD else [threshold]))

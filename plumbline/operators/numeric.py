@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import scan_columns, stack_columns
+from plumbline.dataset import Dataset, Field, Request
+from plumbline.functions.columns import column_level, local_frame, stack_columns
 
 QUARTILES = (0.25, 0.5, 0.75)
 BINS = 20
@@ -16,7 +16,7 @@ STATS_SCHEMA = (
 )
 
 
-def _moments(field: Field, quartiles: list[float]) -> Column:
+def _moments(field: Field) -> Column:
     """Known facts as literals plus the centred power sums of one column."""
     d = field.as_double - F.lit(field.mean)
     return F.struct(
@@ -26,15 +26,16 @@ def _moments(field: Field, quartiles: list[float]) -> Column:
         F.lit(field.mean).alias("mean"),
         F.lit(field.low).alias("min"),
         F.lit(field.high).alias("max"),
-        F.lit(quartiles[0]).alias("q1"),
-        F.lit(quartiles[1]).alias("median"),
-        F.lit(quartiles[2]).alias("q3"),
         F.sum(d * d).alias("s2"),
         F.sum(d * d * d).alias("s3"),
         F.sum(d * d * d * d).alias("s4"),
     )
 
 
+def moments_request(ds: Dataset) -> Request:
+    return Request("moments", [_moments(f) for f in ds.of_type("numeric")])
+
+
 def raw_stats(ds: Dataset) -> DataFrame:
     """Unrounded statistics of every numeric column.
 
@@ -43,9 +44,11 @@ def raw_stats(ds: Dataset) -> DataFrame:
     """
     fields = ds.of_type("numeric")
     if not fields:
-        return ds.spark.createDataFrame([], STATS_SCHEMA)
+        return local_frame(ds.spark, [], STATS_SCHEMA)
     quartiles = ds.quantiles(fields, QUARTILES)
-    sums = scan_columns(ds.df, [_moments(f, quartiles[f.name]) for f in fields])
+    found = local_frame(ds.spark, [(f.ordinal, *quartiles[f.name]) for f in fields], "ordinal int, q1 double, median double, q3 double"
+    )
+    sums = ds.scan(moments_request(ds)).join(found, "ordinal")
     n = F.col("n").cast("double")
     constant = F.col("min") == F.col("max")
     variance = F.try_divide(F.col("s2"), n)
@@ -77,9 +80,10 @@ def raw_stats(ds: Dataset) -> DataFrame:
 _MEASURES = ("mean", "median", "std", "min", "max", "q1", "q3", "skewness", "kurtosis")
 
 
+@column_level
 def numeric_stats(ds: Dataset) -> DataFrame:
     """Statistics of every numeric column, 4 decimals."""
-    return raw_stats(ds).select(
+    return ds.small(raw_stats).select(
         "ordinal", "column_name", "n", *[F.round(m, 4).alias(m) for m in _MEASURES]
     )
 
@@ -108,7 +112,7 @@ def histogram(ds: Dataset, bins: int = BINS) -> DataFrame:
     )
     fields = [f for f in ds.of_type("numeric") if f.low < f.high]
     if not fields:
-        return ds.spark.createDataFrame([], schema)
+        return local_frame(ds.spark, [], schema)
     medians = ds.quantiles(fields, QUARTILES)
     placed = [
         F.struct(
@@ -125,8 +129,7 @@ def histogram(ds: Dataset, bins: int = BINS) -> DataFrame:
         for f in fields
     ]
     counts = stack_columns(ds.df, placed).where("bin IS NOT NULL").groupBy("ordinal", "bin").agg(F.count(F.lit(1)).alias("cnt"))
-    frame = ds.spark.createDataFrame(
-        [(f.ordinal, f.name, f.low, f.high, f.mean, medians[f.name][1]) for f in fields],
+    frame = local_frame(ds.spark, [(f.ordinal, f.name, f.low, f.high, f.mean, medians[f.name][1]) for f in fields],
         "ordinal int, column_name string, low double, high double, mean double, median double",
     )
     width = (F.col("high") - F.col("low")) / F.lit(bins)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.dataset import Dataset, Field
-from plumbline.functions.columns import percent, scan_columns
+from plumbline.dataset import Dataset, Field, Request
+from plumbline.functions.columns import column_level, local_frame, percent
 from plumbline.operators.isolation import count_flags, fit_forests
 from plumbline.operators.numeric import QUARTILES, raw_stats
 
@@ -50,18 +50,11 @@ def _head(field: Field) -> list[Column]:
     ]
 
 
-def outliers_iqr(ds: Dataset) -> DataFrame:
-    """ordinal, column_name, n, iqr_count, iqr_pct, lower_bound, upper_bound."""
+def iqr_request(ds: Dataset) -> Request:
     fields = _checked(ds)
-    if not fields:
-        return ds.spark.createDataFrame(
-            [],
-            "ordinal int, column_name string, n bigint, iqr_count bigint, iqr_pct double, "
-            "lower_bound double, upper_bound double",
-        )
     fences = _fences(ds, fields)
-    counted = scan_columns(
-        ds.df,
+    return Request(
+        "iqr",
         [
             F.struct(
                 *_head(f),
@@ -72,7 +65,25 @@ def outliers_iqr(ds: Dataset) -> DataFrame:
             for f in fields
         ],
     )
-    return counted.select(
+
+
+def zscore_request(ds: Dataset, threshold: float = Z_THRESHOLD) -> Request:
+    fields = _checked(ds)
+    std = _spreads(ds) if fields else {}
+    return Request(
+        f"zscore {threshold}",
+        [F.struct(*_head(f), F.count_if(_far(f, std[f.name], threshold)).alias("z_count")) for f in fields],
+    )
+
+
+def outliers_iqr(ds: Dataset) -> DataFrame:
+    """ordinal, column_name, n, iqr_count, iqr_pct, lower_bound, upper_bound."""
+    if not _checked(ds):
+        return local_frame(ds.spark, [],
+            "ordinal int, column_name string, n bigint, iqr_count bigint, iqr_pct double, "
+            "lower_bound double, upper_bound double",
+        )
+    return ds.scan(iqr_request(ds)).select(
         "ordinal",
         "column_name",
         "n",
@@ -85,17 +96,10 @@ def outliers_iqr(ds: Dataset) -> DataFrame:
 
 def outliers_zscore(ds: Dataset, threshold: float = Z_THRESHOLD) -> DataFrame:
     """ordinal, column_name, n, z_count, z_pct, threshold."""
-    fields = _checked(ds)
-    if not fields:
-        return ds.spark.createDataFrame(
-            [], "ordinal int, column_name string, n bigint, z_count bigint, z_pct double, threshold double"
+    if not _checked(ds):
+        return local_frame(ds.spark, [], "ordinal int, column_name string, n bigint, z_count bigint, z_pct double, threshold double"
         )
-    std = _spreads(ds)
-    counted = scan_columns(
-        ds.df,
-        [F.struct(*_head(f), F.count_if(_far(f, std[f.name], threshold)).alias("z_count")) for f in fields],
-    )
-    return counted.withColumns(
+    return ds.scan(zscore_request(ds, threshold)).withColumns(
         {"z_pct": percent(F.col("z_count"), F.col("n")), "threshold": F.lit(float(threshold))}
     )
 
@@ -104,8 +108,7 @@ def isolation_forest(ds: Dataset) -> DataFrame:
     """ordinal, column_name, n, if_count, if_pct, row_consensus, row_consensus_pct."""
     fields = _checked(ds)
     if not fields:
-        return ds.spark.createDataFrame(
-            [],
+        return local_frame(ds.spark, [],
             "ordinal int, column_name string, n bigint, if_count bigint, if_pct double, "
             "row_consensus bigint, row_consensus_pct double",
         )
@@ -115,7 +118,7 @@ def isolation_forest(ds: Dataset) -> DataFrame:
         reach = Z_THRESHOLD * std[f.name] if std[f.name] else float("inf")
         bounds[f.ordinal] = (*fences[f.name], f.mean - reach, f.mean + reach)
     flags = count_flags(ds, fields, fit_forests(ds, fields), bounds)
-    names = ds.spark.createDataFrame([(f.ordinal, f.name, f.n) for f in fields], "ordinal int, column_name string, n bigint")
+    names = local_frame(ds.spark, [(f.ordinal, f.name, f.n) for f in fields], "ordinal int, column_name string, n bigint")
     return names.join(F.broadcast(flags), "ordinal").select(
         "ordinal",
         "column_name",
@@ -127,6 +130,7 @@ def isolation_forest(ds: Dataset) -> DataFrame:
     )
 
 
+@column_level
 def outlier_summary(ds: Dataset) -> DataFrame:
     """All three methods side by side; the IQR result is the primary count.
 
@@ -155,4 +159,5 @@ def flag_rows(ds: Dataset, threshold: float = Z_THRESHOLD) -> DataFrame:
     for f in fields:
         flags.append(F.coalesce(_beyond(f, fences[f.name]), F.lit(False)).alias(f"{f.name}_iqr_outlier"))
         flags.append(F.coalesce(_far(f, std[f.name], threshold), F.lit(False)).alias(f"{f.name}_z_outlier"))
-    return ds.df.select("*", *flags)
+    # Positional names: the table's own may differ in case alone.
+    return ds.df.select("*", *flags).toDF(*ds.source.columns, *[f"{f.name}_{kind}" for f in fields for kind in ("iqr_outlier", "z_outlier")])

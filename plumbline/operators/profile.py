@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.dataset import Dataset, Field
+from plumbline.dataset import Dataset, Field, Request
 from plumbline.functions.columns import (
     LONG_TEXT,
+    column_level,
+    local_frame,
     null_of,
     percent,
     scan_columns,
@@ -14,6 +16,7 @@ from plumbline.functions.columns import (
     text_key,
     union_all,
 )
+from plumbline.functions.heavy import top_keys
 
 # The date layouts a text column is tested against.
 DATE_LAYOUTS = (
@@ -28,6 +31,20 @@ DATE_LAYOUTS = (
     "dd/MM/yyyy HH:mm:ss",
     "dd-MM-yyyy",
 )
+# The layouts with a month's name, tried on texts that hold one.
+NAMED_LAYOUTS = (
+    "d-MMM-yyyy",
+    "d/MMM/yyyy",
+    "d-MMM-yyyy HH:mm",
+    "d-MMM-yyyy HH:mm:ss",
+    "d MMM yyyy HH:mm",
+    "d MMM yyyy HH:mm:ss",
+    "MMM d yyyy HH:mm",
+    "MMM d yyyy HH:mm:ss",
+    "MMM-d-yyyy",
+    "yyyy-MMM-d",
+)
+MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 DATE_SHARE = 0.8
 HIGH_CARDINALITY = 0.8
 IMBALANCE = 0.90
@@ -107,7 +124,7 @@ def value_counts(ds: Dataset, fields: list[Field] | None = None) -> DataFrame:
 
 
 def _none(ds: Dataset, schema: str) -> DataFrame:
-    return ds.spark.createDataFrame([], schema)
+    return local_frame(ds.spark, [], schema)
 
 
 def distinct_counts(ds: Dataset, approximate: float | None = None) -> DataFrame:
@@ -133,25 +150,37 @@ def distinct_counts(ds: Dataset, approximate: float | None = None) -> DataFrame:
                 for f in ds.fields
             ],
         )
-    names = ds.spark.createDataFrame([(f.ordinal,) for f in ds.fields], "ordinal int")
+    names = local_frame(ds.spark, [(f.ordinal,) for f in ds.fields], "ordinal int")
     # All-null columns have nothing to count and need no place in the shuffle.
     filled = [f for f in ds.fields if f.n]
     if not filled:
         return names.select(
             "ordinal", F.lit(0).cast("bigint").alias("unique_count"), null_of("bigint").alias("top_cnt"), null_of("string").alias("top_text")
         )
-    counts = value_counts(ds, filled)
-    sizes = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"), F.max("cnt").alias("top_cnt"))
-    # The counts are read twice from the same shuffle; only ties reach the minimum.
-    ties = counts.join(F.broadcast(sizes), "ordinal").where((F.col("cnt") == F.col("top_cnt")) & F.col("value_text").isNotNull())
-    first = ties.groupBy("ordinal").agg(F.min("value_text").alias("top_text"))
-    return (
-        names.join(F.broadcast(sizes), "ordinal", "left")
-        .join(F.broadcast(first), "ordinal", "left")
-        .select("ordinal", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "top_cnt", "top_text")
+    # The least of (-count, text) is the most frequent value, and of equals the smallest text.
+    top = F.min(F.struct((-F.col("cnt")).alias("c"), F.col("value_text").alias("t")))
+    sizes = value_counts(ds, filled).groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"), top.alias("top"))
+    return names.join(sizes, "ordinal", "left").select(
+        "ordinal",
+        F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
+        (-F.col("top.c")).alias("top_cnt"),
+        F.col("top.t").alias("top_text"),
     )
 
 
+def exact_distinct(ds: Dataset, fields: list[Field]) -> dict[int, int]:
+    """Distinct values of a few columns by ordinal; nothing else is counted."""
+    if ds.knows(distinct_counts, None):
+        known = {row["ordinal"]: row["unique_count"] for row in ds.small(distinct_counts, None).collect()}
+        return {f.ordinal: known[f.ordinal] for f in fields}
+    out = {f.ordinal: 0 for f in fields}
+    filled = [f for f in fields if f.n]
+    if filled:
+        sizes = value_counts(ds, filled).groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
+        out.update({row["ordinal"]: row["n"] for row in sizes.collect()})
+    return out
+
+
 def mode_frequency(ds: Dataset) -> DataFrame:
     """ordinal, column_name, most_frequent, frequency for categorical columns.
 
@@ -162,7 +191,7 @@ def mode_frequency(ds: Dataset) -> DataFrame:
     short = [f for f in fields if (f.longest or 0) <= LONG_TEXT]
     parts = []
     if short:
-        names = ds.spark.createDataFrame([(f.ordinal, f.name) for f in short], "ordinal int, column_name string")
+        names = local_frame(ds.spark, [(f.ordinal, f.name) for f in short], "ordinal int, column_name string")
         parts.append(
             names.join(ds.small(distinct_counts, None), "ordinal").select(
                 "ordinal", "column_name", F.col("top_text").alias("most_frequent"), F.col("top_cnt").alias("frequency")
@@ -175,10 +204,18 @@ def mode_frequency(ds: Dataset) -> DataFrame:
 
 
 def _long_text_mode(ds: Dataset, field: Field, top: int) -> DataFrame:
-    """The mode of a long text column; only digests are counted and joined."""
+    """The mode of a long text column; only digests are counted and joined.
+
+    The winners come from a summary of the frequent digests, or, where none
+    stands out, from the counts of all.
+    """
     texts = ds.df.select(field.col.alias("value"))
     if top > 1:
-        winners = value_counts(ds, [field]).where(F.col("cnt") == top).select(F.col("value_text").alias("key"))
+        found = top_keys(ds.df, text_key(field.col), 1)
+        if found is None:
+            winners = value_counts(ds, [field]).where(F.col("cnt") == top).select(F.col("value_text").alias("key"))
+        else:
+            winners = F.broadcast(local_frame(ds.spark, [(key,) for key, _ in found], "key string"))
         texts = texts.withColumn("key", text_key(F.col("value"))).join(winners, "key", "left_semi")
     return texts.agg(F.min("value").alias("most_frequent")).select(
         F.lit(field.ordinal).alias("ordinal"),
@@ -188,6 +225,7 @@ def _long_text_mode(ds: Dataset, field: Field, top: int) -> DataFrame:
     )
 
 
+@column_level
 def column_profile(ds: Dataset, approximate: float | None = None) -> DataFrame:
     """One row per column: type, missing, distinct, constant, mode.
 
@@ -205,13 +243,13 @@ def column_profile(ds: Dataset, approximate: float | None = None) -> DataFrame:
     missing = F.col("n_rows") - F.col("n")
     distinct = ds.small(distinct_counts, approximate).drop("top_text")
     if approximate is None:
-        modes = mode_frequency(ds).drop("column_name")
+        modes = ds.small(mode_frequency).drop("column_name")
     else:
         modes = _none(ds, "ordinal int, most_frequent string, frequency bigint")
     return (
         ds.small(Dataset.summary)
         .join(distinct, "ordinal")
-        .join(F.broadcast(modes), "ordinal", "left")
+        .join(modes, "ordinal", "left")
         .select(
             "ordinal",
             "column_name",
@@ -233,31 +271,32 @@ def column_profile(ds: Dataset, approximate: float | None = None) -> DataFrame:
 # -- warnings ----------------------------------------------------------------
 
 
+def gate_request(ds: Dataset) -> Request:
+    texts = [f for f in ds.schema_fields if f.dtype == "string"]
+    return Request("date gate", [F.struct(F.lit(f.ordinal).alias("ordinal"), F.max(f.col.rlike("[-/:]")).alias("gate")) for f in texts])
+
+
 def date_like_columns(ds: Dataset) -> DataFrame:
     """ordinal, date_share: share of all rows a text column parses as a date.
 
     Only columns where some value has a date separator are parsed at all.
     """
-    schema = "ordinal int, date_share double"
+    request = date_request(ds)
+    return ds.scan(request) if request.structs else _none(ds, "ordinal int, date_share double")
+
+
+def date_request(ds: Dataset) -> Request:
     texts = [f for f in ds.of_type("categorical") if f.dtype == "string"]
-    if not texts:
-        return _none(ds, schema)
-    gated = scan_columns(
-        ds.df,
-        [F.struct(F.lit(f.ordinal).alias("ordinal"), F.max(f.col.rlike("[-/:]")).alias("gate")) for f in texts],
-    ).collect()
-    open_to_parse = {row["ordinal"] for row in gated if row["gate"]}
-    candidates = [f for f in texts if f.ordinal in open_to_parse]
-    if not candidates:
-        return _none(ds, schema)
-    return scan_columns(
-        ds.df,
+    gated = {row["ordinal"] for row in ds.scan(gate_request(ds)).collect() if row["gate"]} if texts else set()
+    return Request(
+        "dates",
         [
             F.struct(
                 F.lit(f.ordinal).alias("ordinal"),
                 F.try_divide(F.count(_parsed(f.col)), F.count(F.lit(1))).alias("date_share"),
             )
-            for f in candidates
+            for f in texts
+            if f.ordinal in gated
         ],
     )
 
@@ -268,10 +307,18 @@ def _parsed(value: Column) -> Column:
     bare = F.regexp_replace(trimmed, r"(:\d{2})[.,]\d{1,9}", "$1")
     bare = F.regexp_replace(bare, r"(:\d{2}) ?(Z|UTC|[+-]\d{2}:?\d{2}|[+-]\d{2})$", "$1")
     tries = [F.try_to_timestamp(bare, F.lit(layout)) for layout in DATE_LAYOUTS]
+    # A month's name is cut to three letters, and weekdays and commas are left out;
+    # month-name layouts are then tried with the month as a number.
+    plain = F.regexp_replace(F.lower(bare), r"^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +|,", "")
+    named = F.regexp_extract(plain, rf"^(?:\d{{1,4}}[-/ ])?({MONTHS})[a-z]*\.?[-/ ]", 1)
+    place = (F.position(named, F.lit(MONTHS.replace("|", ""))) + 2) / 3
+    numbered = F.regexp_replace(plain, rf"({MONTHS})[a-z]*\.?", F.format_string("%02d", place.cast("int")))
+    spoken = F.when(named != "", F.coalesce(*[F.try_to_timestamp(numbered, F.lit(x.replace("MMM", "MM"))) for x in NAMED_LAYOUTS]))
     # Parsing is tried only on texts that could be a date at all.
-    return F.when(bare.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([T ][0-9:]+)?$"), F.coalesce(*tries))
+    return F.when(bare.rlike(r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([T ][0-9:]+)?$"), F.coalesce(*tries)).otherwise(spoken)
 
 
+@column_level
 def profile_warnings(ds: Dataset) -> DataFrame:
     """section_rank, ord, code, column_name, message, in report order."""
     profile = ds.small(column_profile)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import beside, fixed
+from plumbline.functions.columns import beside, column_level, fixed
 from plumbline.operators.association import associated_pairs
 from plumbline.operators.missingness import missing_summary, ordered_list
 from plumbline.operators.outliers import outliers_iqr
@@ -57,6 +57,7 @@ def score_band(score: Column) -> Column:
     return _by_grade(score, 1)
 
 
+@column_level
 def table_facts(ds: Dataset) -> DataFrame:
     """One row with everything the table-level rules look at."""
     columns = ds.small(column_profile).agg(
@@ -82,6 +83,7 @@ def table_facts(ds: Dataset) -> DataFrame:
     )
 
 
+@column_level
 def quality_score(ds: Dataset) -> DataFrame:
     """One row: five penalties, score, grade, status, strengths, issues, advice."""
     empty = (F.col("rows") == 0) | (F.col("columns") == 0)

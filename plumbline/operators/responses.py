@@ -106,10 +106,24 @@ def _is_object(value: Column) -> Column:
     return _kind(value).startswith("OBJECT")
 
 
-def _texts(value: Column) -> Column:
-    """A JSON list as an array of strings; null for anything else."""
+def _texts(key: str) -> Column:
+    """A JSON list as an array of strings; null for anything else.
+
+    Items that are not text are written as the source writes them (1.0 stays
+    1.0), but for True, False and None.
+    """
+    value = _get(key)
     items = F.try_variant_get(F.when(_is_list(value), value), "$", "array<variant>")
-    return F.transform(items, lambda item: F.coalesce(item.cast("string"), F.lit("None")))
+    path = F.concat(F.col("__path"), F.lit(f".{key}"))
+    raw = F.from_json(F.call_function("get_json_object", F.col("json"), path), "array<string>")
+
+    def written(item: Column, text: Column) -> Column:
+        kind = _kind(item)
+        return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(item.cast("string"))).otherwise(
+            F.coalesce(text, item.cast("string"), F.lit("None"))
+        )
+
+    return F.zip_with(items, F.when(F.size(raw) == F.size(items), raw).otherwise(F.transform(items, lambda i: i.cast("string"))), written)
 
 
 def _text(value: Column) -> Column:
@@ -135,7 +149,7 @@ def _narrative() -> Column:
     tries = [_text(_get("narrative"))]
     for key in NARRATIVE_KEYS:
         tries.append(_text(_get(key)))
-        tries.append(F.array_join(_filled(_texts(_get(key))), "\n\n"))
+        tries.append(F.array_join(_filled(_texts(key)), "\n\n"))
     strings = F.filter(F.map_values(F.col("__data")), _is_text)
     sized = F.transform(
         strings,
@@ -151,15 +165,20 @@ def _listed(name: str, aliases: tuple[str, ...]) -> Column:
     choice = None
     for key in aliases:
         value = F.coalesce(
-            _texts(_get(key)),
+            _texts(key),
             bullet_lines(F.when(_is_text(_get(key)), F.try_variant_get(_get(key), "$", "string"))),
         )
         choice = F.when(_has(key), value) if choice is None else choice.when(_has(key), value)
-    return F.coalesce(_filled(_texts(_get(name))), choice)
+    return F.coalesce(_filled(_texts(name)), choice)
+
+
+def _lone(text: Column) -> Column:
+    """A list of one text; null without it."""
+    return F.when(text.isNotNull(), F.array(text))
 
 
 def _risk_findings() -> Column:
-    findings = _texts(_get("key_findings"))
+    findings = _texts("key_findings")
     worded = F.filter(
         findings, lambda f: F.lower(f).rlike("|".join(RISK_WORDS))
     )
@@ -175,11 +194,12 @@ def _share(value: Column) -> Column:
 
 
 def _confidence() -> Column:
-    tries = [_number(_get("confidence"))]
-    tries += [_share(_number(_get(key))) for key in CONFIDENCE_KEYS]
+    own = _get("confidence")
+    tries = [_share(_number(_get(key))) for key in CONFIDENCE_KEYS]
     quality = F.when(_is_object(_get("quality")), F.try_variant_get(_get("quality"), "$.score", "double"))
     tries.append(F.round(_share(quality), 4))
-    return F.coalesce(*tries)
+    # A confidence that is there but no number hides every other one.
+    return F.when(own.isNotNull() & (_kind(own) != "VOID"), _number(own)).otherwise(F.coalesce(*tries))
 
 
 def normalise_keys(extracted: DataFrame) -> DataFrame:
@@ -199,17 +219,18 @@ def normalise_keys(extracted: DataFrame) -> DataFrame:
         extracted.withColumn("__outer", outer)
         .withColumn("__inner", inner)
         .withColumn("__data", F.when(wrapped, F.col("__inner")).otherwise(F.col("__outer")))
+        .withColumn("__path", F.when(wrapped, F.concat(F.lit("$['"), F.map_keys("__outer")[0], F.lit("']"))).otherwise("$"))
         .withColumns(
             {
                 "narrative": F.coalesce(_narrative(), F.col("raw_narrative")),
                 "key_risks": F.coalesce(
-                    _filled(_listed("key_risks", RISK_KEYS)), _filled(_risk_findings()), none
+                    _filled(_listed("key_risks", RISK_KEYS)), _filled(_risk_findings()), _lone(_text(_get("key_risks"))), none
                 ),
                 "recommendations": F.coalesce(_listed("recommendations", RECOMMENDATION_KEYS), none),
                 "confidence": _confidence(),
             }
         )
-        .drop("__outer", "__inner", "__data")
+        .drop("__outer", "__inner", "__data", "__path")
     )
 
 

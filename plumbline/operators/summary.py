@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import beside, fixed, null_of
+from plumbline.functions.columns import beside, column_level, fixed, local_frame, null_of
 from plumbline.operators.association import associated_pairs, pearson_pairs
 from plumbline.operators.missingness import ordered_list
 from plumbline.operators.numeric import numeric_stats
@@ -15,6 +15,7 @@ from plumbline.operators.quality import quality_score, table_facts
 from plumbline.operators.target import detect_task
 
 
+@column_level
 def feature_summary(ds: Dataset, target: str | None = None) -> DataFrame:
     """One row per column: type, missing, distinct, statistics, outliers, r with target."""
     pairs = ds.small(pearson_pairs)
@@ -59,6 +60,7 @@ def _said(frame: DataFrame, rank: int, ord_: Column, text: Column) -> DataFrame:
     return frame.select(F.lit(rank).alias("section_rank"), ord_.cast("int").alias("ord"), text.alias("message"))
 
 
+@column_level
 def insights(ds: Dataset) -> DataFrame:
     """section_rank, ord, message: what stands out, in reading order."""
     facts = ds.small(table_facts)
@@ -138,6 +140,7 @@ def insight_severity(ds: Dataset) -> DataFrame:
 # -- preprocessing -----------------------------------------------------------
 
 
+@column_level
 def preprocessing(ds: Dataset, target: str | None = None) -> DataFrame:
     """ord, column_name, columns, type, priority, action, message, correlation."""
     name = F.col("column_name")
@@ -286,16 +289,17 @@ NO_TASK = "A valid machine-learning task could not be determined."
 
 def recommended_models(ds: Dataset, target: str | None = None) -> DataFrame:
     """target, task_type, ord, model, reason for the detected task."""
-    table = ds.spark.createDataFrame(list(MODELS), "task_type string, ord int, model string, reason string")
+    table = local_frame(ds.spark, list(MODELS), "task_type string, ord int, model string, reason string")
     return (
         ds.small(detect_task, target)
         .select("target", "task_type")
-        .join(F.broadcast(table), "task_type")
+        .join(table, "task_type")
         .select("target", "task_type", "ord", "model", "reason")
         .orderBy("ord")
     )
 
 
+@column_level
 def model_recommendation(ds: Dataset, target: str | None = None) -> DataFrame:
     """One row: status, task, models, preprocessing, reasoning."""
     kinds = ds.small(column_profile).where(F.col("column_name") != F.lit(target) if target else F.lit(True)).agg(
@@ -359,6 +363,7 @@ def model_recommendation(ds: Dataset, target: str | None = None) -> DataFrame:
 # -- report ------------------------------------------------------------------
 
 
+@column_level
 def report(ds: Dataset, target: str | None = None) -> DataFrame:
     """One row that gathers shape, quality, task, findings, models and advice."""
     findings = ds.small(insights).agg(

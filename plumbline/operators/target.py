@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import null_of, percent
+from plumbline.functions.columns import column_level, local_frame, null_of, percent
 from plumbline.operators.numeric import raw_stats
 from plumbline.operators.profile import distinct_counts
 
@@ -43,7 +43,7 @@ def class_distribution(ds: Dataset, target: str) -> DataFrame:
     """
     field = ds.field(target)
     if field is None or field.column_type not in ("categorical", "binary"):
-        return ds.spark.createDataFrame([], _CLASS_SCHEMA)
+        return local_frame(ds.spark, [], _CLASS_SCHEMA)
     counts = ds.df.where(field.col.isNotNull()).groupBy(field.col.cast("string").alias("label")).count()
     classes = ds.remember(("classes", target), counts.count)
     return counts.select(
@@ -85,6 +85,7 @@ def target_analysis(ds: Dataset, target: str | None) -> DataFrame:
     )
 
 
+@column_level
 def task_of_columns(ds: Dataset) -> DataFrame:
     """The task each column would give as target, one row per column."""
     kind = F.col("column_type")
@@ -146,6 +147,7 @@ def task_of_columns(ds: Dataset) -> DataFrame:
     )
 
 
+@column_level
 def detect_task(ds: Dataset, target: str | None = None) -> DataFrame:
     """One row: the task for `target`."""
     if target is None or not target.strip():
@@ -155,4 +157,4 @@ def detect_task(ds: Dataset, target: str | None = None) -> DataFrame:
         row = (target, None, None, None, None, None, None, 0.0, reason, "invalid_target")
     else:
         return ds.small(task_of_columns).where(F.col("target") == target)
-    return ds.spark.createDataFrame([row], _TASK_SCHEMA)
+    return local_frame(ds.spark, [row], _TASK_SCHEMA)

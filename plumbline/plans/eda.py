@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.dataset import Dataset
-from plumbline.functions.columns import beside, fixed, union_all
+from plumbline.functions.columns import beside, fixed, local_frame, union_all
 from plumbline.operators import association, importance, missingness, numeric, outliers, profile, quality, summary, target as targets
 
 TOP_EVIDENCE = 5
@@ -13,13 +13,16 @@ MAX_RISKS = 5
 MAX_RECOMMENDATIONS = 6
 
 
-def run_eda(table: DataFrame | Dataset, target: str | None = None) -> dict[str, DataFrame]:
-    """Every section of the analysis by name.
+def run_eda(
+    table: DataFrame | Dataset, target: str | None = None, max_depth: int = importance.MAX_DEPTH
+) -> dict[str, DataFrame]:
+    """Every section of the analysis by name; `max_depth` is that of the forest behind the importance.
 
     Sections share the Dataset's column facts: each statistic is scanned once,
     and everything built from it afterwards works on column-level rows.
     """
     ds = table if isinstance(table, Dataset) else Dataset(table)
+    gather_facts(ds)
     sections: dict[str, DataFrame] = {
         "profile": ds.small(profile.column_profile),
         "warnings": ds.small(profile.profile_warnings),
@@ -44,10 +47,28 @@ def run_eda(table: DataFrame | Dataset, target: str | None = None) -> dict[str,
         sections["target_analysis"] = ds.small(targets.target_analysis, target)
         sections["class_distribution"] = targets.class_distribution(ds, target)
         if ds.field(target) is not None:
-            sections["feature_importance"] = ds.small(importance.feature_importance, target, _task(ds, target))
+            sections["feature_importance"] = ds.small(importance.feature_importance, target, _task(ds, target), max_depth)
     return sections
 
 
+def gather_facts(ds: Dataset) -> None:
+    """The aggregates of all sections in three shared scans.
+
+    Each needs what the one before found: columns' types and ranges, then means
+    and texts that could be dates, then quartiles and spreads.
+    """
+    ds.gather(ds.summary_request(), profile.gate_request(ds))
+    numbers = ds.of_type("numeric")
+    ds.gather(
+        numeric.moments_request(ds),
+        ds.quantiles_request(numbers, numeric.QUARTILES),
+        profile.date_request(ds),
+        *association.pair_requests(ds),
+    )
+    if numbers:
+        ds.gather(outliers.iqr_request(ds), outliers.zscore_request(ds))
+
+
 def _task(ds: Dataset, target: str | None) -> str | None:
     """The detected task, which overrides the one the target type suggests."""
     return ds.small(targets.detect_task, target).first()["task"]
@@ -56,9 +77,11 @@ def _task(ds: Dataset, target: str | None) -> str | None:
 def section_sizes(table: DataFrame | Dataset, target: str | None = None) -> DataFrame:
     """section, rows: the row count of every section of `run_eda`."""
     sections = run_eda(table, target)
-    return union_all(
-        [frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows") for name, frame in sections.items()]
-    )
+    marked = [frame.select(F.lit(name).alias("section")) for name, frame in sections.items()]
+    names = local_frame(next(iter(sections.values())).sparkSession, [(name,) for name in sections], "section string")
+    # One row more for each section, so that empty ones are counted too.
+    counted = union_all([names, *marked]).groupBy("section").agg((F.count(F.lit(1)) - 1).alias("rows"))
+    return counted.select("section", "rows")
 
 
 # -- evidence ----------------------------------------------------------------
@@ -103,7 +126,15 @@ def evidence(
         listed("dataset", overview, F.lit(1), F.lit("table"), json("rows", "columns", "duplicate_rows", "score", "grade"), None),
         listed("ml_task", ds.small(targets.detect_task, target), F.lit(1), F.coalesce("target", F.lit("")), json("task", "confidence"), None),
         listed("missing", ds.small(missingness.missing_columns).where("missing_count > 0"), F.col("ordinal"), F.col("column_name"), json("missing_count", "missing_percentage", "indicator"), None),
-        listed("outliers", ds.small(outliers.outliers_iqr).where("iqr_count > 0"), F.col("ordinal"), F.col("column_name"), json("iqr_count", "iqr_pct"), None),
+        listed("missing_overall", ds.small(missingness.missing_summary), F.lit(1), F.lit(""), F.to_json(F.struct(F.col("overall_missing_percentage").alias("overall_missing_pct"))), None),
+        listed(
+            "outliers",
+            ds.small(outliers.outlier_summary).where("iqr_count > 0"),
+            F.col("ordinal"),
+            F.col("column_name"),
+            json("iqr_count", "iqr_pct", "lower_bound", "upper_bound", "z_count", "z_pct", "if_count", "if_pct", "consensus_count", "consensus_pct"),
+            None,
+        ),
         listed("pairs", pairs, F.col("place"), pair_name, json("correlation", "method"), top),
         listed("cramers_v", cramer, F.col("place"), pair_name, json("value"), top),
         listed("numeric", ds.small(numeric.numeric_stats), F.col("ordinal"), F.col("column_name"), json("mean", "std", "min", "max", "skewness"), None),

@@ -3,7 +3,9 @@
 import pytest
 
 from plumbline.dataset import Dataset
-from plumbline.operators import isolation, missingness, outliers
+from plumbline.operators import isolation, missingness, outliers, summary
+from plumbline.plans import eda
+from plumbline.sources import readers
 
 
 def test_rank_sums_beside_generated_names(make):
@@ -40,7 +42,20 @@ def test_forest_samples_values_by_their_share(spark, monkeypatch, seed):
         drawn = []
         for parts in (2, 5):
             ds = Dataset(spark.range(n).selectExpr(column).repartition(parts))
-            _, sample = isolation._sampled(ds, outliers._checked(ds))
+            sample = isolation._sampled(ds, outliers._checked(ds))
             drawn.append(sorted(r["v"] for r in sample.collect()))
         assert drawn[0] == drawn[1] and len(drawn[0]) == isolation.SAMPLE_ROWS
         assert abs(drawn[0].count(value) / isolation.SAMPLE_ROWS - share) < 0.01
+
+
+def test_names_that_differ_in_case_alone(spark):
+    """Every section works on `A, a`, and the columns keep their names."""
+    rows = [(float(i), float(i * i % 13), "xy"[i % 2], f"t{i}") for i in range(30)]
+    ds = Dataset(spark.createDataFrame(rows, "A double, a double, `a#2` string, B string"))
+    assert [r["column_name"] for r in summary.feature_summary(ds, "a").collect()] == ["A", "a", "a#2", "B"]
+    assert ds.field("a").n == 30 and outliers.flag_rows(ds).columns[:2] == ["A", "a"]
+    plain = Dataset(spark.createDataFrame(rows, "p double, q double, r string, s string"))
+    shown = [[tuple(r)[2:] for r in summary.feature_summary(d, t).orderBy("ordinal").collect()] for d, t in ((ds, "a"), (plain, "q"))]
+    assert shown[0] == shown[1]
+    assert readers.table_fingerprint(ds.source).first() == readers.table_fingerprint(plain.source).first()
+    assert sum(r["rows"] for r in eda.section_sizes(ds, "a#2").collect()) == sum(r["rows"] for r in eda.section_sizes(plain, "r").collect())

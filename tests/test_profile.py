@@ -135,3 +135,10 @@ def test_common_stamps_are_dates(make):
     stamps = ["2024-01-05T10:00:00Z", "2024-01-05 10:00:00.123", "25/01/2024", "2024-01-05T10:00:00+02:00"]
     ds = make([(s,) for s in stamps], "t string")
     assert profile.date_like_columns(ds).first()["date_share"] == 1.0
+
+
+def test_month_names_are_dates(make):
+    stamps = ["05-Jan-2024", "5/Feb/2024", "March 5, 2024 10:30", "Tue, 5 Nov 2024 10:30:00 +02:00", "2024-Dec-05", "Sept. 5 2024 10:30:00", "5-may-2024 07:08"]
+    assert profile.date_like_columns(make([(s,) for s in stamps], "t string")).first()["date_share"] == 1.0
+    others = ["mar-9", "May-be 5", "31-Feb-2024", "1-2", "decide - later", "Jan"]
+    assert profile.date_like_columns(make([(s,) for s in others], "t string")).first()["date_share"] == 0.0

@@ -114,3 +114,22 @@ def test_roll_up_keeps_the_last_entry_of_a_node(spark):
 def test_paragraphs(spark):
     frame = spark.createDataFrame([(1, "one\n\n\ntwo\nstill two\n\n  \n\nthree")], "run_id int, narrative string")
     assert [r["paragraph"] for r in responses.narrative_paragraphs(frame).collect()] == ["one", "two\nstill two", "three"]
+
+
+def test_items_are_written_as_the_source_has_them(normalise):
+    row = normalise('{"summary": "s", "risks": [true, 1.0, null, "1.0", 2, {"a": 1}, "true"], "actions": [1e3, false]}')
+    assert row["key_risks"] == ["True", "1.0", "None", "1.0", "2", '{"a":1}', "true"]
+    assert row["recommendations"] == ["1000.0", "False"]
+    inner = normalise('{"it\'s": {"summary": "s", "actions": [1.50, "x"]}}')
+    assert inner["recommendations"][1] == "x"
+
+
+def test_a_confidence_in_words_hides_every_other(normalise):
+    assert normalise('{"summary": "s", "confidence": "high", "score": 91}')["confidence"] is None
+    assert normalise('{"summary": "s", "confidence": "0.7", "score": 91}')["confidence"] == 0.7
+    assert normalise('{"summary": "s", "confidence": null, "score": 91}')["confidence"] == 0.91
+
+
+def test_risks_as_plain_text_stay(normalise):
+    assert normalise('{"narrative": "n", "key_risks": "Some gaps."}')["key_risks"] == ["Some gaps."]
+    assert normalise('{"narrative": "n", "key_risks": "Some gaps.", "issues": ["x"]}')["key_risks"] == ["x"]

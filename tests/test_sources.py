@@ -1,7 +1,9 @@
+import hashlib
 import json
 
 import pytest
 from conftest import keyed
+from pyspark.sql import functions as F
 
 from plumbline.dataset import Dataset
 from plumbline.plans import eda
@@ -70,16 +72,48 @@ def test_result_round_trip(spark, make, tmp_path):
     ds = make([(float(i), "ab"[i % 2]) for i in range(8)], "x double, s string")
     record = writers.result_record("eda_only", readers.dataset_hash(ds), eda.report_document(ds, "s"), metadata={"target": "s"})
     writers.save_result(record, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out")).first()
+    writers.save_result(record, str(tmp_path / "out"))
+    (back,) = writers.read_runs(spark, str(tmp_path / "out")).collect()
     assert back["schema_version"] == "1.0" and back["pipeline"] == "eda_only" and back["metadata"]["target"] == "s"
     body = json.loads(back["eda"])
     assert body["rows"] == 8 and [f["column_name"] for f in body["features"]] == ["x", "s"]
 
 
-def test_evaluation_sink(spark, tmp_path):
+def test_runs_are_there_once_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "m")
     run_id = writers.evaluation_run_id("abcd1234", "20260101T000000Z")
-    writers.save_evaluation(spark.range(2), str(tmp_path / "m"), run_id)
-    assert keyed(spark.read.json(str(tmp_path / "m")), "id", "evaluation_id") == {0: run_id, 1: run_id}
+    writers.save_evaluation(spark.range(2), path, run_id)
+    writers.save_evaluation(spark.range(5), path, "007")
+    assert sorted(map(tuple, writers.read_runs(spark, path).select("id", "run_id").collect())) == sorted(
+        [(i, "007") for i in range(5)] + [(i, run_id) for i in range(2)]
+    )
+    # Written but not committed: a crash between the two leaves nothing to read.
+    lost = spark.range(9).withColumns({"run_id": F.lit(run_id), "attempt": F.lit("99999999T")})
+    lost.write.partitionBy("run_id", "attempt").mode("append").json(path + "/data")
+    assert writers.read_runs(spark, path).where(F.col("run_id") == run_id).count() == 2
+    writers.save_evaluation(spark.range(3), path, run_id)
+    back = writers.read_runs(spark, path, "id bigint")
+    assert keyed(back.groupBy("run_id").count(), "run_id", "count") == {run_id: 3, "007": 5}
+
+
+def test_cells_cannot_be_mistaken(spark):
+    of = lambda a, b: readers.table_fingerprint(spark.createDataFrame([(a, b)], "a string, b string")).first()["row_sum"]
+    pairs = [(None, "x"), ("\\N", "x"), ("-", "x"), ("", "x"), ("p\x1fq", "r"), ("p", "q\x1fr"), ("1:a", ""), ("", "1:a"), ("x", None)]
+    assert len({of(*pair) for pair in pairs}) == len(pairs)
+
+
+def test_file_hash_in_blocks(spark, tmp_path):
+    data = bytes(range(256)) * 5000
+    for name, size in (("b.bin", 1000), ("c.bin", 4096), ("d.bin", 4097), ("e.bin", 1_000_000)):
+        (tmp_path / name).write_bytes(data[:size])
+    found = readers.file_fingerprint(spark, str(tmp_path), block=4096).collect()
+    got = {row["path"].rsplit("/", 1)[1]: row["dataset_hash"] for row in found}
+
+    def plain(size):
+        parts = [hashlib.sha256(data[at : min(at + 4096, size)]).hexdigest() for at in range(0, max(size, 1), 4096)]
+        return (parts[0] if len(parts) == 1 else hashlib.sha256("".join(parts).encode()).hexdigest())[:8]
+
+    assert got == {"b.bin": plain(1000), "c.bin": plain(4096), "d.bin": plain(4097), "e.bin": plain(1_000_000)}
 
 
 def test_shared_folder_follows_the_session(spark):
