@@ -81,8 +81,10 @@ def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.S
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), wanted)
 
 
-# What one_job sets: no runtime re-planning, no broadcasts, one shuffle partition.
+# What one_job sets: no runtime re-planning, no broadcasts, one shuffle partition,
+# and no compiled stages, which take longer to compile than a few rows to run.
 _ONE_JOB = {
+    "spark.sql.codegen.wholeStage": "false",
     "spark.sql.adaptive.enabled": "false",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.shuffle.partitions": "1",
