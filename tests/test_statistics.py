@@ -172,3 +172,12 @@ def test_infinite_values_have_no_pair(make, wide):
     ds = make(rows, "x double, y double, b int")
     assert all(p["r"] is None for p in association.pearson_pairs(ds, wide).collect())
     assert not [p for p in association.point_biserial(ds, wide).collect() if p["numeric_column"] == "x"]
+
+
+def test_histogram_edges_round_as_sql_does(make):
+    # 20 * 69.24 / 461.6 falls just short of the third edge, 69.24 / 461.6 * 20 does not.
+    low, high, edges = 0.0, 461.6, (69.24, 138.48, 161.56)
+    found = keyed(numeric.histogram(make([(low,), (high,), *[(e,) for e in edges]], "x double")), "bin", "cnt")
+    for edge in edges:
+        assert found[min(int((edge - low) / (high - low) * 20) + 1, 20)] == 1
+    assert sum(found.values()) == 5
