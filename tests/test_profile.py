@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import keyed, table
 
 from plumbline.dataset import Dataset
@@ -142,3 +143,24 @@ def test_month_names_are_dates(make):
     assert profile.date_like_columns(make([(s,) for s in stamps], "t string")).first()["date_share"] == 1.0
     others = ["mar-9", "May-be 5", "31-Feb-2024", "1-2", "decide - later", "Jan"]
     assert profile.date_like_columns(make([(s,) for s in others], "t string")).first()["date_share"] == 0.0
+
+
+ODD_DATES = [
+    "2024-02-30", "2024-02-29", "0000-01-01", "13/01/2024", "01/13/2024", "13/13/2024", "2024-1-5", "2024/12/31", "31-12-2024", "2024-01-05T24:00:00",
+    "2024-01-05 23:59", "2024-01-05 23:60:00", "5-05-2024", "05-05-2024 07:08", "005-05-2024", "05-05--2024", "05-05-+12345", "05-05-12345", "2024-05-5",
+    "05 05 2024 10:30:59", "05-00-2024", "0-05-2024", "", "-", "2024-05-", "05/05/2024", "05/05/2024 1:00:00",
+]
+
+
+@pytest.mark.parametrize("layouts", [profile.DATE_LAYOUTS, [x.replace("MMM", "MM") for x in profile.NAMED_LAYOUTS]])
+def test_layouts_are_tried_on_their_shape_only(spark, layouts):
+    texts = spark.createDataFrame([(s,) for s in ODD_DATES], "t string")
+    every = F.coalesce(*[F.try_to_timestamp("t", F.lit(x)) for x in layouts])
+    rows = texts.select("t", every.cast("long").alias("every"), profile._first_parsed(F.col("t"), layouts).cast("long").alias("shaped")).collect()
+    assert [r["t"] for r in rows if r["every"] != r["shaped"]] == []
+
+
+def test_date_texts_are_cleaned_once_per_value(make):
+    ds = make([("5-Jan-2024",), ("2024-01-05",)], "t string")
+    plan = profile.date_like_columns(ds)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 4 and plan.lower().count("rlike") >= len(profile.DATE_LAYOUTS + profile.NAMED_LAYOUTS)
