@@ -225,3 +225,12 @@ def test_one_run_id_on_two_datasets(spark):
     assert keyed(right, "dataset_hash", "m4_value", "better") == {"x": (0.5, "tie"), "y": (1.0, "tie")}
     report = ev.comparison_report(checks).select("dataset_hash", "condition_id", "m4").collect()
     assert {tuple(r) for r in report} == {("x", "c1", "OK"), ("x", "c2", "NO"), ("y", "c1", "OK")}
+
+
+def test_responses_meet_the_rules_once(spark):
+    said = spark.createDataFrame(
+        [(1, "single_agent", ["Impute missing values."], "text")], "run_id int, pipeline string, recommendations array<string>, narrative string"
+    )
+    checks = ev.rubric_checks(said, ev.rubric(spark))
+    assert checks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert checks.where("recommendation_matched").count() >= 1
