@@ -234,3 +234,15 @@ def test_responses_meet_the_rules_once(spark):
     checks = ev.rubric_checks(said, ev.rubric(spark))
     assert checks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
     assert checks.where("recommendation_matched").count() >= 1
+
+
+def test_sentences_meet_all_rules_at_once(spark):
+    rng = random.Random(5)
+    words = ["impute", "missing", "not", "drop", "rows", "one-hot", "encoding", "of", "the", "labels", "a", "never", "cap", "outliers", "linear regression", "use", "m"]
+    texts = [(i, "single_agent", None, " ".join(rng.choices(words, k=rng.randint(1, 9))) + ".") for i in range(60)]
+    said = ev.response_sentences(spark.createDataFrame(texts, "run_id int, pipeline string, recommendations array<string>, narrative string"))
+    rules = ev.rubric(spark)
+    hit = ev.grammar_match(F.col("sentence"), F.col("words"), F.col("actions"), F.col("targets"))
+    plain = {(r["run_id"], r["condition_id"]): r["hit"] for r in ev.with_rules(said, rules).select("run_id", "condition_id", hit.alias("hit")).collect()}
+    found = {(r["run_id"], r["condition_id"]): r["matched"] for r in ev.sentence_matches(said, rules).collect()}
+    assert found == plain and 0 < sum(found.values()) < len(found)
