@@ -3,7 +3,8 @@
 Pages of one host are aligned by simple tree matching into a template: a tree
 of the elements they share. The texts at its nodes are counted over the host's
 distinct pages, all of them: those that half of the pages have are template; the
-varying rest is content. Tags and class names say which zones (menus, adverts,
+varying rest is content. Nodes that a template has no room for are known by the
+labels on the way to them. Tags and class names say which zones (menus, adverts,
 comments ...) are never content.
 """
 
@@ -14,7 +15,7 @@ import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +27,8 @@ from plumbline.llm.common import Scratch, read_table
 # A text on at least this share of a host's distinct pages, of this many at
 # least, is template.
 SHARE, PAGES = 0.5, 4
-# A template keeps at most this many nodes; others are content.
+# A template keeps at most this many nodes; the texts at others are counted by
+# the labels on the way to them.
 NODES = 2000
 # Hosts of more pages than a group are broadcast while there are this few.
 BROADCAST_ROWS = 200_000
@@ -381,6 +383,19 @@ def _numbered(root: Slot) -> Slot:
     return root
 
 
+def _paths(page: Slot, matched: Collection[int]) -> dict[int, int]:
+    """A place below zero for each slot of a page but the matched ones: the labels from the root to it."""
+    out: dict[int, int] = {}
+    stack = [(page, "")]
+    while stack:
+        slot, above = stack.pop()
+        path = f"{above}{json.dumps(slot.label)}"
+        if slot.number not in matched:
+            out[slot.number] = -1 - (_digest(path) & (1 << 63) - 1)
+        stack += [(child, path) for child in slot.children]
+    return out
+
+
 class Wrapper:
     """A host's template and its constant texts, ready to meet its pages."""
 
@@ -391,8 +406,12 @@ class Wrapper:
             self.fixed.setdefault(number, set()).add(value)
         self.shapes: dict[str, dict[int, int]] = {}
 
-    def slots(self, shape: str) -> dict[int, int]:
-        """The slots of a page's folded tree that are in the template, with theirs there."""
+    def places(self, shape: str) -> dict[int, int]:
+        """The place of each slot of a page's folded tree.
+
+        It is the template's slot; for one that is not in the template it is
+        below zero, by the labels from the root to it.
+        """
         if shape not in self.shapes:
             out: dict[int, int] = {}
             page, memo = _numbered(loaded(json.loads(shape))), {}
@@ -401,14 +420,15 @@ class Wrapper:
                 a, b = stack.pop()
                 out[b.number] = a.number
                 stack += [(a.children[i], b.children[j]) for i, j in aligned(a, b, memo)]
+            out = _paths(page, out) | out
             if len(self.shapes) >= 512:
                 self.shapes.clear()
             self.shapes[shape] = out
         return self.shapes[shape]
 
-    def is_fixed(self, slots: dict[int, int], number: int, text: str) -> bool:
+    def is_fixed(self, places: dict[int, int], number: int, text: str) -> bool:
         """Whether the text is template at this slot of the page."""
-        known = self.fixed.get(slots.get(number, -1))
+        known = self.fixed.get(places[number])
         return known is not None and _digest(text) in known
 
 
@@ -419,8 +439,8 @@ def main_text(page: str, wrapper: Wrapper) -> str:
     if not chosen:
         return ""
     if wrapper.fixed:
-        slots = wrapper.slots(fold(root)[1])
-        varying = [text[1] for node, text in chosen if not wrapper.is_fixed(slots, node.number, text[1])]
+        places = wrapper.places(fold(root)[1])
+        varying = [text[1] for node, text in chosen if not wrapper.is_fixed(places, node.number, text[1])]
     else:
         varying = [text[1] for _, text in chosen]
     # Where the template would take most of an article, its pages are copies
@@ -467,18 +487,19 @@ def _induce(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["host", "tree", "pages"])
 
 
-_COUNTED = "host string, slot int, whole boolean, digest long, n long"
+_COUNTED = "host string, slot long, whole boolean, digest long, n long"
 
 
 def _count(articles: pd.DataFrame, templates: pd.DataFrame) -> pd.DataFrame:
-    """Distinct pages by (host, template slot), as `whole`, and by text there."""
+    """Distinct pages by (host, place), as `whole`, and by text there."""
     wrappers = {host: (Wrapper(text), parts) for host, text, parts in zip(templates["host"], templates["template"], templates["parts"])}
     pages: Counter = Counter()
     texts: Counter = Counter()
-    for host, tree, places, digests in zip(articles["host"], articles["tree"], articles["slots"], articles["digests"]):
-        slots = wrappers[host][0].slots(tree)
-        pages.update((host, slot) for slot in slots.values())
-        texts.update((host, slots[place], int(digest)) for place, digest in zip(places, digests) if place in slots)
+    for host, tree, slots, digests in zip(articles["host"], articles["tree"], articles["slots"], articles["digests"]):
+        places = wrappers[host][0].places(tree)
+        # Slots outside the template may share a place: it counts once a page, and so does a text there.
+        pages.update({(host, place) for place in places.values()})
+        texts.update({(host, places[slot], int(digest)) for slot, digest in zip(slots, digests)})
     rows = [(host, slot, True, 0, n) for (host, slot), n in pages.items()]
     # The counts of a host that is in one part are final.
     rows += [

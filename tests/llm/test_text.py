@@ -310,3 +310,21 @@ def test_contamination_spans_are_the_same_in_one_pass_and_in_several(spark, docs
     monkeypatch.setattr(decontaminate, "BLOCKS_PER_PASS", 2)
     several = {r["doc_id"]: tuple(r) for r in decontaminate.contamination(docs(*rows), bench).collect()}
     assert several == once and once[0][2] == 80 and once[0][-1].count("start") == 2 and once[2][-1].count("start") == 1
+
+
+def test_html_texts_beyond_the_template_are_counted(spark):
+    """Pages of more nodes than a template keeps: what all of them share goes, wherever it stands."""
+    sections, blocks = 46, 50
+    assert sections * blocks > html_extract.NODES
+
+    def page(i):
+        def text(s, b):
+            return f"Shared {s}." if b == 7 else f"Block {b} of {s} on page {i}."
+
+        inner = ("".join(f'<div class="b{b}">{text(s, b)}</div>' for b in range(blocks)) for s in range(sections))
+        return "<body>" + "".join(f'<section class="s{s}">{part}</section>' for s, part in enumerate(inner)) + "</body>"
+
+    frame = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(5)], "page_id long, url string, html string")
+    for row in html_extract.extract(frame).collect():
+        lines = row["text"].split("\n")
+        assert len(lines) == sections * (blocks - 1) and all(line.endswith(f"on page {row['page_id']}.") for line in lines)
