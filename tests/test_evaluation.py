@@ -5,7 +5,7 @@ import pytest
 from conftest import keyed
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluation as ev
+from plumbline.operators import association, evaluation as ev
 from plumbline.functions.rules import RuleAutomaton
 from plumbline.functions.text import sentences, tokens
 from plumbline.plans import experiment
@@ -246,3 +246,15 @@ def test_sentences_meet_all_rules_at_once(spark):
     plain = {(r["run_id"], r["condition_id"]): r["hit"] for r in ev.with_rules(said, rules).select("run_id", "condition_id", hit.alias("hit")).collect()}
     found = {(r["run_id"], r["condition_id"]): r["matched"] for r in ev.sentence_matches(said, rules).collect()}
     assert found == plain and 0 < sum(found.values()) < len(found)
+
+
+def test_triggers_count_distinct_values_once(make, monkeypatch):
+    """The counts the task needs also tell identifiers, so no scan looks for those."""
+
+    def scan(*_):
+        raise AssertionError("another scan")
+
+    monkeypatch.setattr(association, "scan_columns", scan)
+    ds = make([(f"id{i}", f"c{i % 3}", float(i % 5)) for i in range(40)], "id string, c string, x double")
+    found = {r["condition_id"]: r["triggered"] for r in ev.rubric_triggers(ds, "x", True).collect()}
+    assert found["high_correlation"] and found["categorical_features"] and not found["outliers_present"]

@@ -181,3 +181,15 @@ def test_histogram_edges_round_as_sql_does(make):
     for edge in edges:
         assert found[min(int((edge - low) / (high - low) * 20) + 1, 20)] == 1
     assert sum(found.values()) == 5
+
+
+def test_cells_are_counted_once_for_all_marginals(spark, make):
+    ds = make([(f"a{i % 3}", f"b{i % 4}") for i in range(60)], "a string, b string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frame = association.cramers_v(ds)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 2
+    assert frame.first()["value"] == 0.0
