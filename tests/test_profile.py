@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import keyed, table
 
 from plumbline.dataset import Dataset
+from plumbline.functions import columns
 from plumbline.operators import profile
 
 
@@ -164,3 +165,18 @@ def test_date_texts_are_cleaned_once_per_value(make):
     ds = make([("5-Jan-2024",), ("2024-01-05",)], "t string")
     plan = profile.date_like_columns(ds)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 4 and plan.lower().count("rlike") >= len(profile.DATE_LAYOUTS + profile.NAMED_LAYOUTS)
+
+
+@pytest.mark.parametrize("operator", [lambda ds: profile.distinct_counts(ds), profile.duplicate_rows])
+def test_groupings_of_many_cells_use_more_tasks(spark, make, monkeypatch, operator):
+    ds = make([(i, f"t{i % 7}") for i in range(50)], "a int, b string")
+    before, seen = operator(ds).collect(), []
+    monkeypatch.setattr(columns, "CELLS_PER_TASK", 9)
+
+    def pin(frame):
+        seen.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return columns.pin(frame)
+
+    monkeypatch.setattr(profile, "pin", pin)
+    assert sorted(operator(ds).collect()) == sorted(before) and seen == [12]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
