@@ -84,3 +84,11 @@ def test_a_label_that_fixes_the_target_has_its_entropy(make):
     ds = make([(f"label{i % 40:02d}", float(i * 37 % 101), (i % 40) % 2) for i in range(400)], "tag string, noise double, y int")
     scores = {r["feature"]: r["score"] for r in importance.mutual_information(ds, "y", "classification").collect()}
     assert scores["tag"] == pytest.approx(math.log(2), abs=1e-6) and scores["noise"] < scores["tag"]
+
+
+def test_training_rows_are_dealt_over_all_cores(spark):
+    rows, cores = spark.range(300, numPartitions=1), spark.sparkContext.defaultParallelism
+    assert importance._dealt(rows, 300).rdd.getNumPartitions() == 1
+    dealt = importance._dealt(rows, importance.DEALT_ROWS + 1)
+    assert dealt.rdd.getNumPartitions() == cores > 1 and dealt.count() == 300
+    assert importance._dealt(rows, cores * importance.ROWS_PER_TASK + 1).rdd.getNumPartitions() == 2 * cores
