@@ -76,7 +76,7 @@ def _half_keys() -> Column:
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """(place, at, key) of every whole line, at -1, and of it without each word.
+    """(id, at, key) of every whole line, at -1, and of it without each word.
 
     A key is the exclusive or of hashes of (word, position), twice 64 bits. To
     leave out word i + 1 instead of word i changes one position, i, so all keys
@@ -95,7 +95,7 @@ def _variants(texts: DataFrame) -> DataFrame:
     def hashed(words: Column, seed: int) -> Column:
         return F.transform(words, lambda word, i: F.xxhash64(F.lit(seed), word, i))
 
-    rows = texts.select("place", F.split("line", " ").alias("words"))
+    rows = texts.select("id", F.split("line", " ").alias("words"))
     for seed, half in enumerate("xy"):
         # As they stand, and one place earlier: what follows a word left out.
         later = F.slice("words", F.lit(2), F.size("words"))
@@ -106,7 +106,7 @@ def _variants(texts: DataFrame) -> DataFrame:
         steps = F.zip_with(F.slice(own, F.lit(1), F.size(early)), early, xor)
         keys.append(F.concat(F.array(every(own)), scan(every(early), steps)))
     pairs = F.zip_with(*keys, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return rows.select("place", F.posexplode(pairs).alias("at", "key")).withColumn("at", F.col("at") - 1)
+    return rows.select("id", F.posexplode(pairs).alias("at", "key")).withColumn("at", F.col("at") - 1)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -121,6 +121,12 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= 1) & (agreeing(x, y) + agreeing(F.reverse(x), F.reverse(y)) >= longest - 1)
 
 
+def _among(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in `keys` (one column only); those that the key filter clears are not shuffled."""
+    maybe = marked_by(rows, key, keys, "maybe").where("maybe").drop("maybe")
+    return maybe.join(keys.select(F.col(keys.columns[0]).alias("among")), key == F.col("among"), "left_semi")
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
     """(doc, text_key, line_no) of the lines that go: an earlier line is equal or near.
 
@@ -141,32 +147,31 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = every.groupBy("k").agg(F.min(F.struct(place, "n", "halves")).alias("f"), F.count(F.lit(1)).alias("copies"))
     distinct = scratch.stage(distinct.select("k", "f.place", "f.n", "f.halves", "copies"), "distinct")
 
-    halves = distinct.where("halves IS NOT NULL").select("k", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    partnered = scratch.stage(halves.join(shared, "half").select("k").distinct(), "partnered")
-    placed = scratch.stage(distinct.join(partnered, "k", "left_semi").select("k", "place", "n"), "placed")
-    spots = placed.select("place.doc", "place.text_key", "place.line_no", "k", "n", "place")
-    maybe = marked_by(lines, F.col("k"), partnered, "maybe").where("maybe").drop("maybe")
+    # Halves, and keys of variants below, are counted alone and met with their lines
+    # only where two share them, which few do: a line goes by 64 bits until then.
+    halves = distinct.where("halves IS NOT NULL").select(F.col("k.x").alias("x"), F.explode("halves").alias("half"))
+    shared = scratch.stage(halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "shared")
+    partnered = _among(halves, F.col("half"), shared).select("x").distinct()
+    partnered = scratch.stage(partnered, "partnered")
+    placed = scratch.stage(_among(distinct.select("k", "place"), F.col("k.x"), partnered), "placed")
+    spots = placed.select("place.doc", "place.text_key", "place.line_no", "k", "place")
+    maybe = marked_by(lines, F.col("k"), placed.select("k"), "maybe").where("maybe").drop("maybe")
     texts = maybe.select("doc", "text_key", "line_no", "k", "line").join(spots, ["doc", "text_key", "line_no", "k"])
-    texts = scratch.stage(texts.select("k", "place", "n", "line").dropDuplicates(["k"]), "texts")
+    texts = texts.select("k", "place", "line").dropDuplicates(["k"]).withColumn("id", F.monotonically_increasing_id())
+    texts = scratch.stage(texts, "texts")
 
     keyed = scratch.stage(_variants(texts), "variants")
+    twice = keyed.groupBy(F.col("key.x").alias("x")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
+    twice = scratch.stage(twice, "twice")
+    rows = _among(keyed, F.col("key.x"), twice).join(texts.select("id", "place"), "id").select("place", "at", "key")
+    rows = scratch.stage(rows, "meeting")
     # On a key, lines without the same word position replace a word; a whole
     # line meets any line that is it with one word more.
-    by_place = keyed.groupBy("key", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c"))
-    met = by_place.groupBy("key").agg(
-        F.min("first").alias("any"), F.min(F.when(F.col("at") == -1, F.col("first"))).alias("whole"),
-        F.sum("c").alias("c"),
-    ).where("c > 1")
-    meeting = scratch.stage(met.select("key", "any", "whole"), "meeting")
-    rows = keyed.join(meeting, "key")
-    same = scratch.stage(
-        rows.groupBy("key", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1 AND at >= 0").drop("c"),
-        "same-place",
-    )
+    met = rows.groupBy("key").agg(F.min("place").alias("any"), F.min(F.when(F.col("at") == -1, F.col("place"))).alias("whole"))
+    same = rows.where("at >= 0").groupBy("key", "at").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     partner = F.when(F.col("at") == -1, F.col("any")).otherwise(F.col("whole"))
-    across = rows.select("place", partner.alias("partner"))
-    replaced = rows.select("place", "key", "at").join(same, ["key", "at"]).select("place", F.col("first").alias("partner"))
+    across = rows.join(met, "key").select("place", partner.alias("partner"))
+    replaced = rows.join(same, ["key", "at"]).select("place", F.col("first").alias("partner"))
     pairs = across.union(replaced).where("partner IS NOT NULL AND partner < place")
     pairs = pairs.groupBy("place").agg(F.min("partner").alias("partner"))
 
@@ -174,10 +179,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = texts.select(F.col("place").alias("partner"), F.col("line").alias("earlier"))
     near = pairs.join(own, "place").join(other, "partner").where(_one_edit(F.col("line"), F.col("earlier"))).select("k", F.lit(True).alias("near"))
     near = scratch.stage(near.distinct(), "near")
-    scratch.drop("variants", "meeting", "same-place", "texts", "placed", "partnered")
+    scratch.drop("variants", "twice", "meeting", "texts", "placed", "partnered", "shared")
 
-    facts = distinct.join(near, "k", "left").where("copies > 1 OR near").select("k", "place", F.coalesce("near", F.lit(False)).alias("near"))
-    again = every.select("doc", "text_key", "line_no", "k").join(facts, "k")
+    likely = marked_by(distinct.select("k", "place", "copies"), F.col("k"), near.select("k"), "maybe").where("copies > 1 OR maybe")
+    facts = likely.join(near, "k", "left").where("copies > 1 OR near").select("k", "place", F.coalesce("near", F.lit(False)).alias("near"))
+    facts = scratch.stage(facts, "facts")
+    again = marked_by(every.select("doc", "text_key", "line_no", "k"), F.col("k"), facts.select("k"), "maybe").where("maybe").join(facts, "k")
     gone = again.where(F.col("near") | (F.struct("doc", "text_key", "line_no") > F.col("place"))).select("doc", "text_key", "line_no")
     gone = scratch.stage(gone.distinct(), "gone")
     scratch.keep_only("gone")

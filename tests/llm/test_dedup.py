@@ -166,6 +166,24 @@ def test_lines_by_brute_force(docs, prose):
     assert got == want
 
 
+def test_lines_meet_before_they_move(docs, prose, monkeypatch):
+    """Only variants whose key another variant has are joined; lines that share a half alone have none."""
+    staged, stage = {}, line_dedup.Scratch.stage
+
+    def spy(self, df, name, **kwargs):
+        out = stage(self, df, name, **kwargs)
+        staged[name] = (out.columns, out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "stage", spy)
+    head = prose(1, 10)
+    rows = [(k, f"{head} {prose(k + 10, 10)}") for k in range(20)] + [(50, prose(2, 8)), (51, prose(2, 8) + " more")]
+    got = {r["doc_id"] for r in line_dedup.line_report(docs(*rows)).collect() if r["n_removed"]}
+    assert got == {51}
+    assert staged["variants"][1] == 20 * 21 + 9 + 10
+    assert staged["meeting"] == (["place", "at", "key"], 2)
+
+
 def _texts(frame):
     return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
 
