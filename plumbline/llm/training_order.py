@@ -2,7 +2,8 @@
 
 Documents become fixed-length sequences of token ids. A Feistel network with
 cycle walking permutes the sequence numbers without a table; each shard holds
-a run of slots as records of one size, so that a reader can start anywhere.
+a run of slots as records of one size, so that a reader can start anywhere. A
+task puts one shard together in memory (16 MB as the shards are).
 """
 
 from __future__ import annotations
@@ -70,14 +71,18 @@ def _encoded(vocabulary: str, length: int):
     return run
 
 
-_PLACED = "slot long, doc_id long, piece int, ids binary"
+_BLOCKS = "shard int, n int, size long, block binary"
 _ROWS = 8192
 
+# What a block holds of each of its sequences, before the ids of them all.
+_ENTRY = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("piece", "<i4"), ("n", "<i4"), ("known", "?")])
 
-def _placed(size: int, key: int, length: int):
-    """Documents cut into sequences, each with its slot."""
+
+def _placed(size: int, key: int, length: int, per_shard: int):
+    """Documents cut into sequences, each with its slot; one packed row for those of a batch in one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -86,15 +91,29 @@ def _placed(size: int, key: int, length: int):
             doc = np.repeat(np.arange(len(n)), n)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
             slot = permuted(np.asarray(batch.column("number"))[doc] + piece, size, key)
-            # The ids stay where they are: a sequence is a range of them.
-            cuts = np.append(at[doc] + piece * 2 * length, at[-1]).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array(slot), batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), ids],
-                [field.split()[0] for field in _PLACED.split(", ")],
-            )
-            for start in range(0, len(doc), _ROWS):
-                yield rows.slice(start, _ROWS)
+            order = np.argsort(slot)
+            # The ids stay where they are until they are put in order: a sequence is a range of them.
+            cuts = np.append(at[doc] + piece * 2 * length, at[-1])
+            ids = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+            rows = pa.RecordBatch.from_arrays([ids.take(pa.array(order))], ["ids"])
+            data, at = bytes_column(rows, "ids")
+            entries = np.zeros(len(order), _ENTRY)
+            doc, ids_of = doc[order], batch.column("doc_id")
+            entries["slot"], entries["piece"], entries["n"] = slot[order], piece[order], np.diff(at) // 2
+            entries["doc_id"] = np.asarray(ids_of.fill_null(0))[doc]
+            entries["known"] = ids_of.is_valid().to_numpy(zero_copy_only=False)[doc]
+            shards = entries["slot"] // per_shard
+            starts = np.flatnonzero(np.diff(shards, prepend=-1))
+            ends = np.append(starts[1:], len(shards))
+            raw = [entries[x:y].tobytes() + data[at[x] : at[y]].tobytes() for x, y in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(shards[starts].astype(np.int32)), pa.array((ends - starts).astype(np.int32)),
+                    pa.array([len(part) for part in raw], pa.int64()),
+                    pa.array([codec.compress(part, asbytes=True) for part in raw], pa.binary()),
+                ],
+                [field.split()[0] for field in _BLOCKS.split(", ")],
+            )
 
     return run
 
@@ -102,38 +121,48 @@ def _placed(size: int, key: int, length: int):
 _WRITTEN = "slot long, doc_id long, piece int, n_tokens int, ids_crc32 long"
 
 
-def _write(folder: str, length: int, per_shard: int):
-    """Sequences in the order of their slots -> shard files; one row per sequence."""
+def _write(folder: str, size: int, length: int, per_shard: int):
+    """The blocks of one shard -> its file; one row per sequence, in the order of the slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, open_shard, stride = None, None, 2 * length
+        codec, stride = pa.Codec("zstd", 1), 2 * length
+        shard, found, crcs, records = None, [], [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            slot = np.asarray(batch.column("slot"))
-            data, at = bytes_column(batch, "ids")
-            sizes = np.diff(at)
-            records = np.full((len(slot), length), PAD, "<u2").view(np.uint8)
-            records[np.arange(stride) < sizes[:, None]] = data[at[0] : at[-1]]
-            shards = slot // per_shard
-            starts = np.flatnonzero(np.diff(shards, prepend=-1))
-            for start, stop in zip(starts, [*starts[1:], len(slot)]):
-                shard = int(shards[start])
-                if shard != open_shard:
-                    if out is not None:
-                        out.close(f"shard-{open_shard:06d}.bin")
-                    out, open_shard = Appender(folder, f"attempt-{shard:06d}"), shard
-                place = out.write(records[start:stop].tobytes())
-                if (slot[start:stop] != shard * per_shard + place // stride + np.arange(stop - start)).any():
-                    raise ValueError(f"slots from {slot[start]} are missing or out of order in shard {shard}")
-            view = memoryview(data)
-            crc = [zlib.crc32(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            for at, n, raw_size, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if shard is None:
+                    shard, records = at, np.full((min(per_shard, size - at * per_shard), length), PAD, "<u2").view(np.uint8)
+                if at != shard:
+                    raise ValueError(f"shards {shard} and {at} in one task")
+                raw = codec.decompress(block, raw_size, asbytes=True)
+                entries = np.frombuffer(raw, _ENTRY, n)
+                ids = np.frombuffer(raw, np.uint8, offset=n * _ENTRY.itemsize)
+                sizes = 2 * entries["n"].astype(np.int64)
+                ends = np.cumsum(sizes)
+                padded = np.full((n, length), PAD, "<u2").view(np.uint8)
+                padded[np.arange(stride) < sizes[:, None]] = ids
+                records[entries["slot"] - shard * per_shard] = padded
+                view = memoryview(ids)
+                crcs += [zlib.crc32(view[x:y]) for x, y in zip((ends - sizes).tolist(), ends.tolist())]
+                found.append(entries)
+        if shard is None:
+            return
+        entries = np.concatenate(found)
+        order = np.argsort(entries["slot"])
+        entries, crc = entries[order], np.array(crcs, np.int64)[order]
+        if len(entries) != len(records) or (entries["slot"] != shard * per_shard + np.arange(len(records))).any():
+            raise ValueError(f"slots of shard {shard} are missing or twice there")
+        out = Appender(folder, f"attempt-{shard:06d}")
+        out.write(records.tobytes())
+        out.close(f"shard-{shard:06d}.bin")
+        for start in range(0, len(entries), _ROWS):
+            part = entries[start : start + _ROWS]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("slot"), batch.column("doc_id"), batch.column("piece"), pa.array((sizes // 2).astype(np.int32)), pa.array(crc, pa.int64())],
+                [
+                    pa.array(part["slot"]), pa.array(part["doc_id"], mask=~part["known"]), pa.array(part["piece"]),
+                    pa.array(part["n"]), pa.array(crc[start : start + _ROWS]),
+                ],
                 [field.split()[0] for field in _WRITTEN.split(", ")],
-            )
-        if out is not None:
-            out.close(f"shard-{open_shard:06d}.bin")
+            )
 
     return run
 
@@ -163,12 +192,12 @@ def materialise(
         total += row["n"]
     offsets = docs.sparkSession.createDataFrame(starts, "part int, base long")
     numbered = encoded.join(F.broadcast(offsets), "part").select("doc_id", (F.col("base") + F.col("at")).alias("number"), "ids")
-    placed = numbered.mapInArrow(_placed(size, key, length), _PLACED)
-    # A partition per shard, and so per range of slots: no sampling for bounds.
-    shard = F.floor(F.col("slot") / per_shard).cast("int")
-    ranged = placed.repartitionById(max(1, -(-size // per_shard)), shard).sortWithinPartitions("slot")
-    written = scratch.stage(ranged.mapInArrow(_write(folder, length, per_shard), _WRITTEN), "written")
+    # A row per shard of a batch, whose ids compress better than those of one sequence; a partition per shard.
+    blocks = numbered.mapInArrow(_placed(size, key, length, per_shard), _BLOCKS)
+    dealt = blocks.repartitionById(max(1, -(-size // per_shard)), F.col("shard"))
+    written = scratch.stage(dealt.mapInArrow(_write(folder, size, length, per_shard), _WRITTEN), "written")
     scratch.drop("encoded")
+    shard = F.floor(F.col("slot") / per_shard).cast("int")
     return written.select(
         "slot", "doc_id", "piece", "n_tokens", shard.alias("shard"),
         (F.pmod("slot", F.lit(per_shard)) * 2 * length).cast("long").alias("byte_offset"), "ids_crc32",

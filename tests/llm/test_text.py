@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_fixtures import docs, prose  # noqa: F401
@@ -204,6 +205,31 @@ def test_training_order(spark, docs, prose):
     assert training_order.materialise(docs().limit(0), scratch_path(spark, "none")).count() == 0
 
 
+def test_sequences_travel_in_blocks(tmp_path):
+    """A batch sends a row per shard, smaller than its ids, and the shards get all of it; null ids stay null."""
+    sizes = [1, 700, 64, 0, 333] * 40
+    texts = [np.arange(k, dtype="<u2") % 50 for k in sizes if k]
+    numbers = np.cumsum([0, *(-(-len(t) // 32) for t in texts)])
+    total, ids = int(numbers[-1]), [None if k % 7 == 0 else k for k in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "number": numbers[:-1], "ids": pa.array([t.tobytes() for t in texts], pa.binary())})
+    (sent,) = training_order._placed(total, 1, 32, 1000)(iter([batch]))
+    assert sent.num_rows == -(-total // 1000) and sum(sent.column("n").to_pylist()) == total
+    assert sum(map(len, sent.column("block").to_pylist())) < sum(t.nbytes for t in texts) / 2
+    rows = []
+    for k in range(sent.num_rows):
+        for part in training_order._write(str(tmp_path), total, 32, 1000)(iter([sent.slice(k, 1)])):
+            rows += part.to_pylist()
+    assert [r["slot"] for r in rows] == list(range(total))
+    read = list(training_order.read_slots(str(tmp_path), 0, total, 32, 1000))
+    pieces = {(k, i): t[i * 32 : i * 32 + 32] for k, t in enumerate(texts) for i in range(-(-len(t) // 32))}
+    where = {int(slot): (k, i) for k, t in enumerate(texts) for i in range(-(-len(t) // 32)) for slot in training_order.permuted(np.array([numbers[k] + i]), total, 1)}
+    for r, got in zip(rows, read):
+        k, i = where[r["slot"]]
+        assert (r["doc_id"], r["piece"], r["n_tokens"]) == (ids[k], i, len(pieces[k, i]))
+        assert (got[: r["n_tokens"]] == pieces[k, i]).all() and not got[r["n_tokens"] :].any()
+        assert r["ids_crc32"] == zlib.crc32(pieces[k, i].tobytes())
+
+
 def test_archives(spark):
     big = "<p>" + "é" * 80
     rows = [(5, "http://a/1", big), (2, "http://a/2\r\nX: y", big), (3, None, "tiny"), (1, "u", "tiny"), (4, "u", None), (2, "http://a/2\r\nX: y", big), (None, "u", big)]
