@@ -255,7 +255,8 @@ def _links_of(percent: int):
         if not len(shared):
             return out
         row_x, row_y = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
-        width = max(1, (1 << 22) // (len(x) + len(y)))
+        # No wider than what is shared: most stars are small.
+        width = min(len(shared), max(1, (1 << 22) // (len(x) + len(y))))
         at_x, at_y = np.searchsorted(shared, flat_x), np.searchsorted(shared, flat_y)
         is_x = shared[np.minimum(at_x, len(shared) - 1)] == flat_x
         is_y = shared[np.minimum(at_y, len(shared) - 1)] == flat_y
@@ -268,37 +269,43 @@ def _links_of(percent: int):
             out += left @ right.T
         return out
 
-    def between(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame | None:
-        comp_x, comp_y = first["comp"].to_numpy(), second["comp"].to_numpy()
+    def between(rows: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(a, b) of links between the rows at two lists of places."""
+        comp_x, comp_y = rows["comp"][first], rows["comp"][second]
         apart = comp_x[:, None] != comp_y[None, :]
-        n_x, n_y = first["n_b"].to_numpy()[:, None], second["n_b"].to_numpy()[None, :]
+        n_x, n_y = rows["n_b"][first][:, None], rows["n_b"][second][None, :]
         apart &= 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
         if not apart.any():
             return None
-        rows, columns = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
-        minus_x = [np.frombuffer(v, "<i4") for v in first["minus"].iloc[rows]]
-        minus_y = [np.frombuffer(v, "<i4") for v in second["minus"].iloc[columns]]
-        plus_x = [np.frombuffer(v, "<u8") for v in first["plus"].iloc[rows]]
-        plus_y = [np.frombuffer(v, "<u8") for v in second["plus"].iloc[columns]]
+        across, down = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+        minus_x = [np.frombuffer(v, "<i4") for v in rows["minus"][first[across]]]
+        minus_y = [np.frombuffer(v, "<i4") for v in rows["minus"][second[down]]]
+        plus_x = [np.frombuffer(v, "<u8") for v in rows["plus"][first[across]]]
+        plus_y = [np.frombuffer(v, "<u8") for v in rows["plus"][second[down]]]
         lacks_x, lacks_y = np.array([len(v) for v in minus_x])[:, None], np.array([len(v) for v in minus_y])[None, :]
         lacking = lacks_x + lacks_y - counted(minus_x, minus_y)
-        shared = first["n_a"].iloc[0] - lacking + counted(plus_x, plus_y)
-        union = n_x[rows] + n_y[:, columns] - shared
-        i, j = np.nonzero((100 * shared >= percent * union) & (shared > 0) & apart[np.ix_(rows, columns)])
-        x, y = first["b"].to_numpy()[rows[i]], second["b"].to_numpy()[columns[j]]
+        shared = rows["n_a"][first[0]] - lacking + counted(plus_x, plus_y)
+        union = n_x[across] + n_y[:, down] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (shared > 0) & apart[np.ix_(across, down)])
+        x, y, p, q = rows["b"][first[across[i]]], rows["b"][second[down[j]]], comp_x[across[i]], comp_y[down[j]]
         # One link joins two components; the others between them say nothing new.
-        links = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "p": comp_x[rows[i]], "q": comp_y[columns[j]]})
-        low, high = links[["p", "q"]].min(axis=1), links[["p", "q"]].max(axis=1)
-        return links.loc[~pd.DataFrame({"p": low, "q": high}).duplicated(), ["a", "b"]]
+        _, once = np.unique(np.stack((np.minimum(p, q), np.maximum(p, q))), axis=1, return_index=True)
+        return np.minimum(x, y)[once], np.maximum(x, y)[once]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
-        for (_, row, column), cell in frame.groupby(["a", "row", "column"], sort=False):
-            first = cell[cell["part"] == row]
-            links = between(first, first if row == column else cell[cell["part"] == column])
+        rows = {name: frame[name].to_numpy() for name in frame.columns}
+        order = np.lexsort((rows["column"], rows["row"], rows["a"]))
+        new = np.zeros(len(order), bool)
+        for name in ("a", "row", "column"):
+            new[1:] |= rows[name][order][1:] != rows[name][order][:-1]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for cell in np.split(order, np.flatnonzero(new)):
+            row, column, part = rows["row"][cell[0]], rows["column"][cell[0]], rows["part"][cell]
+            first = cell[part == row]
+            links = between(rows, first, first if row == column else cell[part == column])
             if links is not None:
                 found.append(links)
-        return pd.concat(found).astype("int64")
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).astype("int64")
 
     return run
 

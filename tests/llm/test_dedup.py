@@ -1,7 +1,10 @@
 """Exact, near and line dedup against brute force, and their edge cases."""
 
 import hashlib
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from llm_fixtures import docs, prose  # noqa: F401
@@ -91,6 +94,25 @@ def test_near_cells(docs, prose, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in _brute(rows).items()}
 
 
+def test_links_of_small_stars_take_little_room():
+    """Two members with few changes are compared in matrices of their own size, with the right links."""
+    ids = np.arange(1000, dtype="<u8")
+    rows = [  # star, id, component, lacks, adds
+        (1, 2, 2, range(0, 5), ids[:5]), (1, 3, 3, range(2, 7), ids[:4]), (1, 4, 4, range(50, 80), ids[500:530]), (1, 5, 2, range(1, 6), ids[:5]),
+        (9, 12, 12, range(3), ids[:0]), (9, 13, 12, range(3), ids[:1]), (9, 14, 14, range(60), ids[900:960]),
+    ]
+    frame = pd.DataFrame([
+        {"a": a, "b": b, "n_a": 100, "n_b": 100 - len(minus) + len(plus), "minus": np.array(minus, "<i4").tobytes(), "plus": plus.tobytes(),
+         "comp": comp, "part": 0, "row": 0, "column": 0} for a, b, comp, minus, plus in rows
+    ])
+    tracemalloc.start()
+    got = near_dedup._links_of(85)(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_numpy().tolist() == [[2, 3]]
+    assert peak < 1 << 20
+
+
 def test_near_edges(docs, prose):
     assert near_dedup.near_duplicates(docs().limit(0)).count() == 0
     got = near_dedup.near_duplicates(docs((None, prose(1)), (1, prose(1)), (1, prose(1)), (2, prose(1)))).collect()
