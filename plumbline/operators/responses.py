@@ -60,13 +60,12 @@ def extract_json(raw: DataFrame, text: str = "text") -> DataFrame:
         {
             "__text": F.coalesce(trimmed, F.lit("")),
         }
-    ).withColumns(
-        {
-            "__whole": json_object(F.col("__text")),
-            "__fence": F.when(F.col("__text").contains("```"), fenced_object(F.col("__text"))),
-            "__span": bracketed_object(F.col("__text")),
-        }
-    )
+    ).withColumn("__whole", json_object(F.col("__text")))
+    # A later strategy is tried on the rows that the earlier ones leave.
+    missing = F.col("__whole").isNull()
+    found = found.withColumn("__fence", F.when(missing & F.col("__text").contains("```"), fenced_object(F.col("__text"))))
+    missing = missing & F.col("__fence").isNull()
+    found = found.withColumn("__span", F.when(missing, bracketed_object(F.col("__text"))))
     strategy = (
         F.when(F.col("__text") == "", "empty")
         .when(F.col("__whole").isNotNull(), "whole")

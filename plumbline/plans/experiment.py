@@ -12,6 +12,9 @@ from plumbline.operators import evaluation, responses
 from plumbline.plans.eda import own_narrative
 from plumbline.sources.readers import dataset_hash
 
+# Responses differ in what they cost, so a core gets several parts of them.
+TASKS_PER_CORE = 4
+
 
 @dataclass(frozen=True)
 class Experiment:
@@ -34,8 +37,13 @@ def evidence_of(datasets: list[tuple[Dataset, str | None]]) -> DataFrame:
 
 
 def parse_responses(raw: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Raw texts to scored fields: extract, normalise, complete."""
-    ready = responses.complete(responses.normalise_keys(responses.extract_json(raw)), fallback)
+    """Raw texts to scored fields: extract, normalise, complete.
+
+    Parsing takes far longer than reading, and a file may have fewer splits
+    than there are cores, so the rows are dealt over all of them first.
+    """
+    dealt = raw.repartition(raw.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE)
+    ready = responses.complete(responses.normalise_keys(responses.extract_json(dealt)), fallback)
     status = F.when(F.col("parse_error").isNotNull() & ~F.col("fallback_used"), "error").otherwise("success")
     return ready.withColumn("status", status)
 

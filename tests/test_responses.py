@@ -133,3 +133,14 @@ def test_a_confidence_in_words_hides_every_other(normalise):
 def test_risks_as_plain_text_stay(normalise):
     assert normalise('{"narrative": "n", "key_risks": "Some gaps."}')["key_risks"] == ["Some gaps."]
     assert normalise('{"narrative": "n", "key_risks": "Some gaps.", "issues": ["x"]}')["key_risks"] == ["x"]
+
+
+def test_responses_are_dealt_over_all_cores(spark):
+    """A file of one split is parsed by more tasks than one, and all rows stay."""
+    from plumbline.plans import experiment
+
+    raw = spark.range(40).coalesce(1).selectExpr("id AS run_id", "'single_agent' AS pipeline", """concat('{"narrative": "n', id, '", "recommendations": ["r"]}') AS text""")
+    fallback = spark.createDataFrame([("f", ["k"], ["r"], 0.5)], "narrative string, key_risks array<string>, recommendations array<string>, confidence double")
+    done = experiment.parse_responses(raw, fallback)
+    assert done.rdd.getNumPartitions() > 1
+    assert sorted(r["narrative"] for r in done.select("narrative").collect()) == sorted(f"n{i}" for i in range(40))
