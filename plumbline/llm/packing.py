@@ -149,8 +149,8 @@ def _packer(vocabulary: str, capacity: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_SCHEMA)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("body")):
-                raw = encode(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.each(batch.column("body"))):
+                raw = ids + end
                 texts[number] = (doc_id, raw)
                 start, left = 0, len(raw) // 4
                 while filled + left >= limit:

@@ -2,14 +2,17 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from llm_fixtures import docs, prose  # noqa: F401
-from plumbline.llm import decontaminate, html_extract, packing, pii, quality, training_order, warc
+from plumbline.llm import decontaminate, html_extract, packing, pii, quality, tokens, training_order, warc
 from plumbline.llm.tagger import Tagger
 from plumbline.llm.tokens import default_vocabulary, encoder
 from plumbline.sources.shared import scratch_path
@@ -158,6 +161,42 @@ def test_token_ids_are_the_tokenizers():
         assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+_TASKS = """
+import gc, pickle, sys, weakref
+gc.disable()
+raw, old = sys.stdin.buffer.read(), []
+for _ in "abc":
+    encode = pickle.loads(raw)(sys.argv[1])
+    encode("it's a text")
+    old.append(weakref.ref(encode))
+    del encode
+assert not any(ref() for ref in old)
+"""
+
+
+def test_encoders_do_not_outlive_their_tasks():
+    """Each task unpickles the package anew; what it cached is freed with it, without the garbage collector."""
+    subprocess.run([sys.executable, "-c", _TASKS, default_vocabulary()], input=cloudpickle.dumps(encoder), check=True, timeout=60)
+
+
+def test_distinct_parts_are_encoded_once_and_bounded(monkeypatch):
+    """Over slices of texts, each part goes through the model once while it is kept; ids are the tokenizer's."""
+    encode, made = tokens.Encoder(default_vocabulary()), []
+    monkeypatch.setattr(encode, "_part", lambda part, make=encode._part: made.append(part) or make(part))
+    texts = [*TRICKY, None, "a,b " * 40 + "Été! " * 9, "x" * 200, "日本 a,b été"] * 3
+    want = [encode.tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for size in (1 << 20, 60):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in encode.each(pa.array(texts))] == want
+    short = [part for part in made if len(part) <= tokens.CACHED_LENGTH]
+    assert len(short) == len(set(short)) and "x" * 200 not in encode.parts
+    monkeypatch.setattr(tokens, "CACHED_PARTS", 20)
+    for k in range(30):
+        (raw,) = encode.each(pa.array([f"w{'abcdefghij'[k % 10]}{'klm'[k // 10]} same"]))
+        assert len(encode.parts) <= 20 + 2
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in encode.each(pa.array(texts))] == want
+
+
 @pytest.mark.parametrize("count", [0, 1, 30, 400])
 def test_packing(docs, prose, count):
     rows = [(k, prose(k, 5 + 11 * k % 700)) for k in range(count)] + ([(9000, None), (9001, "")] if count else [])
