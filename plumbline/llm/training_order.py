@@ -59,7 +59,7 @@ def _encoded(vocabulary: str, length: int):
         encode, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         end = END.to_bytes(4, "little")
         for batch in batches:
-            ids = [np.frombuffer(encode(text.as_py() or "") + end, "<u4").astype("<u2").tobytes() for text in batch.column("body")]
+            ids = [np.frombuffer(raw + end, "<u4").astype("<u2").tobytes() for raw in encode.each(batch.column("body"))]
             n = -(-np.fromiter(map(len, ids), np.int64, len(ids)) // (2 * length))
             first = at + np.cumsum(n) - n
             at += int(n.sum())
